@@ -5,7 +5,7 @@ from __future__ import annotations
 import ipaddress
 
 import pandas as pd
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, functions as F, types as T
 
 from wirelens import fixed
 
@@ -38,7 +38,7 @@ def is_public_ip(ip: Column) -> Column:
     return F.coalesce(shaped & ~inside & ~ip.isin(*fixed.IP_PLACEHOLDERS), F.lit(False))
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(T.ArrayType(T.StringType()))
 def public_ipv6(found: pd.Series) -> pd.Series:
     """Keep the routable IPv6 addresses of each array (Arrow batches)."""
     def routable(text: str) -> bool:

@@ -192,11 +192,12 @@ def tag_language(df: DataFrame, text: str = "text", out: str = "language",
                  profiles: dict[str, tuple[str, ...]] = LANGUAGE_PROFILES) -> DataFrame:
     """Language whose profile words occur most often; ties by name, null when none occurs."""
     tokens = df.withColumn("_tokens", F.split(F.lower(F.col(text)), r"(?U)[^\w]+"))
-    scores = F.array(*[
-        F.struct(F.size(F.filter(F.col("_tokens"), lambda w, ws=words: w.isin(*ws))).alias("hits"),
-                 F.lit(-rank).alias("order"), F.lit(name).alias("name"))
-        for rank, (name, words) in enumerate(sorted(profiles.items()))
-    ])
+
+    def score(rank: int, name: str) -> Column:
+        hits = F.filter(F.col("_tokens"), lambda w: w.isin(*profiles[name]))
+        return F.struct(F.size(hits).alias("hits"), F.lit(-rank).alias("order"), F.lit(name).alias("name"))
+
+    scores = F.array(*[score(rank, name) for rank, name in enumerate(sorted(profiles))])
     best = tokens.withColumn("_best", F.array_max(scores))
     return best.withColumn(out, F.when(F.col("_best.hits") > 0, F.col("_best.name"))).drop("_tokens", "_best")
 
