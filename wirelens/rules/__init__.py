@@ -2,15 +2,20 @@
 
 Every tagger takes its rules as an argument; ``load`` returns the defaults
 shipped next to this file. Patterns are case-insensitive unless a row says
-otherwise, avoid look-around, and are matched against whole texts.
+otherwise, avoid look-around, and are matched against whole texts. ``anchors``
+are lower-case words of which a match must contain at least one; they let a
+plain substring search skip the pattern. A row may leave them out.
 """
 
 from __future__ import annotations
 
 import json
+from collections.abc import Callable, Iterable
 from functools import cache
 from pathlib import Path
 
+from pyspark.sql import Column, functions as F
+
 HERE = Path(__file__).parent
 
 
@@ -23,3 +28,41 @@ def load(name: str) -> tuple[dict, ...]:
 def spark_pattern(row: dict) -> str:
     """Pattern of a rule row with its flag for the JVM engine."""
     return row["pattern"] if row.get("case_sensitive") else "(?i)" + row["pattern"]
+
+
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of a value that is computed once per row, however often the body reads it.
+
+    A plain column may be inlined into every use by the optimizer; a lambda
+    argument is bound once.
+    """
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def table(rows: Iterable[dict], *fields: str) -> Column:
+    """The rules as one literal array: order, pattern, anchors and the named fields."""
+    return F.array(*[
+        F.struct(
+            F.lit(order).alias("order"), F.lit(spark_pattern(r)).alias("pattern"),
+            F.array(*[F.lit(a) for a in r.get("anchors", ())]).cast("array<string>").alias("anchors"),
+            *[F.lit(r[f]).alias(f) for f in fields])
+        for order, r in enumerate(rows)
+    ])
+
+
+def hit(rule: Column, text: Column, low: Column) -> Column:
+    """True when the rule matches; the pattern runs only where an anchor occurs."""
+    anchored = (F.size(rule["anchors"]) == 0) | F.exists(rule["anchors"], lambda a: F.contains(low, a))
+    return anchored & F.regexp_like(text, rule["pattern"])
+
+
+def matching(text: Column, rows: Iterable[dict], *fields: str) -> Column:
+    """Rules that match the text, in declared order, with the named fields."""
+    rules_table = table(rows, *fields)
+    return let(F.coalesce(text, F.lit("")), lambda t: let(F.lower(t), lambda low: F.filter(rules_table, lambda r: hit(r, t, low))))
+
+
+def any_matches(text: Column, rows: Iterable[dict]) -> Column:
+    """True when any rule matches the text."""
+    rules_table = table(rows)
+    return let(F.coalesce(text, F.lit("")), lambda t: let(F.lower(t), lambda low: F.exists(rules_table, lambda r: hit(r, t, low))))
