@@ -37,7 +37,6 @@ def feed_health(events: DataFrame, url: str = "url", ts: str = "ts", order: str
     quiet_last = F.col("last_quiet").isNotNull() & (F.col("last_error").isNull() | (F.col("last_quiet") > F.col("last_error")))
     quiet = F.when(F.col("last_ok").isNotNull() & (days(F.col("last_quiet.ts"), F.col("last_ok.ts")) >= fixed.STALE_DAYS), "stale").when(
         F.col("last_ok").isNull() & (F.col("fetches_successful") >= fixed.SILENT_MIN_FETCHES), "silent")
-    # the counter that flags a silent feed had the same value at an earlier quiet fetch only if that one followed it too
     return joined.select(
         "url", F.coalesce("errors", F.lit(0)).alias("consecutive_errors"), F.col("first_error.ts").alias("first_error"),
         F.col("last_ok.ts").alias("last_success"), F.col("last.ts").alias("last_checked"),

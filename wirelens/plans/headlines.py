@@ -65,7 +65,7 @@ def headlines(documents: DataFrame) -> DataFrame:
     tail = F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1)))
     cve = F.concat(F.lit("CVE-2024-"), (1000 + F.pmod(d, F.lit(37))).cast("string"))
     second = F.concat(F.lit(" cve-2024-"), (1000 + F.pmod(d * 7, F.lit(37))).cast("string"))
-    minutes = F.pmod(d * 37, F.lit(43200))
+    minutes = F.pmod(d * 7919, F.lit(43200))
     when = F.timestamp_seconds(F.lit(1704067200) + minutes * 60)  # 2024-01-01 UTC
 
     published = (
@@ -132,7 +132,7 @@ def _sql_pick(values: tuple[str, ...]) -> str:
 ORACLE_WITH = f"""
 WITH base AS (
   SELECT *, regexp_extract_all(text, '[A-Za-z]+') AS w,
-         TIMESTAMP '2024-01-01 00:00:00' + to_minutes((doc_id * 37) % 43200) AS t
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes((doc_id * 7919) % 43200) AS t
   FROM documents),
 headlines0 AS (
   SELECT doc_id AS pos,
