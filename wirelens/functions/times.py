@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wirelens.rules import let
+
 ZONE_OFFSETS = {
     # named zones of mail dates; any other name counts as UTC
     "EST": "-0500", "EDT": "-0400", "CST": "-0600", "CDT": "-0500",
@@ -15,8 +17,10 @@ MAIL = r"^\d{1,2} [A-Za-z]{3} \d{4} \d{2}:\d{2}(:\d{2})?( .*)?$"
 
 def parse_event_time(raw: Column) -> Column:
     """Timestamp of an ISO, mail or bare date string; null when none fits, never now."""
-    text = F.regexp_replace(F.trim(raw), r" +UTC$", "")
+    return let(F.regexp_replace(F.trim(raw), r" +UTC$", ""), _parsed)
+
 
+def _parsed(text: Column) -> Column:
     iso = F.regexp_replace(F.regexp_replace(text, "Z$", "+00:00"), r"(:\d{2}(?:[.,]\d+)?)([+-]\d{2})(\d{2})$", "$1$2:$3")
     iso = F.regexp_replace(iso, r"^(\d{4}-\d{2}-\d{2})$", "$1T00:00:00")
     iso = F.regexp_replace(iso, r"^(.{10}[T ]\d{2}:\d{2})([+-].*)?$", "$1:00$2")

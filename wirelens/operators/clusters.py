@@ -21,7 +21,7 @@ def entity_edges(df: DataFrame, pos: str = "pos") -> DataFrame:
     """Distinct (entity_type, entity_name, ord, pos): CVEs, actors and title organisations per item."""
     tagged = tagging.match_orgs(tagging.match_actors(tagging.extract_cves(df)))
     typed = F.concat(_typed("cve", F.col("cve_ids")), _typed("actor", F.col("actors.name")), _typed("org", F.col("orgs")))
-    rows = tagged.select(F.col(pos).alias("pos"), F.posexplode(typed).alias("ord", "e"))
+    rows = tagged.select(F.col(pos).alias("pos"), F.posexplode_outer(typed).alias("ord", "e")).filter(F.col("ord").isNotNull())
     return rows.groupBy(F.col("e.entity_type").alias("entity_type"), F.col("e.entity_name").alias("entity_name"), "pos").agg(F.min("ord").alias("ord"))
 
 
@@ -142,7 +142,7 @@ def campaign_view(campaigns: DataFrame, df: DataFrame, ts: str = "event_ts") ->
 
 def actor_profiles(df: DataFrame, min_articles: int = 2, techniques: int = 8, tactics: int = 6) -> DataFrame:
     """Mentions per actor with its most frequent techniques and tactics, ties by name."""
-    tagged = tagging.match_actors(df).filter(F.col("actors").isNotNull()).select(F.explode("actors").alias("a"), "attack_techniques", "attack_tactics")
+    tagged = tagging.match_actors(df).select(F.explode_outer("actors").alias("a"), "attack_techniques", "attack_tactics").filter(F.col("a").isNotNull())
     mentions = tagged.groupBy("a.name", "a.type", "a.origin").agg(F.count("*").alias("article_count")).filter(F.col("article_count") >= min_articles)
 
     def top(values, n: int, field: str, out: str) -> DataFrame:

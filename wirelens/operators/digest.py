@@ -18,7 +18,8 @@ def hoist_kev(df: DataFrame, as_of: str, hours: int = fixed.KEV_TENURE_HOURS, ts
     """Known-exploited items of days 2-3 join the first bucket within their tenure."""
     age_hours = times.age_days(F.col(ts), times.as_timestamp(as_of)) * 24
     lifted = (F.col("bucket") == "day3") & F.coalesce("kev_listed", F.lit(False)) & (age_hours <= hours)
-    return df.withColumn("bucket", F.when(lifted, "day1").otherwise(F.col("bucket"))).withColumn("hoisted", F.coalesce(lifted, F.lit(False)))
+    marked = df.withColumn("hoisted", F.coalesce(lifted, F.lit(False)))
+    return marked.withColumn("bucket", F.when(F.col("hoisted"), "day1").otherwise(F.col("bucket")))
 
 
 def digest_candidates(df: DataFrame, cap: int = fixed.DIGEST_CAP, trigger: int = fixed.DIGEST_FILL, fill: int = fixed.DIGEST_FILL, ts: str = "event_ts") -> DataFrame:
@@ -29,16 +30,17 @@ def digest_candidates(df: DataFrame, cap: int = fixed.DIGEST_CAP, trigger: int =
     """
     from pyspark.sql import Window
 
-    fresh = df.agg(F.count_if(F.col("bucket") == "day1").alias("n"))
-    dated = df.agg(F.count_if(F.col("bucket") != "older").alias("n"))
-    counted = df.withColumn("_fresh", fresh.scalar()).withColumn("_dated", dated.scalar())
+    sizes = df.agg(F.struct(F.count_if(F.col("bucket") == "day1").alias("fresh"), F.count_if(F.col("bucket") != "older").alias("dated")).alias("n"))
+    counted = df.withColumn("_n", sizes.scalar()).withColumn("_fresh", F.col("_n.fresh")).withColumn("_dated", F.col("_n.dated"))
+    if "hoisted" not in df.columns:
+        counted = counted.withColumn("hoisted", F.lit(False))
     section = F.when(F.col("_dated") == 0, 0).when(F.col("bucket") == "day1", F.when(F.coalesce("hoisted", F.lit(False)), 1).otherwise(0)).when(F.col("bucket") == "day3", 2)
     order = [F.col("_section"), F.col(ts).desc_nulls_last(), F.col("pos")]
     taken = counted.withColumn("_section", section).filter(F.col("_section").isNotNull()).orderBy(*order).limit(max(cap, fill))
     numbered = taken.withColumn("slot", F.row_number().over(Window.orderBy(*order)))  # at most ``cap`` rows
     room = F.when(F.col("_fresh") < trigger, F.greatest(F.col("_fresh"), F.lit(fill))).otherwise(F.col("_fresh"))
     allowed = (F.col("_section") < 2) | (F.col("slot") <= room)
-    return numbered.filter(allowed & (F.col("slot") <= cap)).drop("_fresh", "_dated", "_section")
+    return numbered.filter(allowed & (F.col("slot") <= cap)).drop("_n", "_fresh", "_dated", "_section")
 
 
 def trailing_context(df: DataFrame, digest: DataFrame, categories: int = 5, titles: int = 15, ts: str = "event_ts") -> dict[str, DataFrame]:

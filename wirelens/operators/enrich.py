@@ -11,7 +11,9 @@ from wirelens.operators.corpus import top_n
 
 def _item_cves(df: DataFrame, key: str) -> DataFrame:
     """Distinct (key, cve_id) of the items that name any CVE."""
-    return tagging.extract_all_cves(df).select(key, F.explode("all_cves").alias("cve_id")).distinct()
+    # the outer form keeps the optimizer from evaluating the id search twice for a filter
+    named = tagging.extract_all_cves(df).select(key, F.explode_outer("all_cves").alias("cve_id"))
+    return named.filter(F.col("cve_id").isNotNull()).distinct()
 
 
 def join_epss(df: DataFrame, epss: DataFrame, key: str = "hash") -> DataFrame:
@@ -54,11 +56,12 @@ def cve_view(df: DataFrame, cve: str, ts: str = "event_ts") -> DataFrame:
     found = df.filter(F.array_contains("cve_ids", wanted))
     own = F.get(F.filter("epss_scores", lambda s: s["cve_id"] == wanted), F.lit(0))["epss_score"]
     picked = F.coalesce(own, F.get(F.col("epss_scores"), F.lit(0))["epss_score"])
-    facts = found.agg(
+    facts = found.agg(F.struct(
         F.count("*").alias("n"), F.min_by("source", F.struct(F.coalesce(ts, F.lit("9999-12-31").cast("timestamp")), "hash")).alias("first"),
-        F.min(F.when(picked.isNotNull(), F.struct("pos", picked.alias("score")))).alias("risk"))
-    return (found.withColumn("article_count", facts.select("n").scalar()).withColumn("first_source", facts.select("first").scalar())
-            .withColumn("epss_score", facts.select("risk.score").scalar()).orderBy(F.col(ts).asc_nulls_last(), "hash"))
+        F.min(F.when(picked.isNotNull(), F.struct("pos", picked.alias("score")))).alias("risk")).alias("facts")).scalar()
+    # one subquery over the few items of the CVE, read by three columns
+    return (found.withColumn("_facts", facts).withColumn("article_count", F.col("_facts.n")).withColumn("first_source", F.col("_facts.first"))
+            .withColumn("epss_score", F.col("_facts.risk.score")).drop("_facts").orderBy(F.col(ts).asc_nulls_last(), "hash"))
 
 
 def first_reporter(df: DataFrame, key: str, ts: str = "event_ts", source: str = "source", tie: str = "hash") -> DataFrame:

@@ -87,7 +87,7 @@ def since(df: DataFrame, cursor_ts: str | None, cursor_hash: str = "", ts: str =
     if cursor_ts is None:
         return df.filter(F.col(ts).isNotNull())
     at = times.as_timestamp(cursor_ts)
-    return df.filter((F.col(ts) > at) | ((F.col(ts) == at) & (F.col(key) > cursor_hash)))
+    return df.filter(F.struct(ts, key) > F.struct(at, F.lit(cursor_hash)))
 
 
 def with_status(df: DataFrame, status: str | None = None) -> DataFrame:

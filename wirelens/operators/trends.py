@@ -16,7 +16,8 @@ def daily_counts(df: DataFrame, key: str, kind: str, ts: str = "ts") -> DataFram
 
 def keyword_counts(df: DataFrame, ts: str = "ts", rows=None) -> DataFrame:
     """Daily counts of the tracked keywords, one per item and keyword."""
-    return daily_counts(tagging.tracked_keywords(df, rows).select(ts, F.explode("tracked").alias("keyword")), "keyword", "tracked_keyword", ts)
+    hits = tagging.tracked_keywords(df, rows).select(ts, F.explode_outer("tracked").alias("keyword")).filter(F.col("keyword").isNotNull())
+    return daily_counts(hits, "keyword", "tracked_keyword", ts)
 
 
 def spikes(counts: DataFrame, day: str, ratio: float = fixed.SPIKE_RATIO, min_count: int = fixed.SPIKE_MIN_COUNT,
@@ -25,6 +26,8 @@ def spikes(counts: DataFrame, day: str, ratio: float = fixed.SPIKE_RATIO, min_co
 
     Recorded days are the days that occur in the table (a missing key counts 0
     there). A keyword without history and with enough mentions is an emergence.
+    ``counts`` is the stored daily table: it is read a few times and has one row
+    per key and day, however many items there are.
     """
     today = F.to_date(F.lit(day))
     days = counts.filter(F.col("day") <= today).select("day").distinct()

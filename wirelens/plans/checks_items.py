@@ -196,29 +196,29 @@ def _(t: Tables):
     return filters.drop_irrelevant(tagging.classify(t.headlines())).select("pos", "category")
 
 
-@query("d01_extract_cves", "SELECT pos, string_agg(cve_id, ',' ORDER BY cve_id) AS ids FROM item_cves GROUP BY pos")
+@query("d01_extract_cves", "SELECT pos, string_agg(cve_id, ',' ORDER BY cve_id) AS ids FROM headlines LEFT JOIN item_cves USING (pos) GROUP BY pos")
 def _(t: Tables):
-    return tagging.extract_cves(t.headlines()).filter("cve_ids is not null").select("pos", F.array_join("cve_ids", ",").alias("ids"))
+    return tagging.extract_cves(t.headlines()).select("pos", F.array_join("cve_ids", ",").alias("ids"))
 
 
 @query("d02_extract_all_cves", """
 WITH a AS (SELECT pos, cve_id FROM item_cves UNION SELECT pos, 'CVE-2020-' || (5000 + pos % 7) FROM headlines WHERE pos % 3 = 0)
-SELECT pos, string_agg(cve_id, ',' ORDER BY cve_id) AS ids FROM a GROUP BY pos""")
+SELECT pos, string_agg(cve_id, ',' ORDER BY cve_id) AS ids FROM headlines LEFT JOIN a USING (pos) GROUP BY pos""")
 def _(t: Tables):
     given = F.when(F.col("pos") % 3 == 0, F.concat(F.lit("cve-2020-"), (5000 + F.col("pos") % 7).cast("string")))
-    return tagging.extract_all_cves(t.headlines().withColumn("cve_id", given)).filter("all_cves is not null").select("pos", F.array_join("all_cves", ",").alias("ids"))
+    return tagging.extract_all_cves(t.headlines().withColumn("cve_id", given)).select("pos", F.array_join("all_cves", ",").alias("ids"))
 
 
-@query("d03_match_actors", f"WITH {TEXTS}, h AS ({rule_hits(rules.load('actors'), 'text', 'x')}) SELECT pos, string_agg(label, ',' ORDER BY rule) AS names FROM h GROUP BY pos")
+@query("d03_match_actors", f"WITH {TEXTS}, h AS ({rule_hits(rules.load('actors'), 'text', 'x')}) SELECT pos, string_agg(label, ',' ORDER BY rule) AS names FROM headlines LEFT JOIN h USING (pos) GROUP BY pos")
 def _(t: Tables):
-    return tagging.match_actors(t.headlines()).filter("actors is not null").select("pos", F.array_join(F.col("actors.name"), ",").alias("names"))
+    return tagging.match_actors(t.headlines()).select("pos", F.array_join(F.col("actors.name"), ",").alias("names"))
 
 
 @query("d04_match_orgs", "WITH h AS (" + " UNION ALL ".join(
     f"SELECT pos, {i} AS g, regexp_extract(title, {lit(r['pattern'])}, 1) AS org FROM headlines" for i, r in enumerate(rules.load("orgs")))
-    + ") SELECT pos, string_agg(org, ',' ORDER BY g) AS orgs FROM h WHERE org <> '' GROUP BY pos")
+    + ") SELECT pos, string_agg(nullif(org, ''), ',' ORDER BY g) AS orgs FROM h GROUP BY pos")
 def _(t: Tables):
-    return tagging.match_orgs(t.headlines()).filter("orgs is not null").select("pos", F.array_join("orgs", ",").alias("orgs"))
+    return tagging.match_orgs(t.headlines()).select("pos", F.array_join("orgs", ",").alias("orgs"))
 
 
 @query("d05_extract_iocs", r"""
@@ -232,9 +232,9 @@ e AS (SELECT DISTINCT doc_id, 'emails' AS kind, lower(unnest(regexp_extract_all(
 s AS (SELECT DISTINCT doc_id, 'sha256' AS kind, lower(unnest(regexp_extract_all(text, '\b[a-fA-F0-9]{64}\b'))) AS v FROM d)
 SELECT * FROM ok UNION ALL SELECT * FROM e UNION ALL SELECT * FROM s""")
 def _(t: Tables):
-    found = tagging.extract_iocs(t("documents").select("doc_id", F.col("text").alias("summary"))).filter("iocs is not null")
-    return found.select("doc_id", F.explode(F.map_from_arrays(
-        tx.strings(["ipv4", "emails", "sha256"]), F.array("iocs.ipv4", "iocs.emails", "iocs.sha256"))).alias("kind", "vs")).select("doc_id", "kind", F.explode("vs").alias("v"))
+    found = tagging.extract_iocs(t("documents").select("doc_id", F.col("text").alias("summary")))
+    kinds = F.map_from_arrays(tx.strings(["ipv4", "emails", "sha256"]), F.array("iocs.ipv4", "iocs.emails", "iocs.sha256"))
+    return found.select("doc_id", F.explode_outer(kinds).alias("kind", "vs")).select("doc_id", "kind", F.explode_outer("vs").alias("v")).filter("v is not null")
 
 
 def technique_sql() -> str:
@@ -245,19 +245,20 @@ def technique_sql() -> str:
         for k, x in enumerate([r, by_id[r["technique_id"].split(".")[0]]] if "." in r["technique_id"] else [r]):
             parts.append(f"SELECT pos, {2 * i + k} AS o, '{x['technique_id']}' AS id, '{x['tactic']}' AS tactic FROM x WHERE {matches('text', r)}")
     return (f"WITH {TEXTS}, h AS ({' UNION ALL '.join(parts)}), u AS (SELECT pos, id, any_value(tactic) AS tactic, min(o) AS o FROM h GROUP BY pos, id)"
-            " SELECT pos, string_agg(id, ',' ORDER BY o) AS ids, array_to_string(list_sort(list_distinct(list(tactic))), ',') AS tactics FROM u GROUP BY pos")
+            " SELECT pos, string_agg(id, ',' ORDER BY o) AS ids, array_to_string(list_sort(list_distinct(list(tactic) FILTER (WHERE tactic IS NOT NULL))), ',') AS tactics"
+            " FROM headlines LEFT JOIN u USING (pos) GROUP BY pos")
 
 
 @query("d06_tag_techniques", technique_sql())
 def _(t: Tables):
-    return tagging.tag_techniques(t.headlines()).filter("attack_techniques is not null").select(
+    return tagging.tag_techniques(t.headlines()).select(
         "pos", F.array_join(F.col("attack_techniques.technique_id"), ",").alias("ids"), F.array_join("attack_tactics", ",").alias("tactics"))
 
 
 @query("d07_tag_sectors", f"""WITH x AS (SELECT pos, CASE WHEN darkweb THEN title ELSE title || ' ' || summary END AS text FROM headlines),
-h AS ({rule_hits(rules.load('sectors'), 'text', 'x')}) SELECT pos, string_agg(label, ',' ORDER BY rule) AS sectors FROM h GROUP BY pos""")
+h AS ({rule_hits(rules.load('sectors'), 'text', 'x')}) SELECT pos, string_agg(label, ',' ORDER BY rule) AS sectors FROM headlines LEFT JOIN h USING (pos) GROUP BY pos""")
 def _(t: Tables):
-    return tagging.tag_sectors(t.headlines()).filter("victim_sectors is not null").select("pos", F.array_join("victim_sectors", ",").alias("sectors"))
+    return tagging.tag_sectors(t.headlines()).select("pos", F.array_join("victim_sectors", ",").alias("sectors"))
 
 
 @query("d08_tag_names_parts", """
@@ -275,9 +276,9 @@ VENDORS = [r["label"] for r in rules.load("vendors")]
 
 @query("d08_tag_names", f"WITH {TEXTS}, h AS (" + " UNION ALL ".join(
     f"SELECT pos, {lit(v)} AS name FROM x WHERE regexp_matches(text, {lit('(^|[^A-Za-z0-9])' + v + '($|[^A-Za-z0-9])')}, 'i')" for v in VENDORS)
-    + ") SELECT pos, string_agg(name, ',' ORDER BY name) AS names FROM h GROUP BY pos")
+    + ") SELECT pos, string_agg(name, ',' ORDER BY name) AS names FROM headlines LEFT JOIN h USING (pos) GROUP BY pos")
 def _(t: Tables):
-    return tagging.tag_names(t.headlines(), VENDORS).filter("asset_tags is not null").select("pos", F.array_join(F.array_sort("asset_tags"), ",").alias("names"))
+    return tagging.tag_names(t.headlines(), VENDORS).select("pos", F.array_join(F.array_sort("asset_tags"), ",").alias("names"))
 
 
 def region_sql() -> str:
@@ -300,9 +301,9 @@ def _(t: Tables):
     return tagging.infer_region(t.headlines()).select("pos", "feed_region")
 
 
-@query("d10_tracked_keywords", f"WITH {TEXTS}, h AS ({rule_hits(rules.load('keywords'), 'text', 'x')}) SELECT pos, string_agg(label, ',' ORDER BY rule) AS words FROM h GROUP BY pos")
+@query("d10_tracked_keywords", f"WITH {TEXTS}, h AS ({rule_hits(rules.load('keywords'), 'text', 'x')}) SELECT pos, string_agg(label, ',' ORDER BY rule) AS words FROM headlines LEFT JOIN h USING (pos) GROUP BY pos")
 def _(t: Tables):
-    return tagging.tracked_keywords(t.headlines()).filter("tracked is not null").select("pos", F.array_join("tracked", ",").alias("words"))
+    return tagging.tracked_keywords(t.headlines()).select("pos", F.array_join("tracked", ",").alias("words"))
 
 
 @query("d13_proper_nouns", r"""

@@ -10,6 +10,7 @@ from wirelens.operators import clusters, corpus, digest, enrich, feeds, filters,
 from wirelens.plans import headlines as hl
 from wirelens.plans.checks_items import fmt, lit, matches, rule_hits, shown, timed, TEXTS
 from wirelens.plans.registry import AS_OF, Tables, query
+from wirelens.session import cut
 
 
 def rated(t: Tables):
@@ -331,20 +332,20 @@ SELECT key, CASE WHEN past = 0 THEN 'new_emergence' ELSE 'tracked_keyword' END A
   CASE WHEN past = 0 THEN today_count ELSE today_count / (past / 14) END AS spike_ratio
 FROM s WHERE today_count >= 3 AND (past = 0 OR today_count >= past / 14 * 2)""")
 def _(t: Tables):
-    counts = trends.daily_counts(t.events().withColumn("key0", F.concat(F.lit("u"), F.col("user_id").cast("string"))), "key0", "tracked_keyword")
-    return trends.spikes(counts, "2024-01-28")
+    users = t.events().withColumn("key0", F.concat(F.lit("u"), F.col("user_id").cast("string")))
+    return trends.spikes(cut(trends.daily_counts(users, "key0", "tracked_keyword")), "2024-01-28")
 
 
 @query("flagship_category_spikes", f"""
 WITH k AS (SELECT category, CAST(event_ts AS DATE) AS day FROM headlines QUALIFY row_number() OVER (PARTITION BY title ORDER BY pos) = 1),
 c AS (SELECT day, category AS key, count(*) AS n FROM k GROUP BY 1, 2),
-d AS (SELECT DISTINCT day FROM c WHERE day < DATE '2024-01-20' ORDER BY day DESC LIMIT 14),
-s AS (SELECT key, coalesce(sum(n) FILTER (WHERE day = DATE '2024-01-20'), 0) AS today_count, coalesce(sum(n) FILTER (WHERE day IN (SELECT day FROM d)), 0) AS past FROM c GROUP BY key)
+d AS (SELECT DISTINCT day FROM c WHERE day < DATE '2024-01-18' ORDER BY day DESC LIMIT 14),
+s AS (SELECT key, coalesce(sum(n) FILTER (WHERE day = DATE '2024-01-18'), 0) AS today_count, coalesce(sum(n) FILTER (WHERE day IN (SELECT day FROM d)), 0) AS past FROM c GROUP BY key)
 SELECT key, 'category' AS type, today_count, past / (SELECT count(*) FROM d) AS avg_count, today_count / (past / (SELECT count(*) FROM d)) AS spike_ratio
-FROM s WHERE today_count >= 1 AND past > 0 AND today_count >= past / (SELECT count(*) FROM d) * 1.5""")
+FROM s WHERE today_count >= 3 AND past > 0 AND today_count >= past / (SELECT count(*) FROM d) * 2""")
 def _(t: Tables):
     kept = corpus.keep_first(timed(t), ["title"], [F.col("pos")])
-    return trends.spikes(trends.daily_counts(kept, "category", "category", "event_ts"), "2024-01-20", ratio=1.5, min_count=1)
+    return trends.spikes(cut(trends.daily_counts(kept, "category", "category", "event_ts")), "2024-01-18")
 
 
 @query("g11_escalations", """

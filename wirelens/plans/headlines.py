@@ -58,14 +58,15 @@ def headlines(documents: DataFrame) -> DataFrame:
     def every(n: int, rest: int = 0) -> Column:
         return F.pmod(d, F.lit(n)) == rest
 
-    words = F.regexp_extract_all(F.col("text"), F.lit("[A-Za-z]+"), 0)
+    first = F.nullif(F.regexp_extract("text", "[A-Za-z]+", 0), F.lit(""))
+    second = F.nullif(F.regexp_extract("text", "^[^A-Za-z]*[A-Za-z]+[^A-Za-z]+([A-Za-z]+)", 1), F.lit(""))
     title = _pick(TEMPLATES)
     for slot, values in (("{who}", ACTORS), ("{org}", ORGS), ("{place}", PLACES)):
         title = F.replace(title, F.lit(slot), _pick(values))
-    tail = F.concat_ws(" ", F.get(words, F.lit(0)), F.get(words, F.lit(1)))
+    tail = F.concat_ws(" ", first, second)
     cve = F.concat(F.lit("CVE-2024-"), (1000 + F.pmod(d, F.lit(37))).cast("string"))
-    second = F.concat(F.lit(" cve-2024-"), (1000 + F.pmod(d * 7, F.lit(37))).cast("string"))
-    minutes = F.pmod(d * 7919, F.lit(43200))
+    other_cve = F.concat(F.lit(" cve-2024-"), (1000 + F.pmod(d * 7, F.lit(37))).cast("string"))
+    minutes = F.pmod(d * F.pmod(d, F.lit(13)) * 997, F.lit(43200))
     when = F.timestamp_seconds(F.lit(1704067200) + minutes * 60)  # 2024-01-01 UTC
 
     published = (
@@ -84,7 +85,7 @@ def headlines(documents: DataFrame) -> DataFrame:
         d.alias("pos"),
         F.concat(title, F.lit(" "), tail).alias("title"),
         F.concat(
-            F.when(every(4), cve).otherwise(""), F.when(every(8), second).otherwise(""),
+            F.when(every(4), cve).otherwise(""), F.when(every(8), other_cve).otherwise(""),
             F.when(every(4), " ").otherwise(""), F.col("text"),
         ).alias("summary"),
         link.alias("link"),
@@ -132,7 +133,7 @@ def _sql_pick(values: tuple[str, ...]) -> str:
 ORACLE_WITH = f"""
 WITH base AS (
   SELECT *, regexp_extract_all(text, '[A-Za-z]+') AS w,
-         TIMESTAMP '2024-01-01 00:00:00' + to_minutes((doc_id * 7919) % 43200) AS t
+         TIMESTAMP '2024-01-01 00:00:00' + to_minutes((doc_id * (doc_id % 13) * 997) % 43200) AS t
   FROM documents),
 headlines0 AS (
   SELECT doc_id AS pos,

@@ -7,8 +7,9 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from wirelens.plans import headlines as hl
-from wirelens.session import prepare
+from wirelens.session import prepare, spread
 
+TEXT_TABLES = ("documents", "pages", "conversations")
 AS_OF = "2024-01-31 00:00:00"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -21,7 +22,8 @@ class Tables:
         self.spark, self.sf_dir = prepare(spark), sf_dir
 
     def __call__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        table = self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
+        return spread(table) if name in TEXT_TABLES else table
 
     def headlines(self) -> DataFrame:
         return hl.headlines(self("documents"))

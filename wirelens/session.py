@@ -52,3 +52,13 @@ def cut(df: DataFrame) -> DataFrame:
     """
     shared_dir(df.sparkSession)
     return df.checkpoint()
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """Give a text table at least one task per core.
+
+    Tagging is bound by CPU. A table of few row groups would run on as few
+    cores; a large one already has more scan tasks than cores and is left alone.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
