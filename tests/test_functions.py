@@ -1,0 +1,84 @@
+from pyspark.sql import functions as F
+
+from wirelens.functions import bands, jsonfix, net, regions, text, times, urls
+
+
+def column(spark, values, fn, kind="string"):
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(values)], f"i long, v {kind}")
+    return [r[0] for r in df.orderBy("i").select(fn(F.col("v"))).collect()]
+
+
+def test_dates_parse_or_stay_null(spark):
+    cases = {
+        "2026-04-14T12:00:00Z": "2026-04-14 12:00:00", "2026-04-14T12:00:00.123+02:00": "2026-04-14 10:00:00",
+        "2026-04-14T12:00:00+0200": "2026-04-14 10:00:00", "Tue, 14 Apr 2026 12:00:00 GMT": "2026-04-14 12:00:00",
+        "14 Apr 2026 12:00:00 -0500": "2026-04-14 17:00:00", "Tue, 14 Apr 2026 12:00:00 EST": "2026-04-14 17:00:00",
+        "14 Apr 2026 12:00 XYZ": "2026-04-14 12:00:00", "2026-04-14 12:00:00": "2026-04-14 12:00:00", "2026-04-14": "2026-04-14 00:00:00",
+        "2026-04-14 12:00:00 UTC": "2026-04-14 12:00:00", " 2026-04-14 12:00 ": "2026-04-14 12:00:00",
+        "12:00": None, "2026": None, "soon": None, "": None, "2026-13-45": None, "99 Foo 2026 12:00:00": None,
+    }
+    got = column(spark, [*cases, None], lambda c: F.date_format(times.parse_event_time(c), "yyyy-MM-dd HH:mm:ss"))
+    assert got == [*cases.values(), None]
+
+
+def test_titles(spark):
+    cases = {"  BREAKING: Update:  Big, Hack! ": "big hack", "Alert: Exclusive: x": "exclusive x", "Just in:CVE-2024-1": "cve20241", "": ""}
+    assert column(spark, list(cases), text.normalize_title) == list(cases.values())
+    assert column(spark, ["The Hack - Wire", "A - b | Net", "a | b - c"], text.title_key) == ["the hack", "a", "a"]
+    words = column(spark, ["the big hack of big bank"], lambda c: text.content_words(text.normalize_title(c)))[0]
+    assert words == ["big", "hack", "big", "bank"]
+
+
+def test_overlap(spark):
+    df = spark.createDataFrame([(["a", "b"], ["b", "c", "d"]), ([], ["a"])], "a array<string>, b array<string>")
+    assert [r[0] for r in df.select(text.overlap_coefficient(F.col("a"), F.col("b"))).collect()] == [0.5, 0.0]
+
+
+def test_lead_summary_and_headline(spark):
+    long = "word " * 200
+    got = column(spark, ["One. Two! Three? Four.", long, None, " "], text.lead_summary)
+    assert got[0] == "One. Two! Three?" and len(got[1]) == 500 and got[1].endswith("...") and got[2:] == ["", ""]
+    clipped = column(spark, ["x" * 120 + ", " + "y" * 80, "z" * 200, "short"], text.clip_headline)
+    assert clipped == ["x" * 120 + "…", "z" * 160 + "…", "short"]
+
+
+def test_urls(spark):
+    assert column(spark, ["https://a.b/c/?x=1#f", "https://a.b/c//", "http://a.b"], urls.canonical_url) == ["https://a.b/c", "https://a.b/c", "http://a.b"]
+    flags = column(spark, ["https://ok.example/x", "http://x.onion/", "http://x.i2p", "ftp://a.b", "https://", None, "", "http://notonion.example", "https://u:p@h.onion:80/x"], urls.is_clearnet)
+    assert flags == [True, False, False, False, False, False, False, True, False]
+    assert column(spark, ["https://r.x/?a=1&url=https%3A%2F%2Fz.y%2Fq", "https://r.x/"], urls.embedded_url) == ["https://z.y/q", None]
+    assert column(spark, ["https://www.feeds.bbc.co.uk/x", None], urls.source_name) == ["Bbc", "Unknown"]
+
+
+def test_regions(spark):
+    got = column(spark, [["US", "Global"], ["UK", "US"], ["a", "b", "c"], [], ["Global"]], regions.collapse_regions, "array<string>")
+    assert got == ["US", "UK,US", "Global", "Global", "Global"]
+    df = spark.createDataFrame([("US", "UK"), ("Global", "UK"), ("US,UK", "FR"), ("US", None)], "a string, b string")
+    assert [r[0] for r in df.select(regions.union_regions(F.col("a"), F.col("b"))).collect()] == ["UK,US", "Global", "Global", "US"]
+
+
+def test_bands(spark):
+    as_of = times.as_timestamp("2024-05-01 00:00:00")
+    ages = ["2024-04-17 00:00:00", "2024-04-16 00:00:00", "2024-02-01 00:00:00", "2024-01-31 00:00:00", None]
+    got = column(spark, ages, lambda c: bands.campaign_status(F.to_timestamp(c), as_of))
+    assert got == ["active", "dormant", "dormant", "archived", "unknown"]
+    assert column(spark, [0.5, 0.1, 0.01, 0.009], bands.epss_risk, "double") == ["VERY HIGH", "HIGH", "MODERATE", "LOW"]
+    assert column(spark, ["featherless/x", "groq/y", "new/z", None], bands.tier_rank) == [1, 3, 99, 99]
+
+
+def test_public_addresses(spark):
+    ips = ["8.8.8.8", "10.0.0.1", "172.16.3.4", "172.32.0.1", "192.168.1.1", "1.2.3.4", "127.0.0.1", "169.254.169.254", "224.0.0.1", "300.1.1.1", "01.2.3.5", "203.0.113.9"]
+    assert column(spark, ips, net.is_public_ip) == [True, False, False, True, False, False, False, False, False, False, False, False]
+    got = column(spark, [["2a00:1450:4001:81b:0:0:0:200e", "fe80:0:0:0:1:2:3:4", "1:2:3"]], net.public_ipv6, "array<string>")
+    assert got == [["2a00:1450:4001:81b:0:0:0:200e"]]
+
+
+def test_tolerant_json(spark):
+    raw = ['{"a": 1}', '{"a": None, "b": [1,],}', 'say {"a": 2} done', "nothing", None]
+    df = jsonfix.tolerant_json(spark.createDataFrame([(r,) for r in raw], "raw string"), "raw")
+    assert [r.parsed_from for r in df.collect()] == ["strict", "repaired", "block", "quarantine", "quarantine"]
+
+
+def test_ids_are_stable(spark):
+    a, b = (column(spark, ["x", "y"], lambda c: text.typed_id("report", c)) for _ in range(2))
+    assert a == b and a[0] != a[1] and [len(p) for p in a[0].split("--")[1].split("-")] == [8, 4, 4, 4, 12]

@@ -10,7 +10,7 @@ from pyspark.sql import Column, functions as F, types as T
 from wirelens import fixed
 
 NON_PUBLIC_V4 = (
-    # private, loopback, link-local, shared, documentation, benchmark, multicast, reserved blocks
+    # private, loopback, link-local, documentation, benchmark, multicast, reserved blocks
     "0.0.0.0/8", "10.0.0.0/8", "127.0.0.0/8", "169.254.0.0/16", "172.16.0.0/12",
     "192.0.0.0/29", "192.0.0.170/31", "192.0.2.0/24", "192.168.0.0/16",
     "198.18.0.0/15", "198.51.100.0/24", "203.0.113.0/24", "224.0.0.0/4", "240.0.0.0/4", "255.255.255.255/32",
@@ -18,9 +18,10 @@ NON_PUBLIC_V4 = (
 
 
 def ipv4_number(ip: Column) -> Column:
-    """Dotted quad as a long, null when an octet is missing."""
+    """Dotted quad as a long, null when an octet is missing or above 255."""
     octets = F.split(ip, r"\.")
-    part = [F.get(octets, F.lit(i)).try_cast("long") for i in range(4)]
+    numbers = [F.get(octets, F.lit(i)).try_cast("long") for i in range(4)]
+    part = [F.when(n.between(0, 255), n) for n in numbers]
     return part[0] * 16777216 + part[1] * 65536 + part[2] * 256 + part[3]
 
 
