@@ -54,12 +54,34 @@ def _(t: Tables):
     return clusters.entity_sizes(clusters.entity_edges(t.headlines())).select("entity_type", "entity_name", "article_count", F.col("first.pos").alias("first_pos"))
 
 
-@query("g14_greedy_cover")
+def cover_sql() -> str:
+    """The sequential rule, one entity after the other, for the checking engine."""
+    orgs = " UNION ALL ".join(
+        f"SELECT pos, {i} AS g, regexp_extract(title, {lit(r['pattern'])}, 1) AS org FROM headlines" for i, r in enumerate(rules.load("orgs")))
+    return f"""WITH RECURSIVE {TEXTS},
+raw AS (SELECT 'cve' AS entity_type, cve_id AS entity_name, pos, 0 AS kind, cve_id AS k FROM item_cves
+  UNION ALL SELECT 'actor', label, pos, 1, lpad(CAST(rule AS VARCHAR), 4, '0') FROM ({rule_hits(rules.load('actors'), 'text', 'x')})
+  UNION ALL SELECT 'org', org, pos, 2, lpad(CAST(g AS VARCHAR), 4, '0') FROM ({orgs}) WHERE org <> ''),
+ent AS (SELECT entity_type, entity_name, list(DISTINCT pos) AS members, min((pos, kind, k)) AS head FROM raw GROUP BY 1, 2),
+ranked AS (SELECT *, row_number() OVER (ORDER BY len(members) DESC, head) AS r FROM ent WHERE len(members) >= 3),
+step AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS covered, false AS keep
+  UNION ALL SELECT n.r, CASE WHEN len(list_filter(n.members, lambda m: NOT list_contains(s.covered, m))) >= 2 THEN list_distinct(s.covered || n.members) ELSE s.covered END,
+    len(list_filter(n.members, lambda m: NOT list_contains(s.covered, m))) >= 2 FROM step s JOIN ranked n ON n.r = s.r + 1),
+kept AS (SELECT entity_type, entity_name, len(members) AS article_count, members FROM ranked JOIN step USING (r) WHERE keep)
+"""
+
+
+COVER = cover_sql()
+
+
+@query("g14_greedy_cover", COVER + "SELECT entity_type, entity_name, article_count FROM kept")
 def _(t: Tables):
     return clusters.greedy_cover(clusters.entity_edges(t.headlines()))
 
 
-@query("f06_build_clusters")
+@query("f06_build_clusters", COVER + f"""
+, m AS (SELECT entity_type, entity_name, article_count, unnest(members) AS pos FROM kept)
+SELECT entity_type, entity_name, article_count, {fmt('min(event_ts)')} AS first_seen, least(article_count, 10) AS shown FROM m JOIN headlines USING (pos) GROUP BY ALL""")
 def _(t: Tables):
     items = timed(t)
     summary, _members = clusters.build_clusters(items, clusters.entity_edges(items))
@@ -100,6 +122,14 @@ def _campaigns(t: Tables):
     return clusters.upsert_campaigns(clusters.empty_campaigns(t.spark), summary, members, AS_OF), items
 
 
+@query("e06_campaign_sizes", COVER + """
+, h AS (SELECT sha256(entity_type || ':' || entity_name) AS h, entity_name, article_count FROM kept)
+SELECT 'campaign--' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32] AS campaign_id, entity_name, least(article_count, 500) AS articles_in_window FROM h""")
+def _(t: Tables):
+    campaigns, items = _campaigns(t)
+    return clusters.campaign_view(campaigns, items).groupBy("campaign_id", "entity_name").agg(F.max("articles_in_window").alias("articles_in_window"))
+
+
 @query("f07_upsert_campaigns")
 def _(t: Tables):
     items = timed(t)
@@ -253,7 +283,11 @@ def _(t: Tables):
     return profiles.select("name", "article_count", F.array_join(packed, ",").alias("techniques"))
 
 
-@query("g06_top_tactics_per_actor")
+@query("g06_top_tactics_per_actor", EDGES + f"""
+, tech AS ({' UNION '.join(f"SELECT pos, '{r['tactic']}' AS tactic FROM x WHERE {matches('text', r)}" for r in rules.load('techniques'))}),
+a AS (SELECT entity_name AS name, pos, count(*) OVER (PARTITION BY entity_name) AS n FROM edges WHERE entity_type = 'actor'),
+c AS (SELECT name, tactic, count(*) AS count FROM a JOIN tech USING (pos) WHERE n >= 2 GROUP BY 1, 2)
+SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY name ORDER BY count DESC, tactic) <= 6""")
 def _(t: Tables):
     return clusters.actor_profiles(tagging.tag_techniques(t.headlines())).select("name", F.inline("observed_tactics"))
 
@@ -389,7 +423,14 @@ def _(t: Tables):
     return feeds.health_report(feeds.feed_health(fetch_events(t)))
 
 
-@query("f08_signal_scores")
+@query("f08_signal_scores", FETCHES.replace("CAST(value AS INTEGER)", "CAST(trunc(value) AS INTEGER)") + """
+, l AS (SELECT e.*, ok.m FROM e JOIN ok USING (url) WHERE ok.m IS NULL OR (e.ts, e.event_id) > ok.m),
+s AS (SELECT ok.url, ok.m, min(l.ts) FILTER (WHERE NOT l.success) AS fe, max((l.ts, l.event_id)) FILTER (WHERE NOT l.success) AS le, max((l.ts, l.event_id)) FILTER (WHERE l.success) AS lq FROM ok LEFT JOIN l USING (url) GROUP BY ALL),
+k AS (SELECT url, count(*) AS total, count(*) FILTER (WHERE success) AS succ, sum(CASE WHEN success THEN n ELSE 0 END) AS entries FROM e GROUP BY url),
+st AS (SELECT s.url, total, succ, entries, CASE WHEN lq IS NOT NULL AND (le IS NULL OR lq > le) AND m IS NULL AND succ >= 10 THEN 'silent'
+   WHEN le IS NULL THEN 'ok' WHEN epoch(le[1]) - epoch(fe) >= 7 * 86400 THEN 'dead' WHEN epoch(le[1]) - epoch(fe) >= 3 * 86400 THEN 'suspect' ELSE 'error' END AS status FROM s JOIN k USING (url))
+SELECT url, status, total AS fetches_total, succ AS fetches_successful, CAST(entries AS BIGINT) AS entries_total, coalesce(entries / nullif(succ, 0), 0) AS avg_entries_per_fetch,
+  coalesce(succ / total * least(entries / nullif(succ, 0) / 20, 1.0) * CASE status WHEN 'ok' THEN 1.0 WHEN 'error' THEN 0.7 WHEN 'suspect' THEN 0.5 WHEN 'stale' THEN 0.3 WHEN 'silent' THEN 0.2 ELSE 0.1 END * 100, 0) AS signal_score FROM st""")
 def _(t: Tables):
     return feeds.signal_scores(feeds.feed_health(fetch_events(t))).select("url", "status", "fetches_total", "fetches_successful", "entries_total", "avg_entries_per_fetch", "signal_score")
 

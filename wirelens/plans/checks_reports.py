@@ -9,7 +9,8 @@ from wirelens.functions import text as tx, times
 from wirelens.operators import audits, clusters as cl, corpus, feeds, tagging, usage
 from wirelens.plans import headlines as hl, views
 from wirelens.plans.checks_items import any_of, fmt, matches, rule_hits, shown, timed
-from wirelens.plans.checks_joins import COUNTS, FETCHES, fetch_events, rated
+from wirelens.plans.checks_joins import COUNTS, COVER, FETCHES, fetch_events, rated
+from wirelens.plans.checks_similar import PAIRS
 from wirelens.plans.registry import AS_OF, Tables, query
 from wirelens.sinks import writers
 from wirelens.sources import readers
@@ -386,7 +387,15 @@ def _(t: Tables):
         F.col("url").cast("long").alias("url"), "fetches_total", "fetches_successful", "consecutive_errors", "entries_total")
 
 
-@query("j07_level_alerts")
+LEVELS = """
+WITH RECURSIVE v AS (SELECT user_id, (ts, event_id) AS p, ts, (['LOW', 'GUARDED', 'MODERATE', 'ELEVATED', 'CRITICAL'])[CAST(event_id % 5 AS INTEGER) + 1] AS level FROM events WHERE event_id % 5 >= 3),
+k AS (SELECT user_id, min(p) AS p, arg_min(level, p) AS level FROM v GROUP BY user_id
+  UNION ALL SELECT user_id, n.p, n.level FROM (SELECT k.user_id, (SELECT min({'p': v.p, 'level': v.level}) FROM v WHERE v.user_id = k.user_id AND v.p > k.p
+    AND (v.level <> k.level OR v.ts >= k.p[1] + INTERVAL 12 HOUR)) AS n FROM k) WHERE n IS NOT NULL)
+SELECT user_id, p[2] AS event_id, level FROM k"""
+
+
+@query("j07_level_alerts", LEVELS)
 def _(t: Tables):
     levels = t.events().withColumn("level", F.get(tx.strings(["LOW", "GUARDED", "MODERATE", "ELEVATED", "CRITICAL"]), (F.col("event_id") % 5).cast("int")))
     return keyed.apply_rule(levels, keyed.level_alert(), "user_id", value="level").filter("accepted").select("user_id", "event_id", "level")
@@ -409,22 +418,72 @@ def _(t: Tables):
     return keyed.apply_rule(t.events(), keyed.thin(36000), "user_id").filter("accepted").select("user_id", "event_id")
 
 
-@query("j11_admission")
+ADMISSION = """
+WITH RECURSIVE k AS (SELECT user_id, min((ts, event_id)) AS c, CAST(NULL AS TIMESTAMP) AS a, CAST(NULL AS TIMESTAMP) AS b FROM events GROUP BY user_id
+  UNION ALL SELECT user_id, n, b, c[1] FROM (SELECT k.*, (SELECT min((e.ts, e.event_id)) FROM events e WHERE e.user_id = k.user_id AND (e.ts, e.event_id) > k.c
+    AND (k.a IS NULL OR e.ts > k.a + INTERVAL 24 HOUR)) AS n FROM k) WHERE n IS NOT NULL)
+SELECT user_id, event_id, event_id IN (SELECT c[2] FROM k) AS accepted FROM events"""
+
+
+@query("j11_admission", ADMISSION)
 def _(t: Tables):
     return keyed.apply_rule(t.events(), keyed.admission(limit=3, window=86400), "user_id").select("user_id", "event_id", "accepted")
 
 
-@query("j11_admission_stream")
+@query("j11_admission_stream", ADMISSION)
 def _(t: Tables):
     table, _state, checkpoint = jobs.scratch(t.spark, "admission")
     judged = keyed.apply_rule_stream(_event_stream(t), keyed.admission(limit=3, window=86400), "user_id")
     return jobs.run_to_table(judged, table, checkpoint).select("user_id", "event_id", "accepted")
 
 
-@query("j14_downgrade_guard")
+@query("j14_downgrade_guard", """
+WITH RECURSIVE v AS (SELECT user_id, (ts, event_id) AS p, ts, ([1, 3, 3, 99])[CAST(event_id % 4 AS INTEGER) + 1] AS r FROM events),
+k AS (SELECT user_id, min(p) AS p, arg_min(r, p) AS r FROM v GROUP BY user_id
+  UNION ALL SELECT user_id, n.p, n.r FROM (SELECT k.user_id, (SELECT min({'p': v.p, 'r': v.r}) FROM v WHERE v.user_id = k.user_id AND v.p > k.p
+    AND (v.r <= k.r OR v.ts >= k.p[1] + INTERVAL 24 HOUR)) AS n FROM k) WHERE n IS NOT NULL)
+SELECT user_id, p[2] AS event_id FROM k""")
 def _(t: Tables):
     labelled = t.events().withColumn("provider", F.get(tx.strings(["featherless/a", "openai/b", "groq/c", "other"]), (F.col("event_id") % 4).cast("int")))
-    return keyed.apply_rule(labelled, keyed.downgrade_guard(24), "user_id", value="provider").filter("accepted").select("user_id", "event_id", "provider")
+    return keyed.apply_rule(labelled, keyed.downgrade_guard(24), "user_id", value="provider").filter("accepted").select("user_id", "event_id")
+
+
+def _land(t: Tables, df, label: str):
+    """Write derived items as a landing folder and read it back as a stream."""
+    root, state, checkpoint = jobs.scratch(t.spark, label)
+    df.write.parquet(f"{root}-landing")
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
+    return jobs.read_landing(t.spark, f"{root}-landing", schema), root, state, checkpoint
+
+
+@query("j03_fuzzy_dedup_stream", PAIRS + """
+SELECT n.pos, n.pos > f.pos OR d.i IS NOT NULL AS is_duplicate FROM n JOIN f USING (norm) LEFT JOIN dup d ON d.i = n.pos""")
+def _(t: Tables):
+    stream, root, state, checkpoint = _land(t, t("documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("title")), "titles")
+    return jobs.fuzzy_dedup_stream(stream, root, state, checkpoint).select("pos", "is_duplicate")
+
+
+@query("j08_once_alerts_stream", """
+WITH p AS (SELECT pos, k.cve_id, k.date_added FROM item_cves c JOIN kev k USING (cve_id)),
+g AS (SELECT cve_id, min(date_added) AS date_added, count(*) AS articles FROM p WHERE date_added >= '2024-01-17' GROUP BY cve_id) SELECT * FROM g ORDER BY cve_id LIMIT 5""")
+def _(t: Tables):
+    stream, root, state, checkpoint = _land(t, rated(t).select("pos", "title", "kev_listed", "kev_entries"), "alerts")
+    return jobs.once_alerts_stream(stream, root, state, checkpoint, AS_OF).select("cve_id", "date_added", "articles")
+
+
+@query("j10_campaign_stream", COVER + "SELECT entity_type, entity_name, article_count AS total_observed_articles FROM kept")
+def _(t: Tables):
+    items = timed(t).select("pos", "hash", "title", "summary", "link", "source", "published", "category", "feed_region", "event_ts")
+    stream, _root, state, checkpoint = _land(t, items, "campaigns")
+    return jobs.campaign_stream(stream, state, checkpoint, AS_OF).select("entity_type", "entity_name", "total_observed_articles")
+
+
+@query("j16_read_since", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20'")
+def _(t: Tables):
+    from wirelens.operators import filters
+
+    table, _state, checkpoint = jobs.scratch(t.spark, "since")
+    return jobs.ingest(filters.since(_event_stream(t), "2024-01-20 00:00:00", "z", key="event_type"), table, checkpoint).select("event_id")
 
 
 # --- sinks and views ----------------------------------------------------------------------
@@ -523,11 +582,11 @@ def _(t: Tables):
     return views.dashboard(items, summary, members).select("pos", F.col("cluster.entity_name").alias("story"), F.col("cluster.article_count").alias("story_size"))
 
 
-@query("m_trends")
+@query("m_trends", "SELECT CAST(CAST(ts AS DATE) AS VARCHAR) AS day, count(*) AS total FROM events WHERE ts < TIMESTAMP '2024-02-01' GROUP BY 1")
 def _(t: Tables):
     from wirelens.operators import trends
 
-    return views.trend(trends.daily_counts(t.events(), "event_type", "category"), "2024-01-28")["daily_totals"]
+    return views.trend(trends.daily_counts(t.events(), "event_type", "category"), "2024-01-28")["daily_totals"].withColumn("day", F.col("day").cast("string"))
 
 
 @query("m_quality")
@@ -540,3 +599,18 @@ def _(t: Tables):
 def _(t: Tables):
     watch = readers.load_watchlist(t("part").select(F.lit("brand").alias("kind"), F.col("p_brand").alias("keyword")))
     return views.watchlist(watch, list(rules.load("vendors")), t.spark)
+
+
+@query("m_health", "SELECT count(DISTINCT user_id) AS total_tracked FROM events")
+def _(t: Tables):
+    table = feeds.feed_health(fetch_events(t))
+    state = audits.parity(t("events"), t("events")).select(
+        F.lit(10.0).alias("heartbeat_age"), F.lit(10.0).alias("last_run_age"), F.lit(False).alias("budget_exceeded"), F.col("primary_rows").alias("enriched"),
+        F.lit(0).alias("failures"), F.lit(0).alias("dead_feeds"), F.lit(1.0).alias("report_age_hours"))
+    return views.health(state, table, timed(t), AS_OF)["feeds"].select("total_tracked")
+
+
+@query("m_stix_bundle", "SELECT count(*) + 1 AS members FROM headlines")
+def _(t: Tables):
+    iocs = t.headlines().select(F.lit("unsupported").alias("kind"), F.col("title").alias("value"), F.lit("x").alias("malware"), "published")
+    return views.stix(t.headlines(), iocs, AS_OF)["bundle"].select("members")

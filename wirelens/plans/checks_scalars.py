@@ -150,7 +150,10 @@ def _(t: Tables):
     return t("documents").select("doc_id", tagging.refang(defanged).alias("text"))
 
 
-@query("b15_lead_summary")
+@query("b15_lead_summary", """
+WITH p AS (SELECT doc_id, regexp_replace(text, '^\\s+|\\s+$', '', 'g') AS x FROM documents),
+l AS (SELECT doc_id, array_to_string(string_split(regexp_replace(x, '([.!?])\\s+', '\\1' || chr(1), 'g'), chr(1))[1:3], ' ') AS l FROM p)
+SELECT doc_id, CASE WHEN length(l) > 500 THEN l[1:497] || '...' ELSE l END AS summary FROM l""")
 def _(t: Tables):
     return t("documents").select("doc_id", text.lead_summary(F.col("text")).alias("summary"))
 

@@ -48,7 +48,10 @@ def query(name: str, sql: str | None = None):
         if sql is not None:
             text = sql.strip()
             if "headlines" in text or "item_cves" in text:  # the item view comes first
-                text = hl.ORACLE_WITH + (", " + text[4:] if text.startswith("WITH") else text)
+                view = hl.ORACLE_WITH
+                if text.startswith("WITH RECURSIVE"):
+                    view, text = view.replace("WITH", "WITH RECURSIVE", 1), "WITH" + text[14:]
+                text = view + (", " + text[4:] if text.startswith("WITH") else text)
             ORACLES[name] = text
         return fn
     return add
