@@ -13,20 +13,38 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wirelens import fixed
 
 
-def feed_health(events: DataFrame, url: str = "url", ts: str = "ts", order: str = "event_id") -> DataFrame:
-    """State per feed after all its fetches (url, ts, success, entry_count)."""
+def fetch_marks(events: DataFrame, url: str = "url", ts: str = "ts", order: str = "event_id") -> DataFrame:
+    """One row per feed: last healthy fetch, totals, and the errors and quiet fetches after it.
+
+    Fetches are reduced per feed and hour first, so the rows of a feed with very
+    many fetches meet their marks in as many groups as there are hours; only
+    hourly rows are then combined per feed.
+    """
     at = F.struct(F.col(ts).alias("ts"), F.col(order).alias("ord"))
     healthy = F.col("success") & (F.col("entry_count") > 0)
-    rows = events.select(F.col(url).alias("url"), at.alias("at"), "success", "entry_count", healthy.alias("healthy"))
-    marks = rows.groupBy("url").agg(
-        F.max(F.when(F.col("healthy"), F.col("at"))).alias("last_ok"), F.max("at").alias("last"),
-        F.count("*").alias("fetches_total"), F.count_if("success").alias("fetches_successful"),
-        F.sum(F.when(F.col("healthy"), F.col("entry_count").cast("long")).otherwise(0)).alias("entries_total"))
-    later = rows.join(marks.select("url", "last_ok"), "url").filter(F.col("last_ok").isNull() | (F.col("at") > F.col("last_ok")))
-    streak = later.groupBy("url").agg(
+    rows = events.select(F.col(url).alias("url"), F.date_trunc("hour", ts).alias("slot"), at.alias("at"), "success", "entry_count", healthy.alias("healthy"))
+    hourly = rows.groupBy("url", "slot").agg(
+        F.max(F.when(F.col("healthy"), F.col("at"))).alias("ok"), F.max("at").alias("last"),
+        F.count("*").alias("total"), F.count_if("success").alias("good"),
+        F.sum(F.when(F.col("healthy"), F.col("entry_count").cast("long")).otherwise(0)).alias("entries"))
+    later = rows.join(hourly.select("url", "slot", "ok"), ["url", "slot"]).filter(F.col("ok").isNull() | (F.col("at") > F.col("ok")))
+    after = later.groupBy("url", "slot").agg(
         F.count_if(~F.col("success")).alias("errors"), F.min(F.when(~F.col("success"), F.col("at"))).alias("first_error"),
         F.max(F.when(~F.col("success"), F.col("at"))).alias("last_error"), F.max(F.when(F.col("success"), F.col("at"))).alias("last_quiet"))
-    joined = marks.join(streak, "url", "left")
+    slots = hourly.join(after, ["url", "slot"], "left")
+    whole = slots.groupBy("url").agg(
+        F.max("ok").alias("last_ok"), F.max("last").alias("last"), F.sum("total").alias("fetches_total"),
+        F.sum("good").alias("fetches_successful"), F.sum("entries").alias("entries_total"))
+    tail = slots.join(whole.select("url", "last_ok"), "url").filter(
+        F.col("last_ok").isNull() | (F.col("ok") == F.col("last_ok")) | (F.col("slot") > F.col("last_ok.ts")))
+    streak = tail.groupBy("url").agg(
+        F.sum("errors").alias("errors"), F.min("first_error").alias("first_error"), F.max("last_error").alias("last_error"), F.max("last_quiet").alias("last_quiet"))
+    return whole.join(streak, "url", "left")
+
+
+def feed_health(events: DataFrame, url: str = "url", ts: str = "ts", order: str = "event_id") -> DataFrame:
+    """State per feed after all its fetches (url, ts, success, entry_count)."""
+    joined = fetch_marks(events, url, ts, order)
 
     def days(a: Column, b: Column) -> Column:
         return (F.unix_micros(a) - F.unix_micros(b)) / F.lit(86_400_000_000)

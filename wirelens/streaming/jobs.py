@@ -112,16 +112,11 @@ def merge_health(state: DataFrame, events: DataFrame) -> DataFrame:
     The batch is reduced to one row per feed before it meets the state, so a
     feed with very many fetches costs no more than a quiet one.
     """
-    healthy = F.col("success") & (F.col("entry_count") > 0)
-    rows = events.withColumn("at", F.struct("ts", "event_id")).withColumn("healthy", healthy)
-    marks = rows.groupBy("url").agg(
-        F.max(F.when(F.col("healthy"), F.col("at"))).alias("ok"), F.max("ts").alias("b_checked"), F.count("*").alias("b_total"),
-        F.count_if("success").alias("b_success"), F.sum(F.when(F.col("healthy"), F.col("entry_count").cast("long")).otherwise(0)).alias("b_entries"))
-    later = rows.join(marks.select("url", "ok"), "url").filter(F.col("ok").isNull() | (F.col("at") > F.col("ok")))
-    streak = later.groupBy("url").agg(
-        F.count_if(~F.col("success")).alias("b_errors"), F.min(F.when(~F.col("success"), F.col("ts"))).alias("b_first"),
-        F.max(F.when(~F.col("success"), F.col("ts"))).alias("b_last"), F.max(F.when(F.col("success"), F.col("ts"))).alias("b_quiet"))
-    both = state.join(marks.join(streak, "url", "left"), "url", "full_outer")
+    marks = feeds.fetch_marks(events).select(
+        "url", F.col("last_ok").alias("ok"), F.col("last.ts").alias("b_checked"), F.col("fetches_total").alias("b_total"),
+        F.col("fetches_successful").alias("b_success"), F.col("entries_total").alias("b_entries"), F.col("errors").alias("b_errors"),
+        F.col("first_error.ts").alias("b_first"), F.col("last_error.ts").alias("b_last"), F.col("last_quiet.ts").alias("b_quiet"))
+    both = state.join(marks, "url", "full_outer")
     reset = F.col("ok").isNotNull()
 
     def carried(old: str, new: str):
