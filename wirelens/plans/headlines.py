@@ -33,7 +33,7 @@ TEMPLATES = (
     "Annual threat report ranks {who} first across {place}",
     "Sigma rule and YARA rule for detecting {who} beaconing",
     "{place} privacy law: regulator fines {org} over password leak",
-    "Webinar: five ways to protect your business with {org}",
+    "Webinar: five ways to stop ransomware with {org}",
     "{org} opens new garden cafe in {place}",
     "Hacker arrested in {place} after {org} intrusion - Daily Wire | Net Desk",
 )
