@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelens.llm import columns as C
-from wirelens.llm import language, mixing, pieces, quality
+from wirelens.llm import fingerprints, html_text, language, licences, mixing, pieces, quality, top_k
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -65,5 +65,34 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(_read(spark, sf_dir, "documents"))
 
 
-QUERIES = {"op1_pieces": op1_pieces, "op2_mixing": op2_mixing, "op4_language": op4_language, "op5_quality": op5_quality}
-ORACLES: dict[str, str] = {}
+def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    return html_text.extract(_read(spark, sf_dir, "pages"))
+
+
+def op8_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The ten highest inner products of every hundredth vector among all others."""
+    return top_k.search(_read(spark, sf_dir, "embeddings"), lambda key: key % 100 == 0)
+
+
+def op9_licences(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Licences that every document names or quotes."""
+    return licences.scan(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fingerprints of every document and its edited text, with their likeness."""
+    return fingerprints.against_edits(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+QUERIES = {
+    "op1_pieces": op1_pieces,
+    "op2_mixing": op2_mixing,
+    "op4_language": op4_language,
+    "op5_quality": op5_quality,
+    "op7_html_text": op7_html_text,
+    "op8_top_k": op8_top_k,
+    "op9_licences": op9_licences,
+    "op10_fingerprints": op10_fingerprints,
+}
+ORACLES = {"op9_licences": licences.oracle("documents")}
