@@ -6,13 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelens.llm import columns as C
-from wirelens.llm import fingerprints, html_text, language, licences, mixing, pieces, quality, top_k
+from wirelens.llm import fingerprints, html_text, jaccard_join, language, licences, mixing, pieces, quality, top_k
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return C.session(spark).read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near-duplicate components of all documents: four-word shingles, similarity of 0.85."""
+    return jaccard_join.near_duplicates(_read(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def op4_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document, learned from the three quarters that are not held out."""
     docs = _read(spark, sf_dir, "documents").select("doc_id", "text", "lang")
@@ -88,6 +93,7 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_pieces": op1_pieces,
     "op2_mixing": op2_mixing,
+    "op3_jaccard_join": op3_jaccard_join,
     "op4_language": op4_language,
     "op5_quality": op5_quality,
     "op7_html_text": op7_html_text,
