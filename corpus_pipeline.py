@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelens.llm import columns as C
-from wirelens.llm import language, mixing, queries
+from wirelens.llm import jaccard_join, language, mixing, queries, suffix_dedup
 from wirelens.session import fresh_path
 
 
@@ -17,6 +17,20 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
     return language.accepted(docs, model)
 
 
+def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """N-gram Jaccard join: one document of each group stays, the one of smallest doc_id."""
+    C.session(spark)
+    return jaccard_join.without_near_copies(docs, join=NEAR)
+
+
+def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Suffix-array dedup: passages of 200 bytes that also begin elsewhere leave every text; n_chars follows."""
+    C.session(spark)
+    left = suffix_dedup.remove_repeats(docs).select("doc_id", F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"))
+    facts = docs.select("doc_id", "lang", "source")
+    return left.join(facts, "doc_id").select(*docs.columns)
+
+
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Mixing: every document enters as often as its fitted rate says; likely clean ones once at least."""
     C.session(spark)
@@ -33,8 +47,12 @@ def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     return queries.encoded(docs)
 
 
+#: Near copies share at least 0.8 of their five-word shingles.
+NEAR = jaccard_join.Join(width=5, percent=80)
 STAGES = [
     ("language", keep_known_language),
+    ("near_copies", one_of_near_copies),
+    ("repeats", without_repeats),
     ("mixing", mix_domains),
     ("pieces", encode_pieces),
 ]

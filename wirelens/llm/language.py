@@ -73,11 +73,13 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str
     rejection level: the lowest confidence of a correctly labelled held-back text, with a margin, and never over 0.5.
     Without labelled rows the model knows no language and answers ``und`` everywhere.
     """
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "text")
-    rows = (docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"))
-            .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars))
-            .withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
-            .orderBy("place", "lang").select("text", "lang").collect())
+    order = Window.partitionBy("lang").orderBy("turn", "doc_id")
+    rows = (docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.col(lang).alias("lang"), F.xxhash64(doc_id, F.lit(seed)).alias("turn"))
+            .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars)))
+    first = (rows.select("doc_id", "lang", "turn").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
+             .select("doc_id", "lang", "place").distinct())  # texts join only the few chosen keys
+    rows = (rows.join(F.broadcast(first.limit(per_language * 400)), ["doc_id", "lang"]).orderBy("place", "lang", "text")
+            .select("text", "lang").collect())
     languages = tuple(sorted({r.lang for r in rows}))
     number = {name: i for i, name in enumerate(languages)}
     pairs = [(x, number[r.lang]) for x, r in zip(_examples([r.text for r in rows], buckets, sizes), rows) if len(x[0])]

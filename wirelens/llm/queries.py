@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelens.llm import columns as C
-from wirelens.llm import fingerprints, html_text, jaccard_join, language, licences, mixing, pieces, quality, top_k
+from wirelens.llm import fingerprints, html_text, jaccard_join, language, licences, mixing, pieces, quality, suffix_dedup, top_k
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -70,6 +70,11 @@ def op1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encoded(_read(spark, sf_dir, "documents"))
 
 
+def op6_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes of every document that passages of 200 bytes repeat, and what is left of it."""
+    return suffix_dedup.remove_repeats(_read(spark, sf_dir, "documents").select("doc_id", "text")).drop("kept")
+
+
 def op7_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Main text of every page."""
     return html_text.extract(_read(spark, sf_dir, "pages"))
@@ -96,6 +101,7 @@ QUERIES = {
     "op3_jaccard_join": op3_jaccard_join,
     "op4_language": op4_language,
     "op5_quality": op5_quality,
+    "op6_suffix_dedup": op6_suffix_dedup,
     "op7_html_text": op7_html_text,
     "op8_top_k": op8_top_k,
     "op9_licences": op9_licences,
