@@ -7,10 +7,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from wirelens.session import prepare
+from wirelens.session import fresh_path, prepare
 
 #: Text bytes that a task turns into number arrays at once; a longer single text is taken alone.
 SLICE_BYTES = 1 << 20
@@ -27,11 +27,30 @@ def session(spark: SparkSession) -> SparkSession:
     return spark
 
 
+def stored(df: DataFrame) -> DataFrame:
+    """``df`` written once to the shared folder and read from there: short lineage that survives lost executors."""
+    at = fresh_path(df.sparkSession, "table")
+    df.write.parquet(at)
+    return df.sparkSession.read.schema(df.schema).parquet(at)
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row belongs to the quarter that no classifier may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))
 
 
+def labelled_sample(docs: DataFrame, labels: DataFrame, *, rows: int, max_chars: int, seed: int) -> list:
+    """Rows of text and y: of the ``rows`` labels first by hash, those whose text is there and not over ``max_chars``.
+
+    ``docs`` has doc_id and text, ``labels`` doc_id and y. Labels are chosen before any text is touched, so only that
+    many texts move.
+    """
+    turn = F.xxhash64("doc_id", F.lit(seed))
+    first = labels.where("y is not null and doc_id is not null").orderBy(turn, "doc_id", "y").limit(rows)
+    return (docs.where(F.col("text").isNotNull() & (F.length("text") <= max_chars)).join(F.broadcast(first), "doc_id")
+            .orderBy(turn, "doc_id", "text", "y").limit(rows).select("text", "y").collect())
+
+
 def filled(column) -> pa.Array:
     """One string array without nulls: a null text counts as empty."""
     if isinstance(column, pa.ChunkedArray):

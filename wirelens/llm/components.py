@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from wirelens.session import cut
+from wirelens.llm.columns import stored
 
 
 def _with_least(edges: DataFrame) -> DataFrame:
@@ -20,7 +20,7 @@ def components(edges: DataFrame) -> DataFrame:
     Each round hangs every node's larger partners, then its smaller ones, on its smallest; the rounds end when no edge
     changes. Lineage is cut in the shared folder after each round.
     """
-    now = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    now = stored(edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
     mark = None
     while True:
         both = now.union(now.select(F.col("v").alias("u"), F.col("u").alias("v")))
@@ -28,7 +28,7 @@ def components(edges: DataFrame) -> DataFrame:
         oriented = large.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
         linked = _with_least(oriented)
         small = linked.select(F.col("v").alias("u"), F.col("least").alias("v")).union(linked.select("u", F.col("least").alias("v")))
-        now = cut(small.where("u <> v").distinct())
+        now = stored(small.where("u <> v").distinct())
         state = now.agg(F.count(F.lit(1)), F.sum(F.pmod(F.xxhash64("u", "v"), F.lit(1 << 40)))).first()
         if mark == tuple(state):
             break

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from wirelens.session import cut
+from wirelens.llm.columns import stored
 
 #: Samples of a fingerprint; the standard error of a likeness is at most 0.5 / sqrt(SAMPLES).
 SAMPLES = 64
@@ -78,7 +78,7 @@ def next_below(docs: DataFrame, key: str) -> DataFrame:
     Keys are dealt into ranges once and written down, so that every later read sees the same ranges; only the ends of
     the ranges meet in one task.
     """
-    ranged = cut(docs.select(key).distinct().repartitionByRange(key).withColumn("__range", F.spark_partition_id()))
+    ranged = stored(docs.select(key).distinct().repartitionByRange(key).withColumn("__range", F.spark_partition_id()))
     ends = ranged.groupBy("__range").agg(F.max(key).alias("__top"))
     largest = ends.agg(F.max("__top").alias("__largest"))
     below = ends.withColumn("__below", F.lead("__top").over(Window.orderBy(F.desc("__range")))).select("__range", "__below")
@@ -100,7 +100,7 @@ def against_edits(docs: DataFrame, *, text: str = "text", key: str = "doc_id", s
            .withColumn("h", F.xxhash64("t")).withColumn("place", F.row_number().over(deal)).withColumn("before", F.lag("h").over(deal))
            .where("before is null or before <> h").select("k", "h", "t", "place"))
     sizes = docs.select(F.coalesce(F.col(key), F.lit(NO_KEY)).cast("long").alias("k"), F.coalesce(F.length(text), F.lit(0)).alias("n"))
-    links = cut(next_below(sizes, "k").join(sizes.groupBy("k").agg(F.max(F.floor(F.col("n") / 3)).alias("need")), "k"))
+    links = stored(next_below(sizes, "k").join(sizes.groupBy("k").agg(F.max(F.floor(F.col("n") / 3)).alias("need")), "k"))
     starts = (own.where("place = 1").join(links.select(F.col("k").alias("receiver"), F.col("next_key").alias("k"), "need"), "k")
               .select(F.col("receiver").alias("k"), F.expr("substring(t, 1, cast(need as int))").alias("start")))
     size = F.length("t")
@@ -113,7 +113,7 @@ def against_edits(docs: DataFrame, *, text: str = "text", key: str = "doc_id", s
     sides = signed.groupBy("k", "h").agg(F.first(F.when(F.col("v") == 0, F.col("signature")), True).alias("a"),
                                          F.first(F.when(F.col("v") == 1, F.col("signature")), True).alias("b"))
     facts = pairs.select("k", "h", "place", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
-    done = cut(sides.join(facts, ["k", "h"]))
+    done = stored(sides.join(facts, ["k", "h"]))
     heads = done.where("place = 1").select(F.col("k").alias("next_key"), F.col("a").alias("c"))
     return (done.join(links.select("k", "next_key"), "k").join(heads, "next_key")
             .select(F.when(F.col("k") != NO_KEY, F.col("k")).alias(key), "n_chars", "edited_sha256", text_of(F.col("a")).alias("fingerprint"),

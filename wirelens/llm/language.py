@@ -64,11 +64,13 @@ def _examples(texts: list[str], buckets: int, sizes: tuple[int, ...]) -> list[tu
     return out
 
 
-def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 500,
+def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 500, most: int = 400,
         max_chars: int = 12_000, buckets: int = 1 << 15, dim: int = 16, sizes: tuple[int, ...] = (2, 3, 4),
         epochs: int = 4, rate: float = 0.5, seed: int = 7) -> Model:
     """Train on a bounded sample: of each language the ``per_language`` rows first by hash, of ``max_chars`` at most.
 
+    The sample is meant for ``most`` languages at most; of more, rows of the later ones by hash are left out of it.
+
     Rows without language or letters teach nothing. A fifth of the sample is held back to fit the temperature and the
     rejection level: the lowest confidence of a correctly labelled held-back text, with a margin, and never over 0.5.
     Without labelled rows the model knows no language and answers ``und`` everywhere.
@@ -78,7 +80,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str
             .where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.length("text") <= max_chars)))
     first = (rows.select("doc_id", "lang", "turn").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
              .select("doc_id", "lang", "place").distinct())  # texts join only the few chosen keys
-    rows = (rows.join(F.broadcast(first.limit(per_language * 400)), ["doc_id", "lang"]).orderBy("place", "lang", "text")
+    rows = (rows.join(F.broadcast(first.orderBy("place", "lang").limit(per_language * most)), ["doc_id", "lang"]).orderBy("place", "lang", "text")
             .select("text", "lang").collect())
     languages = tuple(sorted({r.lang for r in rows}))
     number = {name: i for i, name in enumerate(languages)}

@@ -39,16 +39,14 @@ def _present(texts: pa.Array, buckets: int) -> tuple[np.ndarray, np.ndarray, np.
 def fit(docs: DataFrame, labelled: DataFrame, *, text: str = "text", doc_id: str = "doc_id", domain: str = "domain",
         rows: int = 6_000, max_chars: int = 20_000, buckets: int = 1 << 16, least: int = 3, epochs: int = 6,
         rate: float = 0.1, seed: int = 5) -> Model:
-    """Learn domains from a bounded sample: the ``rows`` labelled texts first by hash, of ``max_chars`` at most.
+    """Learn domains from a bounded sample: the ``rows`` labels first by hash, texts of ``max_chars`` at most.
 
     Only buckets that ``least`` sample texts have get a weight. Null domains or texts teach nothing; without labels
     the model has no domain. A fifth of the sample fits the temperature.
     """
-    marked = labelled.select(F.col(doc_id).alias("doc_id"), F.col(domain).alias("y")).where("y is not null")
-    sample = (docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-              .where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-              .join(marked, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "text", "y").limit(rows)
-              .select("text", "y").collect())
+    sample = C.labelled_sample(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")),
+                               labelled.select(F.col(doc_id).alias("doc_id"), F.col(domain).alias("y")),
+                               rows=rows, max_chars=max_chars, seed=seed)
     domains = tuple(sorted({r.y for r in sample}))
     k = len(domains)
     weights, bias = np.zeros((buckets, k)), np.zeros(k)

@@ -82,16 +82,14 @@ def _probability(x: np.ndarray, layers: tuple[np.ndarray, ...]) -> np.ndarray:
 def fit(docs: DataFrame, labels: DataFrame, *, text: str = "text", doc_id: str = "doc_id", label: str = "quality",
         rows: int = 4_000, max_chars: int = 20_000, buckets: int = 1 << 14, dim: int = 48, window: int = 2,
         hidden: int = 24, epochs: int = 60, seed: int = 11) -> Model:
-    """Learn word vectors and network from a bounded sample: the ``rows`` labelled texts first by hash, short enough.
+    """Learn word vectors and network from a bounded sample: the ``rows`` labels first by hash.
 
     A fifth of the sample is held back to fit the temperature. Null labels or texts teach nothing. Several labels of a
     document all count. With fewer than two classes every score is the share of label 1 (one half without any label).
     """
-    marked = labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")).where("y is not null")
-    sample = (docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-              .where(F.col("text").isNotNull() & (F.length("text") <= max_chars))
-              .join(marked, "doc_id").orderBy(F.xxhash64("doc_id", F.lit(seed)), "doc_id", "text", "y").limit(rows)
-              .select("text", "y").collect())
+    sample = C.labelled_sample(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")),
+                               labels.select(F.col(doc_id).alias("doc_id"), F.col(label).cast("int").alias("y")),
+                               rows=rows, max_chars=max_chars, seed=seed)
     texts, y = [r.text for r in sample], np.array([int(r.y == 1) for r in sample], np.int64)
     vectors = context_vectors(texts, buckets, dim, window, seed)
     empty = (np.zeros((2 * dim + 2, hidden)), np.zeros(hidden), np.zeros((hidden, 2)), np.zeros(2))
