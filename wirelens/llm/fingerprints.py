@@ -1,7 +1,9 @@
 """Document fingerprints by consistent weighted sampling: equal samples are as likely as generalised Jaccard is high.
 
 Terms are the words of a text, weighted by how often they occur. For every sample each term draws two gamma values and
-a shift from its own hash; the term with the smallest arrival gives the sample, together with its quantised weight.
+a shift from its own hash; the term with the smallest arrival gives the sample, together with its quantised weight. The
+first gamma value is the sum of two exponential draws, of which a term has a dozen for all its samples; the second and
+the shift are drawn anew for every sample.
 Only DataFrame functions: texts are dealt out by key once, everything after that stays in place.
 """
 
@@ -12,47 +14,62 @@ from pyspark.sql import functions as F
 
 from wirelens.llm.columns import stored
 
-#: Samples of a fingerprint; the standard error of a likeness is at most 0.5 / sqrt(SAMPLES).
-SAMPLES = 64
+#: Terms are dealt by hash into PARTS, each with SAMPLES of its own: a term takes part in the samples of its part alone.
+#: The standard error of a likeness is at most 0.5 / sqrt(PARTS * SAMPLES).
+PARTS, SAMPLES = 4, 12
+#: Exponential draws of a term from which pairs make the gamma scales of its samples.
+DRAWS = 12
 #: Stands for a missing key while documents are ordered: it comes last in descending order.
 NO_KEY = -(1 << 63)
 
 
 def words(text: Column) -> Column:
-    """Words of a text (runs without white space); null and empty texts have none."""
-    return F.filter(F.split(F.coalesce(text, F.lit("")), r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    """Words of a text (runs without white space); null, empty and blank texts have the empty word alone."""
+    blanks = F.lit(" \t\n\x0b\x0c\r")
+    return F.split(F.trim(F.coalesce(text, F.lit("")), blanks), r"[\x20\x09-\x0D]+")
 
 
-def _unit(bits: Column, width: int) -> Column:
-    return (bits + F.lit(0.5)) / F.lit(float(1 << width))
+def _low(bits: Column, width: int) -> Column:
+    return bits.bitwiseAND(F.lit((1 << width) - 1))
 
 
-def _sample(term: Column, log_weight: Column, i: int) -> Column:
-    """Arrival and identity of a term in sample ``i`` as one number: 40 bits of arrival, 24 bits of identity."""
-    first, second = F.xxhash64(term, F.lit(2 * i)), F.xxhash64(term, F.lit(2 * i + 1))
-    low = lambda h, w: h.bitwiseAND(F.lit((1 << w) - 1))
-    scale = -F.ln(_unit(low(first, 32), 32) * _unit(F.shiftrightunsigned(first, 32), 32))           # gamma(2, 1)
-    arrival = -F.ln(_unit(low(second, 21), 21) * _unit(low(F.shiftrightunsigned(second, 21), 21), 21))  # gamma(2, 1)
-    shift = F.shiftrightunsigned(second, 42) / F.lit(float(1 << 22))
+def _exponential(bits: Column, width: int) -> Column:
+    return -F.ln((bits + F.lit(0.5)) / F.lit(float(1 << width)))
+
+
+def _sample(term: Column, log_weight: Column, i: int, a: int, b: int) -> Column:
+    """Arrival and identity of a term in sample ``i`` as one number: 39 bits of arrival, 24 bits of identity."""
+    bits = F.xxhash64(term, F.lit(i))
+    scale = F.col(f"e{a}") + F.col(f"e{b}")                                                # gamma(2, 1)
+    unit = F.lit(float(1 << 24))
+    arrival = -F.ln(((_low(bits, 24) + F.lit(0.5)) / unit) * ((_low(F.shiftrightunsigned(bits, 24), 24) + F.lit(0.5)) / unit))  # gamma(2, 1)
+    shift = F.shiftrightunsigned(bits, 48) / F.lit(65536.0)
     level = F.floor(log_weight / scale + shift)
     log_arrival = F.ln(arrival) - scale * (level - shift) - scale
     order = ((log_arrival + F.lit(64.0)) * F.lit(float(1 << 32))).cast("long")
-    return F.shiftleft(order, 24).bitwiseOR(low(F.xxhash64(term, level, F.lit(i)), 24))
+    return F.shiftleft(order, 24).bitwiseOR(_low(F.xxhash64(bits, level), 24)).bitwiseOR(F.lit(1))
 
 
 def signatures(terms: DataFrame, keys: list[str], *, samples: int = SAMPLES) -> DataFrame:
-    """``keys`` plus signature, an array of ``samples`` identities, from rows of keys, term (long) and weight (over 0)."""
-    rows = terms.withColumn("log_weight", F.ln("weight"))
-    best = rows.groupBy(*keys).agg(*[F.min(_sample(F.col("term"), F.col("log_weight"), i)).alias(f"s{i}") for i in range(samples)])
-    low = [F.col(f"s{i}").bitwiseAND(F.lit((1 << 24) - 1)) for i in range(samples)]
-    return best.select(*keys, F.array(*low).alias("signature"))
+    """``keys`` plus signature, the identities of all samples part by part, from rows of keys, term and weight (over 0).
+
+    The samples of a part without terms are 0; others never are. At most 66 samples a part.
+    """
+    pairs = [(a, a + d) for d in range(1, DRAWS) for a in range(DRAWS - d)][:samples]
+    draws = [_exponential(_low(F.shiftrightunsigned(F.xxhash64("term", F.lit(f"scale{j // 2}")), 32 * (j % 2)), 32), 32).alias(f"e{j}")
+             for j in range(max(b for _, b in pairs) + 1)]
+    rows = terms.select(*keys, "term", F.pmod("term", F.lit(PARTS)).alias("part"), F.ln("weight").alias("log_weight"), *draws)
+    best = rows.groupBy(*keys, "part").agg(*[F.min(_sample(F.col("term"), F.col("log_weight"), i, a, b)).alias(f"s{i}") for i, (a, b) in enumerate(pairs)])
+    own = F.struct("part", F.array(*[_low(F.col(f"s{i}"), 24) for i in range(len(pairs))]).alias("own"))
+    found = best.select(*keys, own.alias("own")).groupBy(*keys).agg(F.map_from_entries(F.collect_list("own")).alias("parts"))
+    none = F.array_repeat(F.lit(0).cast("long"), len(pairs))
+    return found.select(*keys, F.concat(*[F.coalesce(F.element_at("parts", F.lit(p).cast("long")), none) for p in range(PARTS)]).alias("signature"))
 
 
 def weighted_terms(texts: DataFrame, keys: list[str], listed: Column) -> DataFrame:
-    """Rows of keys, term and weight for word lists; a list without words has one term of its own."""
-    each = texts.select(*keys, F.explode_outer(listed).alias("word"))
-    term = F.when(F.col("word").isNull(), F.lit(0).cast("long")).otherwise(F.xxhash64("word"))
-    return each.select(*keys, term.alias("term")).groupBy(*keys, "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
+    """Rows of keys, term and weight (how often a word occurs) for columns of word lists."""
+    each = texts.select(*keys, F.explode(listed).alias("word")).select(*keys, F.xxhash64("word").alias("term"))
+    return each.groupBy(*keys, "term").agg(F.count(F.lit(1)).cast("double").alias("weight"))
 
 
 def text_of(signature: Column) -> Column:
@@ -61,8 +78,9 @@ def text_of(signature: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal samples of two signatures of one length, 0 to 1."""
-    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.size(a)
+    """Share of equal samples of two signatures, 0 to 1, of those that either text has."""
+    both = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), F.lit(None)).otherwise(x == y))
+    return F.size(F.filter(both, lambda same: same)) / F.size(F.filter(both, lambda same: same.isNotNull()))
 
 
 def fingerprint(docs: DataFrame, *, text: str = "text", key: str = "doc_id", samples: int = SAMPLES) -> DataFrame:
