@@ -60,9 +60,9 @@ def signatures(terms: DataFrame, keys: list[str], *, samples: int = SAMPLES) ->
              for j in range(max(b for _, b in pairs) + 1)]
     rows = terms.select(*keys, "term", F.pmod("term", F.lit(PARTS)).alias("part"), F.ln("weight").alias("log_weight"), *draws)
     best = rows.groupBy(*keys, "part").agg(*[F.min(_sample(F.col("term"), F.col("log_weight"), i, a, b)).alias(f"s{i}") for i, (a, b) in enumerate(pairs)])
-    own = F.struct("part", F.array(*[_low(F.col(f"s{i}"), 24) for i in range(len(pairs))]).alias("own"))
+    own = F.struct("part", F.array(*[_low(F.col(f"s{i}"), 24).cast("int") for i in range(len(pairs))]).alias("own"))
     found = best.select(*keys, own.alias("own")).groupBy(*keys).agg(F.map_from_entries(F.collect_list("own")).alias("parts"))
-    none = F.array_repeat(F.lit(0).cast("long"), len(pairs))
+    none = F.array_repeat(F.lit(0), len(pairs))
     return found.select(*keys, F.concat(*[F.coalesce(F.element_at("parts", F.lit(p).cast("long")), none) for p in range(PARTS)]).alias("signature"))
 
 
@@ -115,24 +115,24 @@ def against_edits(docs: DataFrame, *, text: str = "text", key: str = "doc_id", s
     """
     deal = Window.partitionBy("k").orderBy("h")
     own = (docs.select(F.coalesce(F.col(key), F.lit(NO_KEY)).cast("long").alias("k"), F.coalesce(F.col(text), F.lit("")).alias("t"))
-           .withColumn("h", F.xxhash64("t")).withColumn("place", F.row_number().over(deal)).withColumn("before", F.lag("h").over(deal))
-           .where("before is null or before <> h").select("k", "h", "t", "place"))
+           .withColumn("h", F.xxhash64("t")).withColumn("before", F.lag("h").over(deal))
+           .where("before is null or before <> h").select("k", "h", "t", F.col("before").isNull().alias("first")))
     sizes = docs.select(F.coalesce(F.col(key), F.lit(NO_KEY)).cast("long").alias("k"), F.coalesce(F.length(text), F.lit(0)).alias("n"))
     links = stored(next_below(sizes, "k").join(sizes.groupBy("k").agg(F.max(F.floor(F.col("n") / 3)).alias("need")), "k"))
-    starts = (own.where("place = 1").join(links.select(F.col("k").alias("receiver"), F.col("next_key").alias("k"), "need"), "k")
+    starts = (own.where("first").join(links.select(F.col("k").alias("receiver"), F.col("next_key").alias("k"), "need"), "k")
               .select(F.col("receiver").alias("k"), F.expr("substring(t, 1, cast(need as int))").alias("start")))
     size = F.length("t")
     pairs = own.join(starts, "k").select(
-        "k", "h", "place", "t", size.cast("long").alias("n_chars"),
+        "k", "h", "first", "t", size.cast("long").alias("n_chars"),
         F.concat(F.expr("substring(t, 1, cast(length(t) - floor(length(t) / 3) as int))"), F.expr("substring(start, 1, cast(floor(length(t) / 3) as int))")).alias("edited"))
     both = pairs.select("k", "h", F.explode(F.array(F.struct(F.lit(0).alias("v"), F.col("t")), F.struct(F.lit(1).alias("v"), F.col("edited").alias("t")))).alias("x"))
     keys = ["k", "h", "v"]
     signed = signatures(weighted_terms(both.select("k", "h", "x.v", "x.t"), keys, words(F.col("t"))), keys, samples=samples)
     sides = signed.groupBy("k", "h").agg(F.first(F.when(F.col("v") == 0, F.col("signature")), True).alias("a"),
                                          F.first(F.when(F.col("v") == 1, F.col("signature")), True).alias("b"))
-    facts = pairs.select("k", "h", "place", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
+    facts = pairs.select("k", "h", "first", "n_chars", F.sha2("edited", 256).alias("edited_sha256"))
     done = stored(sides.join(facts, ["k", "h"]))
-    heads = done.where("place = 1").select(F.col("k").alias("next_key"), F.col("a").alias("c"))
+    heads = done.where("first").select(F.col("k").alias("next_key"), F.col("a").alias("c"))
     return (done.join(links.select("k", "next_key"), "k").join(heads, "next_key")
             .select(F.when(F.col("k") != NO_KEY, F.col("k")).alias(key), "n_chars", "edited_sha256", text_of(F.col("a")).alias("fingerprint"),
                     text_of(F.col("b")).alias("edited_fingerprint"), likeness(F.col("a"), F.col("b")).alias("near_edited"),

@@ -46,27 +46,36 @@ def band_top(number: int) -> int:
 
 
 @lru_cache(maxsize=None)
-def allocation(differ: int, size: int, sets: int, common: float = 0.05) -> tuple[int, int, int]:
-    """Segments, how many of them know one-deletion neighbours, and how many light ones a set may leave out.
+def allocation(differ: int, size: int, sets: int, common: float = 0.05) -> tuple[int, int, int, int]:
+    """Segments, how many of them know one-deletion neighbours, how many light ones a set may leave out, and how many
+    of the others two linked sets have in common at least.
 
     The cost of a choice is the keys of a set plus the chance meetings with the other ``sets`` of the band, taking
     ``common`` as the share of shingles that are not a document's own.
     """
-    best = (np.inf, differ + 1, 0)
-    for two in sorted({0, (differ + 1) // 2, *range(0, (differ + 1) // 2 + 1, max(1, (differ + 1) // 16))}):
+    best, few = (np.inf, differ + 1, 0), differ <= 3  # so few segments could be empty: they all know their neighbours
+    for two in sorted({(differ + 1) // 2} if few else {0, *range(0, (differ + 1) // 2 + 1, max(1, (differ + 1) // 16))}):
         m = differ + 1 - two
         held = size / m
         keys = (m - two) + two * (1 + held)
         meets = sets * ((m - two) * common ** held + two * (1 + held) * common ** max(held - 1, 0))
         best = min(best, (keys + meets, m, two))
     _, m, two = best
-    spare = 0
-    if two == 0 and m >= 8:  # light segments are the likeliest to be shared by chance: room to leave them out
-        for _ in range(8):
-            held = size / (m + spare)
-            light = np.exp(-held) * (1 + held + held * held / 2)
-            spare = int(np.ceil(light * (m + spare) * 1.15)) + 1
-    return m + spare, two, spare
+    spare = more = 0
+    if two == 0:  # light segments are the likeliest to be shared by chance: room to leave them out
+        more = m // 8
+        m += more
+        for weight in (2, 1, 0):  # as many grades of light segments as an eighth more segments leave room for
+            grade = sum(np.exp(-size / (m * 1.125)) * (size / (m * 1.125)) ** w / (1, 1, 2)[w] for w in range(weight + 1))
+            spare = int(np.ceil(grade * m * 1.25 * 1.125)) + 1
+            if spare <= max(2, m // 8):
+                break
+    return m + spare, two, spare, more + 1
+
+
+def band_plan(join: Join, band: int, counts: dict[int, int]) -> tuple[int, int, int, int]:
+    """The allocation of a band of so many sets (to the next power of two)."""
+    return allocation(join.differ(band_top(band)), band_top(band), 1 << max(counts.get(band, 1), 1).bit_length())
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -99,7 +108,10 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(found: np.ndarray, size: int, join: Join, counts: dict[int, int]) -> np.ndarray:
-    """Keys of one set in its own band and, if smaller sets of the band below can be linked to it, in that one."""
+    """Keys of one set in its own band and, if smaller sets of the band below can be linked to it, in that one.
+
+    The low six bits of a key are its band.
+    """
     out = []
     number = 0
     while band_top(number) < size:
@@ -111,20 +123,23 @@ def _keys(found: np.ndarray, size: int, join: Join, counts: dict[int, int]) -> n
         differ = join.differ(top)
         if not differ:
             continue  # only equal sets are linked
-        m, two, spare = allocation(differ, top, 1 << max(counts.get(band, 1), 1).bit_length())
+        m, two, spare, _ = band_plan(join, band, counts)
         mark = np.uint64(band * 0x9E3779B1 + 1)
         segment = ((C.mixed(found + mark) >> np.uint64(16)) % np.uint64(m)).astype(np.int64)
         value = C.mixed(found ^ np.uint64(0x5851F42D4C957F2D))
         sums, held = np.zeros(m, np.uint64), np.bincount(segment, minlength=m)
         np.add.at(sums, segment, value)
         label = C.mixed(np.arange(m, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + mark)
-        use = np.ones(m, bool)
-        if spare and (light := held <= 2).sum() <= spare:
-            use = ~light
+        # A linked set has more than ``spare`` equal segments. Leaving out all segments of up to some weight, if there
+        # are no more than ``spare``, leaves one of them in place, and at a heavier weight for both sets.
+        use = held > max((w for w in (0, 1, 2) if (held <= w).sum() <= spare), default=-1)
         out.append(C.mixed(sums[use] + label[use]))
         if two:
             near = segment < two
             out.append(C.mixed(sums[segment[near]] - value[near] + label[segment[near]]))
+        out[-1] = (out[-1] & ~np.uint64(63)) | np.uint64(band)
+        if two:
+            out[-2] = (out[-2] & ~np.uint64(63)) | np.uint64(band)
     return np.concatenate([*out, np.zeros(0, np.uint64)])
 
 
@@ -189,22 +204,36 @@ def segment_keys(docs: DataFrame, join: Join, counts: dict[int, int]) -> DataFra
 
 
 def sets_of(docs: DataFrame, join: Join) -> DataFrame:
-    """doc_id and its shingle hashes."""
+    """doc, its shingle hashes, their number, and the distinct 16-bit stumps of the hashes."""
     def task(batches):
         for part in C.slices(batches, "text"):
             found, sizes = shingle_sets(C.filled(part.column("text")), join.width)
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32)), pa.array(found.view(np.int64)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists], names=["doc", "shingles"])
+            stumps = [np.unique((x >> np.uint64(48)).astype(np.uint16)).view(np.int16) for x in np.split(found, np.cumsum(sizes)[:-1])]
+            ends = np.cumsum([len(x) for x in stumps]).astype(np.int32)
+            short = pa.ListArray.from_arrays(pa.array(np.r_[np.int32(0), ends]), pa.array(np.concatenate(stumps)))
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(sizes), short], names=["doc", "shingles", "n", "stumps"])
 
-    return docs.mapInArrow(task, "doc long, shingles array<long>")
+    return docs.mapInArrow(task, "doc long, shingles array<long>, n long, stumps array<smallint>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, counted exactly."""
-    left, right = sets.select(F.col("doc").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("doc").alias("b"), F.col("shingles").alias("y"))
-    both = F.size(F.array_intersect("x", "y"))
-    return (pairs.join(left, "a").join(right, "b").withColumn("both", both)
-            .where(F.col("both") * 100 >= (F.size("x") + F.size("y") - F.col("both")) * join.percent).select("a", "b"))
+    """The pairs (a, b) whose sets are similar enough, counted exactly.
+
+    Stumps of the hashes go first, a quarter of the size: equal shingles have equal stumps, so the common stumps, and
+    as many more as a set lost by clashes within it, bound the common shingles from above.
+    """
+    def sides(column: str):
+        return [sets.select(F.col("doc").alias(side), F.col("n").alias(f"n_{side}"), F.col(column).alias(f"s_{side}")) for side in "ab"]
+
+    def enough(common):
+        return common * 100 >= (F.col("n_a") + F.col("n_b") - common) * join.percent
+
+    left, right = sides("stumps")
+    lost = F.least(F.col("n_a") - F.size("s_a"), F.col("n_b") - F.size("s_b"))
+    near = pairs.join(left, "a").join(right, "b").where(enough(F.size(F.array_intersect("s_a", "s_b")) + lost)).select("a", "b")
+    left, right = sides("shingles")
+    return near.join(left, "a").join(right, "b").where(enough(F.size(F.array_intersect("s_a", "s_b")))).select("a", "b")
 
 
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", join: Join = Join()) -> DataFrame:
@@ -230,7 +259,8 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     size = F.col("n_shingles")
     tops = F.array(*[F.lit(band_top(i)) for i in range(64)])
     banded = facts.where(size > 5).groupBy(F.size(F.filter(tops, lambda t: t < size)).alias("band")).count().collect()
-    groups = segment_keys(known, join, {r["band"]: r["count"] for r in banded})
+    counts = {r["band"]: r["count"] for r in banded}
+    groups = segment_keys(known, join, counts)
     met = groups.withColumn("members", F.concat(F.array("doc"), "followers"))
     together = Window.partitionBy("key")
     met = (met.select("key", "members", F.min("doc").over(together).alias("head"), F.sum(F.size("members")).over(together).alias("total"))
@@ -245,16 +275,20 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     sets = kept(sets_of(known.join(meeting, "doc_id", "left_semi"), join), "sets")
     links = kept(_linked(stars, sets, join), "links")
     found = kept(components(links), "first")
-    # what the heads left apart: members of one key in different components, of fitting sizes
+    # what the heads left apart: members of one key in different components, of fitting sizes. Two sets that met under a
+    # key of their own are among the stars; any other pair has all its common keys here, and linked ones have enough.
     wide = (met.where("total > 2").select("key", F.col("doc").alias("doc_id")).join(reps, "doc_id").select("key", "rep", "n").distinct()
             .join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
     wide = kept(wide, "wide")
     mixed = wide.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
     apart = kept(wide.join(mixed, "key"), "apart")
     x, y = (apart.select("key", *[F.col(c).alias(c + s) for c in ("rep", "n", "component")]) for s in ("_x", "_y"))
-    rest = (x.join(y, "key").where((F.col("rep_x") > F.col("rep_y")) & (F.col("component_x") != F.col("component_y"))
+    least = F.array(*[F.lit(band_plan(join, i, counts)[3] if join.differ(band_top(i)) else 1) for i in range(64)])
+    band = F.size(F.filter(tops, lambda t: t < F.least("n_x", "n_y")))  # that of the smaller set: there they have ``least`` keys in common
+    rest = (x.join(y, "key").where(F.col("key").bitwiseAND(F.lit(63)) == band).where((F.col("rep_x") > F.col("rep_y")) & (F.col("component_x") != F.col("component_y"))
                                    & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * join.percent))
-            .select(F.col("rep_x").alias("a"), F.col("rep_y").alias("b")).distinct().join(stars, ["a", "b"], "left_anti"))
+            .groupBy(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"), F.element_at(least, band + 1).alias("least")).count()
+            .where(F.col("count") >= F.col("least")).select("a", "b").join(stars, ["a", "b"], "left_anti"))
     more = kept(_linked(rest, sets, join), "more")
     bridged = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     final = components(bridged)
