@@ -66,7 +66,7 @@ def _examples(texts: list[str], buckets: int, sizes: tuple[int, ...]) -> list[tu
 
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 500, most: int = 400,
         max_chars: int = 12_000, buckets: int = 1 << 15, dim: int = 16, sizes: tuple[int, ...] = (2, 3, 4),
-        epochs: int = 4, rate: float = 0.5, seed: int = 7) -> Model:
+        epochs: int = 4, least_steps: int = 6_000, rate: float = 0.5, seed: int = 7) -> Model:
     """Train on a bounded sample: of each language the ``per_language`` rows first by hash, of ``max_chars`` at most.
 
     The sample is meant for ``most`` languages at most; of more, rows of the later ones by hash are left out of it.
@@ -92,6 +92,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str
     learn = pairs[len(held):]
     embedding = rng.normal(0, 0.1, (buckets, dim)).astype(np.float32)
     weights, bias = np.zeros((dim, k), np.float32), np.zeros(k, np.float32)
+    epochs = max(epochs, -(-least_steps // max(1, len(learn))))  # few texts are seen more often
     for epoch in range(epochs):
         step = rate * (1 - epoch / epochs)
         for i in rng.permutation(len(learn)):
