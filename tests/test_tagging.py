@@ -1,3 +1,5 @@
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -73,8 +75,17 @@ def test_reply_validation(spark):
     df = spark.createDataFrame([(reply,), ("no json",)], "raw string")
     got = [[(t.technique_id, t.technique_name, t.tactic) for t in r[0]] for r in df.select(tagging.valid_techniques(F.col("raw"))).collect()]
     assert got == [[("T1059", "T1059", "Execution"), ("T1566.001", "T1566.001", "Unknown")], []]
-    extraction = spark.createDataFrame([('{"tools": ["a", " ", "b", "c", "d", "e", "f", "g"], "other": ["x"], "impact": []}',)], "raw string")
-    assert extraction.select(tagging.valid_extraction(F.col("raw"))).first()[0] == {"tools": ["a", "b", "c", "d", "e", "f"]}
+    replies = ['{"summary": " s ", "ttps": ["a", " ", "b", "c", "d", "e", "f", "g"], "other": ["x"], "impact": [], "confidence": "High"}', '{"confidence": "low"}', "no json"]
+    got = [r[0] for r in spark.createDataFrame([(r,) for r in replies], "raw string").select(tagging.valid_extraction(F.col("raw"))).collect()]
+    assert got[0].asDict() == {"summary": "s", "ttps": ["a", "b", "c", "d", "e", "f"], "persistence": None, "lateral_movement": None, "impact": None, "confidence": "high"}
+    assert got[1:] == [None, None]
+
+
+def test_rules_of_plain_words():
+    row = rules.spelled_out({"label": "x", "stems": ["fancy bear"], "near": ["attack"]})
+    assert row["anchors"] == ["fancy"]
+    for text, want in (("Fancy-Bear\nlong ago attacks", True), ("attack by fancybear", False), ("unfancy bear attack", False)):
+        assert bool(re.search("(?i)" + row["pattern"], text)) is want
 
 
 def test_grounding(spark):

@@ -5,12 +5,22 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 
+QUOTED = r'"(?:[^"\\]|\\.)*"'
+#: Bare words of other languages that mean "no value".
+NO_VALUE = ("none", "None", "NONE", "undefined", "NaN")
+
+
 def repaired(text: Column) -> Column:
-    """Replace bare none/undefined/NaN values and drop trailing commas."""
-    word = r"(?:none|None|NONE|undefined|NaN)"
-    out = F.regexp_replace(text, rf"\[\s*(?:{word[3:-1]}|null)\s*\]", "[]")
-    out = F.regexp_replace(out, rf"(?<=[:\[,])(\s*){word}(\s*)(?=[,\]}}])", "$1null$2")
-    return F.regexp_replace(out, r",(\s*[}\]])", "$1")
+    """Bare no-value words become null, a list of one null becomes empty, trailing commas go; strings stay as they are.
+
+    Each pattern walks over whole strings from where the last match ended, so it never looks inside one.
+    """
+    bare = "|".join(NO_VALUE)
+    before = rf"\G((?:{QUOTED}|[^\"A-Za-z]|(?!(?:{bare})\b)[A-Za-z]+)*?)\b"
+    out = F.regexp_replace(text, rf"{before}(?:{bare})\b", "$1null")
+    walk = rf"\G((?:{QUOTED}|[^\"])*?)"
+    out = F.regexp_replace(out, rf"{walk}\[\s*null\s*\]", "$1[]")
+    return F.regexp_replace(out, rf"{walk},(?=\s*[}}\]])", "$1")
 
 
 def tolerant_json(df: DataFrame, raw: str, out: str = "parsed", how: str = "parsed_from") -> DataFrame:

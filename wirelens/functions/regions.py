@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from wirelens import fixed
+from wirelens import fixed, rules
 from wirelens.functions.text import strings
 
 
@@ -27,9 +27,8 @@ def union_regions(original: Column, duplicate: Column, limit: int = fixed.MAX_ME
 
 def country_lookup(spark: SparkSession) -> DataFrame:
     """Lookup rows (country, region): two-letter codes and lower-case names."""
-    rows = [(key, region)
-            for region, (codes, names) in fixed.COUNTRIES_BY_REGION.items()
-            for key in [*codes.split(), *names.split(",")]]
+    rows = [(key, row["region"]) for row in rules.load("countries")
+            for key in dict.fromkeys([*row["codes"], row["country"].lower(), *(word.lower() for word in row.get("other", ()))])]
     return spark.createDataFrame(rows, "country string, region string")
 
 

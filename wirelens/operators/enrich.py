@@ -102,7 +102,7 @@ def kev_alerts(df: DataFrame, alerted: DataFrame, as_of: str, max_age_days: int
 
 
 def upsert_epss(old: DataFrame, new: DataFrame, key: str = "cve_id") -> DataFrame:
-    """Fresh rows over cached ones; cached rows stay when the source did not send them."""
+    """Whole fresh rows over cached ones; cached rows stay when the source did not send them."""
     values = [c for c in old.columns if c != key]
-    joined = old.alias("o").join(new.alias("n"), key, "full_outer")
-    return joined.select(key, *[F.coalesce(F.col(f"n.{c}"), F.col(f"o.{c}")).alias(c) for c in values])
+    joined = old.select(key, F.struct(*values).alias("o")).join(new.select(key, F.struct(*values).alias("n")), key, "full_outer")
+    return joined.select(key, F.coalesce("n", "o").alias("row")).select(key, *[F.col(f"row.{c}") for c in values])

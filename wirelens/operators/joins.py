@@ -40,10 +40,11 @@ def prune(health: DataFrame, feeds: DataFrame, url: str = "url") -> DataFrame:
 def mirror(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     """The target after syncing: rows of the source, tagged inserted, updated or same; absent rows go."""
     shared = [c for c in source.columns if c != key]
-    old = target.select(key, F.xxhash64(*shared).alias("_old"))
-    joined = source.withColumn("_new", F.xxhash64(*shared)).join(old, key, "left")
-    change = F.when(F.col("_old").isNull(), "inserted").when(F.col("_old") != F.col("_new"), "updated").otherwise("same")
-    return joined.withColumn("change", change).drop("_old", "_new")
+    old = target.select(key, F.struct(*shared).alias("_old"))
+    joined = source.join(old, key, "left")
+    equal = F.struct(*shared).eqNullSafe(F.col("_old"))  # a null is a value like any other here
+    change = F.when(F.col("_old").isNull(), "inserted").when(~equal, "updated").otherwise("same")
+    return joined.withColumn("change", change).drop("_old")
 
 
 def delete_absent(df: DataFrame, keep: DataFrame, keys: list[str]) -> DataFrame:

@@ -282,7 +282,7 @@ def _(t: Tables):
 
 
 def region_sql() -> str:
-    places, origins = rules.load("places"), rules.load("origins")
+    places, origins = rules.places(), rules.load("origins")
     over = ", ".join(lit(r) for r in fixed.OVERRIDABLE_REGIONS)
     return f"""WITH pt AS (SELECT pos, list(DISTINCT label) AS l FROM ({rule_hits(places, 'title', 'headlines')}) GROUP BY pos),
 ps AS (SELECT pos, list(DISTINCT label) AS l FROM ({rule_hits(places, 'summary', 'headlines')}) GROUP BY pos),
@@ -332,10 +332,16 @@ def _(t: Tables):
     return t.headlines().select("pos", F.array_join(F.transform(tagging.valid_techniques(reply), lambda x: x["technique_id"]), ",").alias("ids"))
 
 
-@query("d16_valid_extraction")
+@query("d16_valid_extraction", r"""
+WITH w AS (SELECT pos, list_filter(list_transform(string_split(summary, ' '), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS words,
+  nullif(substring(regexp_replace(summary, '^\s+|\s+$', '', 'g'), 1, 400), '') AS summary, regexp_replace(title, '^\s+|\s+$', '', 'g') AS title FROM headlines)
+SELECT pos, summary, nullif(array_to_string(list_transform(words[1:6], lambda x: substring(x, 1, 160)), '|'), '') AS ttps, nullif(substring(title, 1, 160), '') AS impact,
+  CASE pos % 3 WHEN 0 THEN 'high' END AS confidence FROM w WHERE summary IS NOT NULL OR len(words) > 0 OR title <> ''""")
 def _(t: Tables):
-    reply = F.to_json(F.struct(F.split("summary", r"\s+").alias("tools"), F.array("title", F.lit(" ")).alias("targets"), F.array("title").alias("unknown_key")))
-    return t.headlines().select("pos", F.explode(tagging.valid_extraction(reply)).alias("key", "items"))
+    reply = F.to_json(F.struct("summary", F.split("summary", " ").alias("ttps"), F.array("title", F.lit(" ")).alias("impact"), F.array("title").alias("unknown_key"),
+                               F.when(F.col("pos") % 3 == 0, " HIGH").when(F.col("pos") % 3 == 1, "certain").alias("confidence")))
+    found = t.headlines().select("pos", tagging.valid_extraction(reply).alias("x")).filter("x is not null")
+    return found.select("pos", "x.summary", F.array_join("x.ttps", "|").alias("ttps"), F.array_join("x.impact", "|").alias("impact"), "x.confidence")
 
 
 @query("g02_keep_first", "WITH k AS (SELECT text, min(doc_id) AS doc_id FROM documents GROUP BY text) SELECT doc_id FROM k")

@@ -191,7 +191,7 @@ def _(t: Tables):
 
 
 @query("f13_audit_regions", f"""
-WITH p AS (SELECT pos, list(DISTINCT label) AS l FROM ({rule_hits(rules.load('places'), 'title', 'headlines')}) GROUP BY pos),
+WITH p AS (SELECT pos, list(DISTINCT label) AS l FROM ({rule_hits(rules.places(), 'title', 'headlines')}) GROUP BY pos),
 r AS (SELECT count(*) AS total, 0 AS over_tagged, count_if(feed_region <> 'Global' AND NOT contains(feed_region, ',') AND len(l) = 1 AND l[1] <> feed_region) AS title_mismatch FROM headlines LEFT JOIN p USING (pos))
 SELECT unnest(['total', 'over_tagged', 'title_mismatch']) AS metric, unnest([total, over_tagged, title_mismatch]) AS value FROM r""")
 def _(t: Tables):

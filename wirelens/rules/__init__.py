@@ -5,11 +5,16 @@ shipped next to this file. Patterns are case-insensitive unless a row says
 otherwise, avoid look-around, and are matched against whole texts. ``anchors``
 are lower-case words of which a match must contain at least one; they let a
 plain substring search skip the pattern. A row may leave them out.
+
+Rows may also list plain words instead of a pattern: ``stems`` begin a word,
+``names`` are whole words, ``first_of`` captures one of its whole words, and
+``near`` asks that one of its stems comes later in the text, however far.
 """
 
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Callable, Iterable
 from functools import cache
 from pathlib import Path
@@ -19,10 +24,41 @@ from pyspark.sql import Column, functions as F
 HERE = Path(__file__).parent
 
 
+def _any_of(words: Iterable[str]) -> str:
+    """Alternation of plain words; a blank may also be missing or a hyphen."""
+    return "|".join("[ -]?".join(re.escape(part) for part in word.split(" ")) for word in words)
+
+
+def spelled_out(row: dict) -> dict:
+    """A row with the pattern and the anchors that its plain words stand for."""
+    starts = [(key, end) for key, end in (("stems", ""), ("names", r"\b"), ("first_of", r"\b")) if row.get(key)]
+    if not starts:
+        return row
+    group = "(" if "first_of" in row else "(?:"
+    pattern = "|".join(rf"\b{group}{_any_of(row[key])}){end}" for key, end in starts)
+    if row.get("near"):
+        pattern = rf"(?:{pattern})(?s:.*)\b(?:{_any_of(row['near'])})"
+    words = [word for key, _ in starts for word in row[key]]
+    return {**row, "pattern": pattern, "anchors": sorted({max(word.lower().split(" "), key=len) for word in words})}
+
+
 @cache
 def load(name: str) -> tuple[dict, ...]:
     """Rows of one default rule table, in declared order."""
-    return tuple(json.loads((HERE / f"{name}.json").read_text(encoding="utf-8")))
+    return tuple(spelled_out(row) for row in json.loads((HERE / f"{name}.json").read_text(encoding="utf-8")))
+
+
+@cache
+def places() -> tuple[dict, ...]:
+    """Region rules over titles: country names, demonyms and other names, as written, region by region."""
+    regions: dict[str, list[str]] = {}
+    for row in load("countries"):
+        words = regions.setdefault(row.get("title_region", row["region"]), [])
+        words += [row["country"], *row["demonyms"], *row.get("other", ())]
+    agencies = {"label": "US", "names": ["FBI", "CISA", "NSA", "Pentagon", "Homeland Security"], "case_sensitive": True}
+    abroad = [{"label": region, "names": words, "case_sensitive": region != "US"} for region, words in regions.items()]
+    abroad[0]["stems"] = ["U.S."]
+    return tuple(spelled_out(row) for row in [abroad[0], agencies, *abroad[1:]])
 
 
 def spark_pattern(row: dict) -> str:

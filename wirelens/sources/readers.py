@@ -6,7 +6,7 @@ fails alone: bad rows are counted or dropped, never fatal.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Window, Column, DataFrame, SparkSession, functions as F
 
 from wirelens import fixed
 from wirelens.functions import bands, regions, text as tx, times, urls
@@ -15,14 +15,20 @@ from wirelens.operators.corpus import top_n
 RAW = "title string, link string, published string, summary string, hash string, source string, feed_region string"
 
 
+#: Words in a link that promise a feed.
+FEED_WORDS = ("rss", "feed", "atom", "xml")
+
+
 # --- feeds, items, news ---------------------------------------------------------
 def load_feeds(*tables: DataFrame) -> DataFrame:
-    """Feed rows of all config tables that have a url, one per url."""
-    merged = tables[0]
-    for other in tables[1:]:
-        merged = merged.unionByName(other, allowMissingColumns=True)
+    """Feed rows of all config tables that have a url, one per url: that of the earliest table, then the first by value."""
+    merged = tables[0].withColumn("_table", F.lit(0))
+    for number, other in enumerate(tables[1:], 1):
+        merged = merged.unionByName(other.withColumn("_table", F.lit(number)), allowMissingColumns=True)
     named = merged.withColumn("url", F.trim("url")).filter(~tx.blank(F.col("url")))
-    return named.dropDuplicates(["url"])
+    rest = [c for c in named.columns if c not in ("_table", "url")]
+    first = Window.partitionBy("url").orderBy("_table", *[F.col(c).cast("string").asc_nulls_last() for c in rest])
+    return named.withColumn("_turn", F.row_number().over(first)).filter("_turn = 1").drop("_turn", "_table")
 
 
 def read_rss(spark: SparkSession, path: str, source: str, region: str = "Global") -> DataFrame:
@@ -222,7 +228,8 @@ def html_main_text(df: DataFrame, html: str = "html", out: str = "text", min_par
 
 def harvest_feed_urls(df: DataFrame, known: DataFrame, text: str = "text", day: str = "day", as_of: str | None = None, recent_days: int = 14) -> DataFrame:
     """Unknown feed links in raw text, scored recent * 3 + total."""
-    pattern = r"""(?i)https?://[^\s\)>"'\]}]+(?:rss|feed|atom|xml)[^\s\)>"'\]}]*"""
+    link = r"""[^\s)>"'\]}]"""  # links end at white space, quotes and closing brackets
+    pattern = rf"(?i)https?://{link}*?{link}(?:{'|'.join(FEED_WORDS)}){link}*"
     found = df.select(F.explode(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(pattern), 0)).alias("url"),
                       (F.col(day) if day in df.columns else F.lit(None).cast("date")).alias("day"))
     cleaned = found.withColumn("url", F.regexp_replace("url", "[.,;]+$", "")).join(known.select("url"), "url", "left_anti")
