@@ -153,6 +153,8 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[st
     return inputs.mapInArrow(task, out)
 
 
-def accepted(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs``, all their columns, that the model does not reject."""
-    return predict(docs, model, keep=tuple(docs.columns)).where(~F.col("rejected")).select(*docs.columns)
+def accepted(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:
+    """The rows of ``docs``, all their columns (also such as are named like a result), that the model does not reject."""
+    names = [f"__{i}" for i in range(len(docs.columns))]  # apart from the names of the results
+    judged = predict(docs.toDF(*names), model, text=names[docs.columns.index(text)], keep=tuple(names))
+    return judged.where(~F.col("rejected")).select(*names).toDF(*docs.columns)

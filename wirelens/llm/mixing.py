@@ -102,12 +102,17 @@ def rates_from(posterior: np.ndarray, path: list[np.ndarray], floor: int | None
     likeliest domain is number ``floor`` are projected to one or more.
     """
     rate = np.ones(len(posterior))
-    least = (posterior.argmax(1) == floor).astype(float) if floor is not None and len(posterior) else 0.0
+    least = _least(posterior, floor)
     for direction in path:
         rate = np.maximum(least, rate - posterior @ direction)
     return rate
 
 
+def _least(posterior: np.ndarray, floor: int | None) -> np.ndarray:
+    """Lowest rate of each row: 1 where the likeliest domain is number ``floor``, else 0."""
+    return (posterior.argmax(1) == floor).astype(float) if floor is not None and len(posterior) else np.zeros(len(posterior))
+
+
 def _matrix(column, k: int) -> np.ndarray:
     return pc.list_flatten(column).to_numpy(zero_copy_only=False).reshape(-1, k)
 
@@ -117,8 +122,8 @@ def fit_rates(table: DataFrame, targets: np.ndarray, *, floor: int | None = None
     """Projected gradient for ``min |sum(rate * n_tokens * posterior) - targets|^2`` with rates of zero or more.
 
     ``table`` has n_tokens and posterior; ``targets`` are tokens per domain. Every step is one pass that sends the
-    driver a few numbers per task. Steps use the metric of the token-weighted Gram matrix of the posteriors (few steps
-    even for rare domains); once that gains nothing more they are plain gradients, which also settle targets that
+    driver a few numbers per task. Steps use the metric of the token-weighted Gram matrix of the rows whose rate is free
+    to fall (few steps even for rare domains); once that gains nothing more they are plain gradients, which also settle targets that
     cannot be met. Returns the directions, from which any task can replay its rates.
     """
     k = len(targets)
@@ -132,8 +137,9 @@ def fit_rates(table: DataFrame, targets: np.ndarray, *, floor: int | None = None
             for part in batches:
                 p = _matrix(part.column("posterior"), k)
                 n = part.column("n_tokens").to_numpy(zero_copy_only=False) / total
-                got += (rates_from(p, path, floor) * n) @ p
-                gram += (p * n[:, None]).T @ p
+                rate = rates_from(p, path, floor)
+                got += (rate * n) @ p
+                gram += (p * (n * (rate > _least(p, floor)))[:, None]).T @ p
             yield pa.RecordBatch.from_arrays([pa.array([got.tolist()], pa.list_(pa.float64())),
                                               pa.array([gram.ravel().tolist()], pa.list_(pa.float64()))], names=["got", "gram"])
         return sums
@@ -154,7 +160,7 @@ def fit_rates(table: DataFrame, targets: np.ndarray, *, floor: int | None = None
         if stale >= 3:
             plain, stale, path = True, 0, list(best_path)
             continue
-        step = residual / np.linalg.eigvalsh(gram)[-1] if plain else np.linalg.solve(gram + 1e-9 * np.eye(k), residual)
+        step = residual / np.linalg.eigvalsh(gram)[-1] if plain else np.linalg.solve(gram + 1e-7 * np.eye(k), residual)
         path = [*path, step]
     return best_path
 
