@@ -4,7 +4,7 @@ Sets fall into bands of size. A band cuts the universe of shingles into segments
 similarity differ in at most D shingles, so of D + 1 segments one is the same in both, and a segment that also knows
 its one-deletion neighbours stands for two. How many segments know them is decided per band by cost. Sets that share a
 segment meet under its key and are verified exactly. Only components are wanted, so the sets under a key are first
-verified against one head; pairs that this leaves in different components are verified after that.
+verified against one head; sets that this leaves in different components are compared in blocks after that.
 """
 
 from __future__ import annotations
@@ -23,6 +23,8 @@ from wirelens.session import fresh_path
 
 #: Ratio of the sizes that a band spans; over 100 / 85, so that a set meets its own band and the one below.
 BAND = 1.3
+#: Most sets and shingles of one block when members of a family are compared with each other.
+BLOCK_SETS, BLOCK_SHINGLES = 1_000, 400_000
 #: Keys that a task gathers before it writes them out with their local followers.
 CHUNK_KEYS = 1_000_000
 
@@ -46,9 +48,8 @@ def band_top(number: int) -> int:
 
 
 @lru_cache(maxsize=None)
-def allocation(differ: int, size: int, sets: int, common: float = 0.05) -> tuple[int, int, int, int]:
-    """Segments, how many of them know one-deletion neighbours, how many light ones a set may leave out, and how many
-    of the others two linked sets have in common at least.
+def allocation(differ: int, size: int, sets: int, common: float = 0.05) -> tuple[int, int, int]:
+    """Segments, how many of them know one-deletion neighbours, and how many light ones a set may leave out.
 
     The cost of a choice is the keys of a set plus the chance meetings with the other ``sets`` of the band, taking
     ``common`` as the share of shingles that are not a document's own.
@@ -61,19 +62,17 @@ def allocation(differ: int, size: int, sets: int, common: float = 0.05) -> tuple
         meets = sets * ((m - two) * common ** held + two * (1 + held) * common ** max(held - 1, 0))
         best = min(best, (keys + meets, m, two))
     _, m, two = best
-    spare = more = 0
+    spare = 0
     if two == 0:  # light segments are the likeliest to be shared by chance: room to leave them out
-        more = m // 8
-        m += more
         for weight in (2, 1, 0):  # as many grades of light segments as an eighth more segments leave room for
             grade = sum(np.exp(-size / (m * 1.125)) * (size / (m * 1.125)) ** w / (1, 1, 2)[w] for w in range(weight + 1))
             spare = int(np.ceil(grade * m * 1.25 * 1.125)) + 1
             if spare <= max(2, m // 8):
                 break
-    return m + spare, two, spare, more + 1
+    return m + spare, two, spare
 
 
-def band_plan(join: Join, band: int, counts: dict[int, int]) -> tuple[int, int, int, int]:
+def band_plan(join: Join, band: int, counts: dict[int, int]) -> tuple[int, int, int]:
     """The allocation of a band of so many sets (to the next power of two)."""
     return allocation(join.differ(band_top(band)), band_top(band), 1 << max(counts.get(band, 1), 1).bit_length())
 
@@ -108,10 +107,7 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _keys(found: np.ndarray, size: int, join: Join, counts: dict[int, int]) -> np.ndarray:
-    """Keys of one set in its own band and, if smaller sets of the band below can be linked to it, in that one.
-
-    The low six bits of a key are its band.
-    """
+    """Keys of one set in its own band and, if smaller sets of the band below can be linked to it, in that one."""
     out = []
     number = 0
     while band_top(number) < size:
@@ -123,7 +119,7 @@ def _keys(found: np.ndarray, size: int, join: Join, counts: dict[int, int]) -> n
         differ = join.differ(top)
         if not differ:
             continue  # only equal sets are linked
-        m, two, spare, _ = band_plan(join, band, counts)
+        m, two, spare = band_plan(join, band, counts)
         mark = np.uint64(band * 0x9E3779B1 + 1)
         segment = ((C.mixed(found + mark) >> np.uint64(16)) % np.uint64(m)).astype(np.int64)
         value = C.mixed(found ^ np.uint64(0x5851F42D4C957F2D))
@@ -137,9 +133,6 @@ def _keys(found: np.ndarray, size: int, join: Join, counts: dict[int, int]) -> n
         if two:
             near = segment < two
             out.append(C.mixed(sums[segment[near]] - value[near] + label[segment[near]]))
-        out[-1] = (out[-1] & ~np.uint64(63)) | np.uint64(band)
-        if two:
-            out[-2] = (out[-2] & ~np.uint64(63)) | np.uint64(band)
     return np.concatenate([*out, np.zeros(0, np.uint64)])
 
 
@@ -236,6 +229,48 @@ def _linked(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return near.join(left, "a").join(right, "b").where(enough(F.size(F.array_intersect("s_a", "s_b")))).select("a", "b")
 
 
+def _linked_in_families(members: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """Linked pairs (a, b) of different components, of members (rep, n, component, family) of one family.
+
+    A family is cut by size into blocks of a bounded number of sets and shingles; blocks of fitting sizes are compared
+    with each other by a product of incidence matrices, so that no pair is written that is no link.
+    """
+    by_size = Window.partitionBy("family").orderBy("n", "rep")
+    weight = F.sum(F.col("n") + BLOCK_SHINGLES // BLOCK_SETS).over(by_size)
+    members = members.withColumn("block", F.floor(weight / BLOCK_SHINGLES))
+    blocks = members.groupBy("family", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
+    x, y = (blocks.select("family", *[F.col(c).alias(c + s) for c in ("block", "least", "most")]) for s in ("_x", "_y"))
+    tasks = (x.join(y, "family").where((F.col("block_x") <= F.col("block_y")) & (F.col("least_y") * join.percent <= F.col("most_x") * 100))
+             .select("family", "block_x", "block_y"))
+    left = tasks.join(members.withColumnRenamed("block", "block_x"), ["family", "block_x"]).withColumn("side", F.lit(0))
+    right = tasks.where("block_x <> block_y").join(members.withColumnRenamed("block", "block_y"), ["family", "block_y"]).withColumn("side", F.lit(1))
+    dealt = left.unionByName(right).join(sets.select(F.col("doc").alias("rep"), "shingles"), "rep")
+
+    def compare(table: pa.Table) -> pa.Table:
+        rep, n, own = (table.column(c).to_numpy() for c in ("rep", "n", "component"))
+        side = table.column("side").to_numpy()
+        lists = table.column("shingles").combine_chunks()
+        flat = lists.flatten().to_numpy(zero_copy_only=False)
+        owner = np.repeat(np.arange(len(rep)), lists.value_lengths().to_numpy(zero_copy_only=False))
+        _, shingle, times = np.unique(flat, return_inverse=True, return_counts=True)
+        shared = times[shingle] > 1
+        number = np.cumsum(times > 1) - 1
+        shingle, owner = number[shingle[shared]], owner[shared]
+        order = np.argsort(shingle, kind="stable")
+        shingle, owner = shingle[order], owner[order]
+        first, second = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
+        common = np.zeros((len(rep), len(rep)), np.float32)
+        for start in range(0, int(shingle[-1]) + 1 if len(shingle) else 0, 4096):
+            a, b = np.searchsorted(shingle, (start, start + 4096))
+            grid = np.zeros((len(rep), 4096), np.float32)
+            grid[owner[a:b], shingle[a:b] - start] = 1
+            common[np.ix_(first, second)] += grid[first] @ grid[second].T
+        i, j = np.nonzero((common * 100 >= (n[:, None] + n[None] - common) * join.percent) & (common > 0) & (own[:, None] != own[None]))
+        return pa.table({"a": rep[i], "b": rep[j]}, schema=pa.schema([("a", pa.int64()), ("b", pa.int64())]))
+
+    return dealt.groupBy("family", "block_x", "block_y").applyInArrow(compare, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", join: Join = Join()) -> DataFrame:
     """doc_id, n_shingles and component_id (smallest doc_id reachable by links) for every document.
 
@@ -275,21 +310,15 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     sets = kept(sets_of(known.join(meeting, "doc_id", "left_semi"), join), "sets")
     links = kept(_linked(stars, sets, join), "links")
     found = kept(components(links), "first")
-    # what the heads left apart: members of one key in different components, of fitting sizes. Two sets that met under a
-    # key of their own are among the stars; any other pair has all its common keys here, and linked ones have enough.
+    # what the heads left apart: sets that met in company under a key of several components
     wide = (met.where("total > 2").select("key", F.col("doc").alias("doc_id")).join(reps, "doc_id").select("key", "rep", "n").distinct()
             .join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
     wide = kept(wide, "wide")
-    mixed = wide.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).where("c0 <> c1").select("key")
-    apart = kept(wide.join(mixed, "key"), "apart")
-    x, y = (apart.select("key", *[F.col(c).alias(c + s) for c in ("rep", "n", "component")]) for s in ("_x", "_y"))
-    least = F.array(*[F.lit(band_plan(join, i, counts)[3] if join.differ(band_top(i)) else 1) for i in range(64)])
-    band = F.size(F.filter(tops, lambda t: t < F.least("n_x", "n_y")))  # that of the smaller set: there they have ``least`` keys in common
-    rest = (x.join(y, "key").where(F.col("key").bitwiseAND(F.lit(63)) == band).where((F.col("rep_x") > F.col("rep_y")) & (F.col("component_x") != F.col("component_y"))
-                                   & (F.least("n_x", "n_y") * 100 >= F.greatest("n_x", "n_y") * join.percent))
-            .groupBy(F.col("rep_x").alias("a"), F.col("rep_y").alias("b"), F.element_at(least, band + 1).alias("least")).count()
-            .where(F.col("count") >= F.col("least")).select("a", "b").join(stars, ["a", "b"], "left_anti"))
-    more = kept(_linked(rest, sets, join), "more")
+    mixed = wide.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("rep").alias("head")).where("c0 <> c1")
+    apart = kept(wide.join(mixed.select("key", "head"), "key").select("rep", "head", "n", "component").distinct(), "apart")
+    families = components(apart.select(F.col("rep").alias("a"), F.col("head").alias("b")))
+    rest = kept(apart.select("rep", "n", "component").distinct().join(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep"), "families")
+    more = kept(_linked_in_families(rest, sets, join), "more")
     bridged = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     final = components(bridged)
     return (facts.join(final.withColumnRenamed("node", "rep"), "rep", "left")
