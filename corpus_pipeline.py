@@ -26,9 +26,8 @@ def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 def without_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Suffix-array dedup: passages of 200 bytes that also begin elsewhere leave every text; n_chars follows."""
     C.session(spark)
-    left = suffix_dedup.remove_repeats(docs).select("doc_id", F.col("kept").alias("text"), F.length("kept").cast("long").alias("n_chars"))
-    facts = docs.select("doc_id", "lang", "source")
-    return left.join(facts, "doc_id").select(*docs.columns)
+    left = suffix_dedup.remove_repeats(docs, keep=("lang", "source"))
+    return left.withColumn("text", F.col("kept")).withColumn("n_chars", F.length("kept").cast("long")).select(*docs.columns)
 
 
 def mix_domains(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -18,6 +18,8 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from wirelens.llm import columns as C
 from wirelens.session import fresh_path
@@ -289,8 +291,8 @@ def _covered(n: int, ranges: np.ndarray) -> tuple[np.ndarray, int]:
     return ~gone, int((gone & ~np.r_[False, gone[:-1]]).sum()) if n else 0
 
 
-def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id") -> DataFrame:
-    """doc_id, n_bytes, n_removed, n_spans, kept_sha256 and kept (the text left), one row per document.
+def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, ``keep`` columns, n_bytes, n_removed, n_spans, kept_sha256 and kept (the text left), one row per document.
 
     Texts count as whole UTF-8 bytes (null: empty). A byte goes if a SPAN-byte string that covers it also starts
     anywhere else; strings are judged on the input. ``kept`` passes over characters that lost only some of their bytes.
@@ -298,8 +300,9 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     without one lose nothing.
     """
     C.session(docs.sparkSession)
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    lost = repeats(docs.where("doc_id is not null")).groupBy("doc").agg(F.flatten(F.collect_list(F.array("start", "run"))).alias("ranges"))
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"),
+                       *[F.col(c).alias(f"__{c}") for c in keep])
+    lost = repeats(docs.select("doc_id", "text").where("doc_id is not null")).groupBy("doc").agg(F.flatten(F.collect_list(F.array("start", "run"))).alias("ranges"))
 
     def task(batches):
         for part in C.slices(batches, "text"):
@@ -309,12 +312,18 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
             for i in range(part.num_rows):
                 raw = data[offsets[i]:offsets[i + 1]]
                 ranges = lists[i].as_py()
-                keep, spans = _covered(len(raw), np.array(ranges, np.int64)) if ranges else (None, 0)
-                left = raw[keep].tobytes() if ranges else raw.tobytes()
+                stays, spans = _covered(len(raw), np.array(ranges, np.int64)) if ranges else (None, 0)
+                left = raw[stays].tobytes() if ranges else raw.tobytes()
                 for column, value in zip(out, (len(raw), len(raw) - len(left), spans, hashlib.sha256(left).hexdigest(), left.decode("utf-8", "ignore"))):
                     column.append(value)
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.string()), pa.array(out[4], pa.string())],
-                                             names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "kept"])
-
-    return (docs.join(lost, docs.doc_id == lost.doc, "left").select("doc_id", "text", "ranges")
-            .mapInArrow(task, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept string"))
+            own = [part.column(f"__{c}") for c in keep]
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), *own, *[pa.array(x, pa.int64()) for x in out[:3]], pa.array(out[3], pa.string()), pa.array(out[4], pa.string())],
+                                             schema=shape)
+
+    facts = [StructField("n_bytes", LongType()), StructField("n_removed", LongType()), StructField("n_spans", LongType()),
+             StructField("kept_sha256", StringType()), StructField("kept", StringType())]
+    kinds = docs.schema
+    result = StructType([kinds["doc_id"], *[StructField(c, kinds[f"__{c}"].dataType) for c in keep], *facts])
+    shape = to_arrow_schema(result)
+    return (docs.join(lost, docs.doc_id == lost.doc, "left").select("doc_id", "text", "ranges", *[f"__{c}" for c in keep])
+            .mapInArrow(task, result))
