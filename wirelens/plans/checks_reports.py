@@ -75,7 +75,7 @@ def _(t: Tables):
         F.col("c_name").alias("victim"), F.lit("GroupA").alias("group_name"),
         F.when(k % 3 == 0, "2024-01-30 10:00:00.123").when(k % 3 == 1, "unknown").otherwise("2023-01-01").alias("discovered"),
         F.lit("http://leak.onion/x").alias("post_url"), F.get(tx.strings(["us", "DE", "jp", ""]), (k % 4).cast("int")).alias("country"))
-    return readers.normalize_victims(raw, AS_OF, regions.country_lookup(t.spark), cap=0).select("title", "feed_region")
+    return readers.normalize_victims(raw, AS_OF, regions.country_lookup(t.spark)).select("title", "feed_region")
 
 
 @query("a06_rollup_ioc_feed", """
@@ -352,7 +352,7 @@ EVENT_SCHEMA = "event_id long, ts timestamp_ntz, user_id long, event_type string
 
 def _event_stream(t: Tables):
     raw = jobs.read_landing(t.spark, t.sf_dir, EVENT_SCHEMA, "events.parquet")
-    return raw.withColumn("ts", F.to_timestamp(F.concat(F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00:00"))))
+    return raw.withColumn("ts", F.col("ts").cast("timestamp"))
 
 
 @query("j01_ingest", "SELECT event_id, event_type FROM events")

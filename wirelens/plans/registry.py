@@ -29,14 +29,9 @@ class Tables:
         return hl.headlines(self("documents"))
 
     def events(self) -> DataFrame:
-        """Events with an instant timestamp (the files carry a zone-less one)."""
-        return self("events").withColumn("ts", _utc("ts"))
-
-
-def _utc(name: str):
-    from pyspark.sql import functions as F
-
-    return F.to_timestamp(F.concat(F.date_format(F.col(name), "yyyy-MM-dd HH:mm:ss.SSSSSS"), F.lit("+00:00")))
+        """Events with an instant timestamp (the files carry a zone-less one; the session zone is UTC)."""
+        events = self("events")
+        return events.withColumn("ts", events.ts.cast("timestamp"))
 
 
 def query(name: str, sql: str | None = None):

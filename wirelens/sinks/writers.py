@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wirelens.functions import text as tx, times
@@ -20,12 +22,12 @@ def write_snapshot(df: DataFrame, path: str, as_of: str) -> None:
 def replace_latest(df: DataFrame, path: str, version: str) -> None:
     """New version of the corpus, published by appending one pointer row when it is complete."""
     df.write.mode("overwrite").parquet(f"{path}/versions/{version}")
-    df.sparkSession.range(1).select(F.lit(version).alias("version")).write.mode("append").parquet(f"{path}/pointer")
+    df.sparkSession.range(1).select(F.lit(version).alias("version"), F.lit(time.time_ns()).alias("published")).write.mode("append").parquet(f"{path}/pointer")
 
 
 def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The version that the newest pointer names (versions sort by name)."""
-    newest = spark.read.parquet(f"{path}/pointer").agg(F.max("version")).first()[0]
+    """The version that was published last, whatever its name."""
+    newest = spark.read.parquet(f"{path}/pointer").agg(F.max_by("version", "published")).first()[0]
     return spark.read.parquet(f"{path}/versions/{newest}")
 
 
