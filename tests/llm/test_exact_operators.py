@@ -275,6 +275,15 @@ def test_fingerprints_follow_generalised_jaccard(spark):
     assert out[2001].near_next == 1.0 and out[1001].near_next == 1.0
 
 
+def test_fingerprints_of_skewed_weights(spark):
+    """One word holds 90% of the weight or more: likeness follows the weight, not the number of words."""
+    alike = [(i, "the " * 1000 + " ".join(f"a{i}x{j}" for j in range(9))) for i in range(12)]
+    apart = [(100 + i, f"w{i} " * 1000 + " ".join(f"same{j}" for j in range(9))) for i in range(12)]
+    out = {r.doc_id: r.near_next for r in fingerprints.against_edits(frame(spark, alike + apart)).collect()}
+    assert abs(np.mean([out[i] for i in range(1, 12)]) - 1000 / 1018) < 0.02 and min(out[i] for i in range(1, 12)) > 0.85
+    assert abs(np.mean([out[100 + i] for i in range(1, 12)]) - 9 / 2009) < 0.02 and max(out[100 + i] for i in range(1, 12)) < 0.15
+
+
 def test_fingerprints_of_odd_rows(spark):
     rows = [(1, "a b"), (1, "a b"), (1, "c"), (None, "z")]
     out = fingerprints.against_edits(frame(spark, rows)).collect()

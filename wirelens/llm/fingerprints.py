@@ -14,9 +14,9 @@ from pyspark.sql import functions as F
 
 from wirelens.llm.columns import stored
 
-#: Terms are dealt by hash into PARTS, each with SAMPLES of its own: a term takes part in the samples of its part alone.
-#: The standard error of a likeness is at most 0.5 / sqrt(PARTS * SAMPLES).
-PARTS, SAMPLES = 4, 12
+#: Samples of a fingerprint. Every term takes part in every sample, so a sample of two texts is equal with the probability
+#: of their generalised Jaccard, whatever weight lies in which term; the standard error of a likeness is about 0.5 / sqrt(SAMPLES).
+SAMPLES = 48
 #: Exponential draws of a term from which pairs make the gamma scales of its samples.
 DRAWS = 12
 #: Stands for a missing key while documents are ordered: it comes last in descending order.
@@ -51,19 +51,16 @@ def _sample(term: Column, log_weight: Column, i: int, a: int, b: int) -> Column:
 
 
 def signatures(terms: DataFrame, keys: list[str], *, samples: int = SAMPLES) -> DataFrame:
-    """``keys`` plus signature, the identities of all samples part by part, from rows of keys, term and weight (over 0).
+    """``keys`` plus signature, the identities of all samples, from rows of keys, term and weight (over 0).
 
-    The samples of a part without terms are 0; others never are. At most 66 samples a part.
+    Identities are never 0. At most 66 samples.
     """
     pairs = [(a, a + d) for d in range(1, DRAWS) for a in range(DRAWS - d)][:samples]
     draws = [_exponential(_low(F.shiftrightunsigned(F.xxhash64("term", F.lit(f"scale{j // 2}")), 32 * (j % 2)), 32), 32).alias(f"e{j}")
              for j in range(max(b for _, b in pairs) + 1)]
-    rows = terms.select(*keys, "term", F.pmod("term", F.lit(PARTS)).alias("part"), F.ln("weight").alias("log_weight"), *draws)
-    best = rows.groupBy(*keys, "part").agg(*[F.min(_sample(F.col("term"), F.col("log_weight"), i, a, b)).alias(f"s{i}") for i, (a, b) in enumerate(pairs)])
-    own = F.struct("part", F.array(*[_low(F.col(f"s{i}"), 24).cast("int") for i in range(len(pairs))]).alias("own"))
-    found = best.select(*keys, own.alias("own")).groupBy(*keys).agg(F.map_from_entries(F.collect_list("own")).alias("parts"))
-    none = F.array_repeat(F.lit(0), len(pairs))
-    return found.select(*keys, F.concat(*[F.coalesce(F.element_at("parts", F.lit(p).cast("long")), none) for p in range(PARTS)]).alias("signature"))
+    rows = terms.select(*keys, "term", F.ln("weight").alias("log_weight"), *draws)
+    best = rows.groupBy(*keys).agg(*[F.min(_sample(F.col("term"), F.col("log_weight"), i, a, b)).alias(f"s{i}") for i, (a, b) in enumerate(pairs)])
+    return best.select(*keys, F.array(*[_low(F.col(f"s{i}"), 24).cast("int") for i in range(len(pairs))]).alias("signature"))
 
 
 def weighted_terms(texts: DataFrame, keys: list[str], listed: Column) -> DataFrame:
@@ -78,9 +75,8 @@ def text_of(signature: Column) -> Column:
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal samples of two signatures, 0 to 1, of those that either text has."""
-    both = F.zip_with(a, b, lambda x, y: F.when((x == 0) & (y == 0), F.lit(None)).otherwise(x == y))
-    return F.size(F.filter(both, lambda same: same)) / F.size(F.filter(both, lambda same: same.isNotNull()))
+    """Share of equal samples of two signatures, 0 to 1."""
+    return F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda same: same)) / F.size(a)
 
 
 def fingerprint(docs: DataFrame, *, text: str = "text", key: str = "doc_id", samples: int = SAMPLES) -> DataFrame:
