@@ -18,7 +18,7 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def one_of_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """N-gram Jaccard join: one document of each group stays, the one of smallest doc_id."""
+    """N-gram Jaccard join: one row of each group stays, the one of smallest doc_id."""
     C.session(spark)
     return jaccard_join.without_near_copies(docs, join=NEAR)
 

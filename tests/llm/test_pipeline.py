@@ -31,3 +31,15 @@ def test_stages_one_after_another(spark, sf, tmp_path):
     mixed = {r.doc_id for r in seen["pieces"].collect()}
     assert mixed <= set(before) and len(mixed) > 0.5 * len(before)
     assert docs.where("not round_trip").count() == 0 and docs.select("doc_id").distinct().count() == len(mixed)
+
+
+def test_repeated_rows_leave_one(spark, sf):
+    """A row given twice and a row without doc_id lose their copies in stage 2, and what stays keeps its text in stage 3."""
+    clean, other, third = (" ".join(f"{w}{i}" for i in range(80)) for w in ("clean", "other", "third"))
+    rows = [(1, clean), (1, clean), (2, other), (5, clean), (None, other), (None, third), (None, third), (7, ""), (7, ""), (8, None)]
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t or "")) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    single = corpus_pipeline.one_of_near_copies(spark, docs, sf)
+    want = sorted([("1", clean), ("2", other), ("None", third), ("7", ""), ("8", "")])
+    assert single.columns == docs.columns and sorted((str(r.doc_id), r.text or "") for r in single.collect()) == want
+    left = corpus_pipeline.without_repeats(spark, single, sf)
+    assert sorted((str(r.doc_id), r.text) for r in left.collect()) == want

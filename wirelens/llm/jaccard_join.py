@@ -326,6 +326,19 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 
 
 def without_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
-    """The rows of ``docs`` that are the smallest doc_id of their component; rows without a doc_id stay."""
-    first = near_duplicates(docs, text=text, doc_id=doc_id, join=join).where("doc_id = component_id").select(F.col("doc_id").alias("__first")).distinct()
-    return docs.join(first, F.col(doc_id) == F.col("__first"), "left").where(F.col("__first").isNotNull() | F.col(doc_id).isNull()).select(*docs.columns)
+    """One row of ``docs`` for each component of near copies.
+
+    Every row counts for itself, also one without a doc_id or with that of another row. The row of smallest doc_id stays
+    (missing ones come last; ties by hash of the text and of the other columns). Rows without words are near copies of none,
+    but of those that share a doc_id one stays.
+    """
+    C.session(docs.sparkSession)
+    rows = C.stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    groups = near_duplicates(rows, text=text, doc_id="__row", join=join).select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
+    order = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text),
+                     F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]), F.col("__row").alias("__row"))
+    first = (rows.select("__row", F.col(doc_id).alias("__key"), order.alias("__order")).join(groups, "__row")
+             .groupBy(F.when(F.col("n_shingles") == 0, F.col("__key")).alias("__wordless"),
+                      F.when((F.col("n_shingles") > 0) | F.col("__key").isNull(), F.col("component_id")).alias("__component"))
+             .agg(F.min("__order").alias("__order")).select("__order.__row"))
+    return rows.join(first, "__row", "left_semi").select(*docs.columns)
