@@ -196,6 +196,21 @@ def test_main_text(page, text):
     assert html_text.main_text(page or "") == text
 
 
+def test_main_text_keeps_whole_articles():
+    paragraph = "Words, words, words, words, words. " .ljust(400, "w")
+    prose, cells, items = [paragraph] * 10, [f"c{i:03d}" for i in range(40)], [f"short item number {i:02d}" for i in range(40)]
+    tagged = lambda tag, texts: "".join(f"<{tag}>{x}</{tag}>" for x in texts)
+    rows = "".join(f"<tr>{tagged('td', cells[i:i + 4])}</tr>" for i in range(0, 40, 4))
+    for tag in ("article", "main"):
+        assert html_text.main_text(f"<{tag}>{tagged('p', prose)}<table>{rows}</table></{tag}>").split("\n\n") == prose + cells
+        assert html_text.main_text(f"<{tag}>{tagged('p', prose)}<ul>{tagged('li', items)}</ul></{tag}>").split("\n\n") == prose + items
+        assert html_text.main_text(f"<{tag}>{tagged('p', prose)}<ul><li><a href=x>Source</a></ul></{tag}>").split("\n\n") == prose + ["Source"]
+    head = "A heading of some fifty characters above the text."
+    assert html_text.main_text(f"<body><div><a href=x>Away</a></div><div><h1>{head}</h1>{tagged('p', prose)}<table>{rows}</table></div></body>").split("\n\n") == [head, *prose, *cells]
+    figure = "<article><p>Text.</p><figure><img src=x><figcaption>A caption.</figcaption></figure><p>If <math><mi>x</mi><mo>=</mo><mn>1</mn></math> then.</p></article>"
+    assert html_text.main_text(figure) == "Text.\n\nA caption.\n\nIf x=1 then."
+
+
 def test_pages_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", "<p>x</p>"), (None, None, "<div>" * 3000 + "deep"), (2, "v", "")], "page_id long, url string, html string")
     rows = html_text.extract(pages.withColumn("text", F.lit(1))).collect()

@@ -11,6 +11,7 @@ import html as references
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -22,9 +23,11 @@ from wirelens.llm import columns as C
 
 #: Fixed values of the public HTML standard: elements without content, elements whose content is no markup.
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
-RAW = set("script style noscript template iframe svg math textarea title select object canvas audio video xmp".split())
+RAW = set("script style noscript template iframe svg annotation annotation-xml textarea title select object canvas audio video xmp".split())
 INLINE = set("a abbr b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike "
-             "strong sub sup time tt u var wbr".split())
+             "strong sub sup time tt u var wbr "
+             "math merror mfrac mi mmultiscripts mn mo mover mpadded mphantom mprescripts mroot mrow ms mspace msqrt mstyle msub msubsup msup "
+             "mtable mtd mtext mtr munder munderover semantics".split())
 #: Opening one of these ends an open paragraph; opening a list item or cell ends the one before.
 ENDS_P = set("address article aside blockquote details div dl fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr main menu nav ol p "
              "pre section table ul".split())
@@ -32,7 +35,7 @@ SIBLINGS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "
             "option": {"option"}}
 BARRIER = {"ul", "ol", "menu", "table", "dl", "article", "section", "div", "main", "body", "html"}
 #: Containers that hold no article, by element and by the words of their class, id or role.
-APART = set("nav footer aside form head button dialog fieldset figcaption".split()) | RAW
+APART = set("nav footer aside form head button dialog fieldset".split()) | RAW
 APART_WORDS = set("ad ads advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent notice "
                   "notices alert popup modal newsletter subscribe signup comment comments respond disqus reply replies sidebar side menu nav "
                   "navbar navigation breadcrumb breadcrumbs footer masthead share sharing social related recommended widget toolbar pagination "
@@ -45,11 +48,15 @@ PUNCTUATION = re.compile(r"[.,;:!?…、。¿¡]")
 
 @dataclass
 class Block:
-    """Text of one block element, its path, whether a container sets it apart, whether it is inside an article."""
+    """Text of one block element, its path, whether a container sets it apart, whether it is inside an article.
+
+    ``parents`` is the number of the element, its depth and the same of the element around it.
+    """
 
     path: int
     apart: bool
     inside: bool
+    parents: tuple
     parts: list[str] = field(default_factory=list)
     linked: int = 0
 
@@ -70,10 +77,10 @@ def _apart(tag: str, attributes: str, inside: bool) -> bool:
 def blocks(page: str) -> list[Block]:
     """Blocks of a page in page order. Unclosed elements end as browsers end them; cut-off tags are no text."""
     paths: dict[tuple[int, str], int] = {}
-    stack: list[tuple[str, int, bool, bool]] = [("", 0, False, False)]  # tag, path, apart, inside an article
+    stack: list[tuple[str, int, bool, bool, tuple]] = [("", 0, False, False, (0, 0, None))]  # tag, path, apart, inside an article, element
     out: list[Block] = []
     current: Block | None = None
-    links, at = 0, 0
+    links, at, elements = 0, 0, 0
 
     def text(piece: str) -> None:
         nonlocal current
@@ -83,7 +90,7 @@ def blocks(page: str) -> list[Block]:
             if piece.isspace():
                 return
             owner = next(s for s in reversed(stack) if s[0] not in INLINE)
-            current = Block(owner[1], stack[-1][2], owner[3])
+            current = Block(owner[1], stack[-1][2], owner[3], owner[4])
             out.append(current)
         current.parts.append(piece)
         if links:
@@ -132,22 +139,41 @@ def blocks(page: str) -> list[Block]:
         inside = above[3] or tag in ("article", "main")
         apart = above[2] or _apart(tag, found[3], above[3])
         if tag in INLINE:
-            path = above[1]
+            path, element = above[1], above[4]
             if apart != above[2]:
                 current = None
         else:
             path, current = paths.setdefault((above[1], tag), len(paths) + 1), None
+            elements += 1
+            element = (elements, above[4][1] + 1, above[4])
         links += tag == "a"
-        stack.append((tag, path, apart, inside))
+        stack.append((tag, path, apart, inside, element))
     return out
 
 
-def main_text(page: str, *, inside_share: float = 0.02, outside_share: float = 0.25) -> str:
+def _shared(a: tuple, b: tuple) -> tuple:
+    """The innermost element around both."""
+    while a[0] != b[0]:
+        if a[1] >= b[1]:
+            a = a[2]
+        else:
+            b = b[2]
+    return a
+
+
+def _within(element: tuple, outer: tuple) -> bool:
+    while element[1] > outer[1]:
+        element = element[2]
+    return element[0] == outer[0]
+
+
+def main_text(page: str, *, outside_share: float = 0.25) -> str:
     """Content blocks of a page joined by an empty line.
 
-    The ratio of a path is its unlinked text length per block, raised by its punctuation per block; blocks set apart
-    by their container count nothing. A path is content if its smoothed ratio reaches ``inside_share`` (within an
-    article or main element) or else ``outside_share`` of the largest; if such elements hold content, nothing else does.
+    Blocks set apart by their container never count. Within article and main elements that hold unlinked text all others
+    are content, and nothing else is. On other pages the ratio of a path is its unlinked text length per block, raised by
+    its punctuation per block; paths whose smoothed ratio reaches ``outside_share`` of the largest show where the content
+    is, and every block with unlinked text in the innermost element around them is content.
     """
     found = []
     for b in blocks(page):
@@ -167,9 +193,12 @@ def main_text(page: str, *, inside_share: float = 0.02, outside_share: float = 0
     ratio = (np.bincount(number, smooth) / many)[number] * (fused > 0)
     inside = np.array([b.inside for b, _ in found])
     if (inside & (ratio > 0)).any():
-        chosen = inside & (ratio >= inside_share * ratio[inside].max()) & (ratio > 0)
+        chosen = inside
     else:
         chosen = (ratio >= outside_share * ratio.max()) & (ratio > 0)
+        if chosen.any():
+            around = reduce(_shared, (b.parents for (b, _), good in zip(found, chosen) if good))
+            chosen |= (free > 0) & np.array([_within(b.parents, around) for b, _ in found])
     return "\n\n".join(w for (_, w), good in zip(found, chosen) if good)
 
 
