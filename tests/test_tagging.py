@@ -135,3 +135,9 @@ def test_health_ladder(spark):
     df = spark.createDataFrame(rows, "heartbeat_age double, last_run_age double, budget_exceeded boolean, enriched int, failures int, dead_feeds int, report_age_hours double")
     got = [(r.status, len(r.reasons)) for r in audits.health_status(df).collect()]
     assert got == [("unknown", 1), ("stale", 1), ("degraded", 1), ("degraded", 3), ("ok", 0)]
+
+
+def test_misfiled_titles_name_any_group_number(spark):
+    titles = ["APT5 spies on carriers", "APT 29 returns", "Hackers of APT-99", "APT41 again", "Apt for the task", "Adapt 5 habits"]
+    df = spark.createDataFrame([(t, "Phishing", 90) for t in titles], "title string, category string, confidence int")
+    assert {r.title for r in audits.misfiled(df).collect()} == set(titles[:4])
