@@ -259,6 +259,91 @@ def test_licence_rules(spark, text, found):
     assert licences.scan(frame(spark, [(1, text)])).first().licences == found
 
 
+WRAPPED = {
+    "BSD-3-Clause": """Copyright (c) 2020, A. Person
+All rights reserved.
+
+Redistribution and use in source and binary forms, with or without
+modification, are permitted provided that the following conditions are met:
+
+1. Redistributions of source code must retain the above copyright notice, this
+   list of conditions and the following disclaimer.
+
+2. Redistributions in binary form must reproduce the above copyright notice,
+   this list of conditions and the following disclaimer in the documentation
+   and/or other materials provided with the distribution.
+
+3. Neither the name of the copyright holder nor the names of its
+   contributors may be used to endorse or promote products derived from
+   this software without specific prior written permission.
+""",
+    "ISC": """Copyright (c) 2020 A. Person
+
+Permission to use, copy, modify, and/or distribute this software for any
+purpose with or without fee is hereby granted, provided that the above
+copyright notice and this permission notice appear in all copies.
+
+THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH
+REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY
+AND FITNESS.
+""",
+    "GPL-3.0-or-later": """    This program is free software: you can redistribute it and/or modify
+    it under the terms of the GNU General Public License as published by
+    the Free Software Foundation, either version 3 of the License, or
+    (at your option) any later version.
+
+    This program is distributed in the hope that it will be useful.
+""",
+    "GPL-2.0-or-later": """ * This program is free software; you can redistribute it and/or
+ * modify it under the terms of the GNU General Public License
+ * as published by the Free Software Foundation; either version 2
+ * of the License, or (at your option) any later version.
+ *
+ * It is free.
+""",
+    "MIT": """MIT License
+
+Copyright (c) 2020 A. Person
+
+Permission is hereby granted, free of charge, to any person obtaining a copy
+of this software and associated documentation files (the "Software"), to deal
+in the Software without restriction, subject to the following conditions:
+
+The above copyright notice and this permission notice shall be included in all
+copies or substantial portions of the Software.
+
+THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND.
+""",
+    "Apache-2.0": """Licensed under the Apache License, Version 2.0 (the "License");
+you may not use this file except in compliance with the License.
+You may obtain a copy of the License at
+
+    http://www.apache.org/licenses/LICENSE-2.0
+
+Unless required by applicable law or agreed to in writing, software
+distributed under the License is distributed on an "AS IS" BASIS,
+WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied.
+""",
+}
+
+
+def test_licences_wrapped_over_lines(spark):
+    rows = [(i, t.replace("\n", end)) for i, (t, end) in enumerate((t, end) for t in WRAPPED.values() for end in ("\n", "\r\n"))]
+    out = {r.doc_id: r.licences for r in licences.scan(frame(spark, rows)).collect()}
+    for i, name in enumerate(name for name in WRAPPED for _ in range(2)):
+        assert name in out[i] and set(out[i]) <= {name, "All-Rights-Reserved"}, (name, out[i])
+
+
+@pytest.mark.parametrize(("text", "found"), [
+    ("Dual-licensed under the MIT License or the Apache License, Version 2.0.", ["Apache-2.0", "MIT"]),
+    ("Take it under GPL v2 or BSD license", ["BSD", "GPL-2.0"]),
+    ("It is under the GNU General Public License version 3", ["GPL-3.0"]),
+    ("MPL 2.0, GPL v3, CC BY-SA 4.0 and CC0 1.0 parts", ["CC-BY-SA", "CC0-1.0", "GPL-3.0", "MPL-2.0"]),
+])
+def test_sentences_of_several_licences(spark, text, found):
+    assert licences.scan(frame(spark, [(1, text)])).first().licences == found
+
+
 def test_licences_of_an_empty_table(spark):
     assert licences.scan(frame(spark, [(1, "x")]).limit(0)).count() == 0
 

@@ -18,19 +18,19 @@ SENTENCES = [
     ("ccbynd", "(cc by nd|creative commons attribution noderivatives)"),
     ("ccby", "(cc by|creative commons attribution)"),
     ("agpl3", "(gnu affero general public licen[sc]e|agpl v? ?3|agpl3)"),
-    ("lgpl3", "(gnu (lesser|library) general public licen[sc]e( as published by the free software foundation)? (v|version )3|lgpl v? ?3)"),
+    ("lgpl3", "(gnu (lesser|library) general public licen[sc]e( as published by the free software foundation)? (either )?(v|version )3|lgpl v? ?3)"),
     ("lgpl2", "(gnu (lesser|library) general public licen[sc]e|lgpl v? ?2)"),
     ("gpl3", "(gnu general public licen[sc]e( as published by the free software foundation)? (either )?(v|version )3|(^| )gpl v? ?3|(^| )gplv3)"),
     ("gpl2", "(gnu general public licen[sc]e( as published by the free software foundation)? (either )?(v|version )2|(^| )gpl v? ?2|(^| )gplv2)"),
     ("gplany", "gnu general public licen[sc]e"),
-    ("orlater", "^(or )?(at your option )?any later version"),
+    ("orlater", "(or )?(at your option )?any later version"),
     ("apache2", "(apache licen[sc]e( version)? 2|apache 2 0)"),
     ("apachecopy", "you may (not use this file except in compliance with|obtain a copy of) the licen[sc]e"),
     ("apacheasis", "distributed under the licen[sc]e is distributed on an as is basis"),
     ("mitname", "(^| )mit licen[sc]e"),
     ("mitgrant", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("mitnotice", "the above copyright notice and this permission notice shall be included"),
-    ("asis", "the software is provided as is without warranty"),
+    ("asis", "the software is provided as is (without warranty|and .{1,60} disclaims? all warranties)"),
     ("noliability", "in no event shall the (authors|copyright holders|contributors).{0,40} be liable"),
     ("iscgrant", "permission to use copy modify and ?(or)? distribute this software for any purpose"),
     ("bsdname", "(^| )bsd licen[sc]e"),
@@ -52,6 +52,7 @@ RULES = [
     ("MIT", ["mitgrant", "mitnotice"]),
     ("MIT", ["mitname"]),
     ("ISC", ["iscgrant", "asis"]),
+    ("Apache-2.0", ["apache2", "apachecopy", "apachecopy", "apacheasis"]),
     ("Apache-2.0", ["apache2", "apachecopy", "apacheasis"]),
     ("Apache-2.0", ["apache2"]),
     ("AGPL-3.0", ["agpl3"]),
@@ -87,19 +88,28 @@ def sequence(rule: list[str]) -> str:
     return " " + "  (?:copyright  )*".join(rule) + " "
 
 
-def _identifier(sentence: Column) -> Column:
-    found = F.when(sentence.rlike(SENTENCES[0][1]), SENTENCES[0][0])
-    for name, pattern in SENTENCES[1:]:
-        found = found.when(sentence.rlike(pattern), name)
-    return found
+#: The same as a pattern over raw text, in which any run of blanks, line ends and comment marks stands between two words.
+LIKELY = "|".join(w.replace("(", r"\(").replace(")", r"\)").replace(" ", "[^a-z0-9]+") for w in WORDS)
+
+
+def _marked(sentence: Column) -> Column:
+    """A sentence with the place of every identifier marked; of matches that overlap, the one first in SENTENCES stays."""
+    for name, pattern in SENTENCES:
+        sentence = F.regexp_replace(sentence, pattern, f" <{name.upper()}> ")  # no pattern has capitals
+    return sentence
 
 
 def sentence_ids(text: Column) -> Column:
-    """Identifiers of the known licence sentences of a text, in order, as one string `` a  b  c ``."""
-    ended = F.regexp_replace(text, r"([.;:!?])[ \t]+", "$1\n")
-    likely = F.filter(F.split(ended, "[\r\n]+"), lambda s: F.lower(s).rlike("|".join(w.replace("(", r"\(").replace(")", r"\)") for w in WORDS)))
+    """Identifiers of the known licence sentences of a text, in order, as one string `` a  b  c ``.
+
+    A sentence ends at a stop or an empty line (one of comment marks alone is empty) and may go on over line ends. It has
+    all identifiers whose patterns match, each as often as it does.
+    """
+    parts = F.split(text, r"(?<=[.!?])\s+|(?:\r\n|\n|\r(?!\n))[ \t*#/;%|>-]*(?=[\r\n])")
+    likely = F.filter(parts, lambda s: F.lower(s).rlike(LIKELY))
     normal = F.transform(likely, lambda s: F.trim(F.regexp_replace(F.lower(s), "[^a-z0-9]+", " ")))
-    return F.array_join(F.transform(normal, lambda s: F.concat(F.lit(" "), _identifier(s), F.lit(" "))), "")
+    found = F.flatten(F.transform(normal, lambda s: F.regexp_extract_all(_marked(s), F.lit("<([A-Z0-9]+)>"), F.lit(1))))
+    return F.array_join(F.transform(found, lambda s: F.concat(F.lit(" "), F.lower(s), F.lit(" "))), "")
 
 
 def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
@@ -108,7 +118,7 @@ def scan(docs: DataFrame, *, text: str = "text", keep: tuple[str, ...] = ("doc_i
     ``sentences`` are the identifiers met, in text order; ``licences`` the distinct licences of the rules, by name;
     ``n_unmatched`` the identifiers that no rule used. Whole texts count; a null or empty text has none of them.
     """
-    has = F.lower(F.col(text)).rlike("|".join(w.replace("(", r"\(").replace(")", r"\)") for w in WORDS))
+    has = F.lower(F.col(text)).rlike(LIKELY)
     rows = docs.select(*keep, F.coalesce(F.when(has, sentence_ids(F.col(text))), F.lit("")).alias("__ids"))
     used = F.col("__ids")
     for name, rule in RULES:
