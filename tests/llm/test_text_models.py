@@ -47,6 +47,18 @@ def test_language_of_odd_rows(small, odd):
     assert language.predict(odd.limit(0), model).count() == 0
 
 
+@pytest.mark.parametrize("learned", [("en", "de", "fr", "es"), ("en", "fr"), ("en",)])
+def test_language_rejects_what_it_did_not_learn(spark, sf, learned):
+    docs = spark.read.parquet(f"{sf.replace('0.001', '0.01')}/documents.parquet").select("doc_id", "text", "lang")
+    rng = np.random.default_rng(3)
+    letters = [(i, " ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(3, 10))) for _ in range(60)), "none") for i in range(50)]
+    C.session(spark)
+    model = language.fit(docs.where(F.col("lang").isin(*learned) & ~C.held_out(F.col("doc_id"))))
+    out = language.predict(docs.union(spark.createDataFrame(letters, docs.schema)), model, keep=("doc_id", "lang"))
+    share = {r.lang: r.share for r in out.groupBy("lang").agg(F.avg(F.col("rejected").cast("int")).alias("share")).collect()}
+    assert all(share[x] > 0.9 for x in {"en", "de", "fr", "es", "none"} - set(learned)) and all(share[x] < 0.06 for x in learned)
+
+
 def test_language_without_labels(small):
     docs = small[0].withColumn("lang", F.lit(None).cast("string"))
     rows = language.predict(docs.limit(5), language.fit(docs)).collect()

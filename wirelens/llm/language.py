@@ -19,13 +19,19 @@ UNKNOWN = "und"
 
 @dataclass(frozen=True)
 class Model:
-    """``table`` holds, per subword bucket, its embedding times the softmax weights: averages and products commute."""
+    """``table`` holds, per subword bucket, its embedding times the softmax weights: averages and products commute.
+
+    ``fit`` holds, per bucket and language, how usual the bucket is in that language (log probability, less the usual
+    mean of a text); a text is rejected if its confidence or its mean fit for the language found is too low.
+    """
 
     languages: tuple[str, ...]
     table: np.ndarray
     bias: np.ndarray
     temperature: float
     reject_below: float
+    fit: np.ndarray
+    misfit_below: float
 
 
 def subwords(words: pa.Array, buckets: int, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
@@ -66,13 +72,15 @@ def _examples(texts: list[str], buckets: int, sizes: tuple[int, ...]) -> list[tu
 
 def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str = "doc_id", per_language: int = 500, most: int = 400,
         max_chars: int = 12_000, buckets: int = 1 << 15, dim: int = 16, sizes: tuple[int, ...] = (2, 3, 4),
-        epochs: int = 4, least_steps: int = 6_000, rate: float = 0.5, seed: int = 7) -> Model:
+        epochs: int = 4, least_steps: int = 6_000, rate: float = 0.5, seed: int = 7, wrongly_rejected: float = 0.005) -> Model:
     """Train on a bounded sample: of each language the ``per_language`` rows first by hash, of ``max_chars`` at most.
 
     The sample is meant for ``most`` languages at most; of more, rows of the later ones by hash are left out of it.
 
     Rows without language or letters teach nothing. A fifth of the sample is held back to fit the temperature and the
-    rejection level: the lowest confidence of a correctly labelled held-back text, with a margin, and never over 0.5.
+    two rejection levels: of its correctly labelled texts the share ``wrongly_rejected`` is below the level of confidence,
+    and as many below the level of fit. A softmax over the learned languages is sure of a text in none of them too; the
+    fit, how usual the subwords of the text are in the language found, is not.
     Without labelled rows the model knows no language and answers ``und`` everywhere.
     """
     order = Window.partitionBy("lang").orderBy("turn", "doc_id")
@@ -86,7 +94,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str
     number = {name: i for i, name in enumerate(languages)}
     pairs = [(x, number[r.lang]) for x, r in zip(_examples([r.text for r in rows], buckets, sizes), rows) if len(x[0])]
     if not pairs:
-        return Model((), np.zeros((buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0)
+        return Model((), np.zeros((buckets, 0), np.float32), np.zeros(0, np.float32), 1.0, 0.0, np.zeros((buckets, 0), np.float32), 0.0)
     rng, k = np.random.default_rng(seed), len(languages)
     held = pairs[:len(pairs) // 5]
     learn = pairs[len(held):]
@@ -108,12 +116,22 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str
     logits = np.array([share @ table[found] + bias for (found, share), _ in held], np.float64).reshape(-1, k)
     labels = np.array([label for _, label in held], np.int64)
     heat = C.temperature(logits, labels)
-    level = 0.5
+    usual = np.full((buckets, k), 1 / buckets)
+    for (found, share), label in learn:
+        usual[found, label] += share  # one text of even subwords stands for those never seen
+    usual = np.log(usual / usual.sum(0))
+    level = misfit = -np.inf
     if len(labels):
         sure = C.softmax(logits / heat)
-        right = sure[np.arange(len(labels)), labels][sure.argmax(1) == labels]
-        level = float(min(0.5, 0.8 * right.min())) if len(right) else 0.0
-    return Model(languages, table, bias, heat, level)
+        right = sure.argmax(1) == labels
+        mean = np.array([share @ usual[found, label] for (found, share), label in held])
+        middle = np.full(k, np.median(mean))
+        for label in set(labels[right].tolist()):  # languages differ in how even their subwords are
+            middle[label] = np.median(mean[right & (labels == label)])
+        usual, mean = usual - middle, mean - middle[labels]
+        if right.any():
+            level, misfit = np.quantile(sure.max(1)[right], wrongly_rejected), np.quantile(mean[right], wrongly_rejected)
+    return Model(languages, table, bias, heat, float(level), usual.astype(np.float32), float(misfit))
 
 
 def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",),
@@ -130,7 +148,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[st
             n = part.num_rows
             texts = C.filled(part.column("__text"))
             words, codes, rows = C.distinct_words(C.letter_words(texts))
-            names, score = np.full(n, UNKNOWN, object), np.zeros(n)
+            names, score, fits = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
             if len(codes) and model.languages:
                 found, many = subwords(words, buckets, sizes)
                 starts = np.cumsum(many) - many
@@ -141,7 +159,10 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[st
                 sure = C.softmax((total[known] / count[known, None] + model.bias) / model.temperature)
                 names[known] = np.array(model.languages, object)[sure.argmax(1)]
                 score[known] = sure.max(1)
-            rejected = (names == UNKNOWN) | (score < model.reject_below)
+                per_word = np.add.reduceat(model.fit[found].astype(np.float64), starts)
+                usual = np.stack([np.bincount(rows, per_word[codes, j], n) for j in range(len(model.languages))], 1)
+                fits[known] = usual[known, sure.argmax(1)] / count[known]
+            rejected = (names == UNKNOWN) | (score < model.reject_below) | (fits < model.misfit_below)
             columns = [part.column(i) for i, name in enumerate(part.schema.names) if name != "__text"]
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names.tolist(), pa.string()), pa.array(score),
                                               pa.array(rejected)], schema=shape)
