@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from wirelens.llm import columns as C
-from wirelens.llm import fingerprints, html_text, jaccard_join, language, licences, mixing, pieces, quality, suffix_dedup, top_k
+from wirelens.llm import chat_format, fingerprints, html_text, jaccard_join, language, licences, mixing, negatives, pieces, quality, suffix_dedup, top_k, whitening
 
 
 def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -95,6 +95,22 @@ def op10_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprints.against_edits(_read(spark, sf_dir, "documents").select("doc_id", "text"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hard negatives of every hundredth vector, against its five best rows of the same label."""
+    return negatives.mine(negatives.anchored(_read(spark, sf_dir, "embeddings")), lambda key: key % 100 == 0)
+
+
+def op12_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first sixteen principal components, scaled to unit variance."""
+    return whitening.whiten(whitening.grid(_read(spark, sf_dir, "embeddings")), components=16)
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations and one that quotes control strings, formatted, and read back from what was written."""
+    turns = chat_format.with_example(_read(spark, sf_dir, "conversations"))
+    return chat_format.digests(C.stored(chat_format.formatted(turns)))
+
+
 QUERIES = {
     "op1_pieces": op1_pieces,
     "op2_mixing": op2_mixing,
@@ -106,5 +122,12 @@ QUERIES = {
     "op8_top_k": op8_top_k,
     "op9_licences": op9_licences,
     "op10_fingerprints": op10_fingerprints,
+    "op11_hard_negatives": op11_hard_negatives,
+    "op12_whitening": op12_whitening,
+    "op13_chat_format": op13_chat_format,
+}
+ORACLES = {
+    "op9_licences": licences.oracle("documents"),
+    "op11_hard_negatives": negatives.ORACLE,
+    "op13_chat_format": chat_format.ORACLE,
 }
-ORACLES = {"op9_licences": licences.oracle("documents")}
