@@ -6,6 +6,9 @@ of the corpus is a join, never one huge array.
 
 from __future__ import annotations
 
+from functools import reduce
+
+import pandas as pd
 from pyspark.sql import DataFrame, functions as F, Window
 
 from wirelens import fixed
@@ -35,37 +38,85 @@ def entity_sizes(edges: DataFrame) -> DataFrame:
     return edges.groupBy(*ENTITY).agg(F.count("*").alias("article_count"), F.min(F.struct("pos", "ord")).alias("first"))
 
 
-def greedy_cover(edges: DataFrame, min_members: int = fixed.CLUSTER_MIN_MEMBERS, min_new: int = fixed.CLUSTER_MIN_NEW,
-                 max_rounds: int = 200) -> DataFrame:
+def connected(links: DataFrame) -> DataFrame:
+    """(node, family) of the graph with number edges (a, b): the smallest number of each connected part."""
+    both = cut(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct())
+    labels = cut(both.groupBy(F.col("a").alias("node")).agg(F.least(F.min("b"), F.first("a")).alias("family")))
+    while True:
+        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy(F.col("a").alias("node")).agg(F.min("family").alias("near"))
+        nearer = labels.join(near, "node").select("node", F.col("family").alias("old"), F.least("family", "near").alias("family"))
+        tops = labels.select(F.col("node").alias("family"), F.col("family").alias("top"))  # pointer jumping: chains halve
+        now = cut(nearer.join(tops, "family", "left").select("node", "old", F.least("family", F.coalesce("top", "family")).alias("family")))
+        if now.filter("family <> old").isEmpty():
+            return now.drop("old")
+        labels = now.drop("old")
+
+
+#: Rounds after which a cover whose open edges are few enough is finished by scans, and how many edges are few.
+ROUNDS, SCAN_EDGES = 12, 1_000_000
+
+
+def greedy_cover(edges: DataFrame, min_members: int = fixed.CLUSTER_MIN_MEMBERS, min_new: int = fixed.CLUSTER_MIN_NEW) -> DataFrame:
     """Entities that become clusters, largest first, with enough uncovered members.
 
     The sequential rule is decided in parallel rounds over the edges between
     undecided entities and items not covered by a better kept one: an entity with
     ``min_new`` items on which it is the best undecided one is kept, one with
     fewer edges left is dropped. The best undecided entity is always decided, so the rounds end.
+    A long chain of ranks decides few entities a round; once few edges are left, each connected part of them is
+    settled by one scan in rank order instead.
     """
     sizes = entity_sizes(edges).filter(F.col("article_count") >= min_members)
     rank = F.struct((-F.col("article_count")).alias("size"), F.col("first"), *ENTITY)
-    open_edges = cut(edges.select(*ENTITY, "pos").join(sizes, ENTITY).select(rank.alias("rank"), "pos"))
-    kept = None
-    for _ in range(max_rounds):
-        if open_edges.isEmpty():
+    state = cut(edges.select(*ENTITY, "pos").join(sizes, ENTITY).select(rank.alias("rank"), "pos", F.lit(False).alias("kept")))
+    kept, rounds = [], 0
+    while True:
+        open_edges = state.filter(~F.col("kept"))
+        left = open_edges.count()
+        if not left:
+            break
+        if rounds >= ROUNDS and left <= SCAN_EDGES:
+            kept.append(_scanned(open_edges.select("rank", "pos"), min_new))
             break
-        best = Window.partitionBy("pos")
-        marked = open_edges.withColumn("own", F.col("rank") == F.min("rank").over(best))
-        state = marked.groupBy("rank").agg(F.count("*").alias("left"), F.count_if("own").alias("own"))
-        decided = cut(state.filter((F.col("own") >= min_new) | (F.col("left") < min_new)).select("rank", (F.col("own") >= min_new).alias("keep")))
-        winners = decided.filter("keep").select("rank")
-        kept = winners if kept is None else kept.unionByName(winners)
-        # an item covered by a kept entity is lost only to the entities that rank behind it
-        covered = open_edges.join(winners, "rank", "left_semi").groupBy("pos").agg(F.min("rank").alias("by"))
-        remaining = open_edges.join(decided.select("rank"), "rank", "left_anti").join(covered, "pos", "left")
-        open_edges = cut(remaining.filter(F.col("by").isNull() | (F.col("rank") < F.col("by"))).select("rank", "pos"))
-    else:
-        raise RuntimeError("greedy cover did not settle; raise max_rounds")
-    if kept is None:
+        state, rounds = cut(_cover_round(open_edges.select("rank", "pos"), min_new)), rounds + 1
+        kept.append(state.filter("kept").select("rank").distinct())
+    if not kept:
         return sizes.limit(0).select(*ENTITY, "article_count")
-    return kept.select(*[F.col(f"rank.{c}").alias(c) for c in ENTITY], (-F.col("rank.size")).alias("article_count"))
+    return reduce(DataFrame.unionByName, kept).select(*[F.col(f"rank.{c}").alias(c) for c in ENTITY], (-F.col("rank.size")).alias("article_count"))
+
+
+def _cover_round(edges: DataFrame, min_new: int) -> DataFrame:
+    """(rank, pos, kept): edges of the entities kept in this round, and those still open after it; one job."""
+    item = Window.partitionBy("pos")
+    marked = edges.withColumn("own", F.col("rank") == F.min("rank").over(item))
+    totals = marked.groupBy("rank").agg(F.count("*").alias("left"), F.count_if("own").alias("own"))
+    judged = edges.join(totals, "rank").withColumn("kept", F.col("own") >= min_new)
+    # an item covered by a kept entity is lost only to the entities that rank behind it
+    by = F.min(F.when(F.col("kept"), F.col("rank"))).over(item)
+    still = (F.col("left") >= min_new) & (F.col("by").isNull() | (F.col("rank") < F.col("by")))
+    return judged.withColumn("by", by).filter(F.col("kept") | still).select("rank", "pos", "kept")
+
+
+def _scanned(edges: DataFrame, min_new: int) -> DataFrame:
+    """Kept ranks of the open edges: every connected part in rank order, each entity against the items covered before it."""
+    numbered = edges.withColumn("a", F.xxhash64("rank"))
+    links = numbered.withColumn("b", F.min("a").over(Window.partitionBy("pos"))).select("a", "b").distinct()
+    families = connected(links).select(F.col("node").alias("a"), "family")
+    # the place of an entity among all that are left stands for its rank
+    ranks = cut(edges.select("rank").distinct().withColumn("a", F.xxhash64("rank")))
+    places = ranks.withColumn("place", F.row_number().over(Window.orderBy("rank"))).select("a", "place")
+    rows = numbered.select("a", "pos").join(families, "a").join(places, "a")
+
+    def scan(part: pd.DataFrame) -> pd.DataFrame:
+        covered, kept = set(), []
+        for (_, a), items in part.sort_values("place").groupby(["place", "a"])["pos"]:
+            fresh = set(items) - covered
+            if len(fresh) >= min_new:
+                covered |= fresh
+                kept.append(a)
+        return pd.DataFrame({"a": pd.Series(kept, dtype="int64")})
+
+    return rows.groupBy("family").applyInPandas(scan, "a long").join(ranks, "a").select("rank")
 
 
 def build_clusters(df: DataFrame, edges: DataFrame, pos: str = "pos", ts: str = "event_ts", preview: int = fixed.CLUSTER_PREVIEW) -> tuple[DataFrame, DataFrame]:

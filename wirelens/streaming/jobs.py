@@ -12,8 +12,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wirelens import fixed
 from wirelens.functions import times
-from wirelens.operators import clusters as cl, corpus, enrich, feeds, similar
+from wirelens.operators import corpus, enrich, feeds, similar
 from wirelens.session import fresh_path
+from wirelens.streaming import campaigns
 
 
 def read_landing(spark: SparkSession, path: str, schema: str, pattern: str = "*.parquet", fmt: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
@@ -158,16 +159,10 @@ def feed_health_stream(stream: DataFrame, state_path: str, checkpoint: str) -> D
 
 
 def campaign_stream(stream: DataFrame, state_path: str, checkpoint: str, as_of: str) -> DataFrame:
-    """Campaigns after every micro-batch of items (with pos, hash, event_ts and the text columns)."""
-    schema = cl.empty_campaigns(stream.sparkSession).schema
-    table = StateTable(stream.sparkSession, state_path, ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in schema.fields))
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        summary, members = cl.build_clusters(batch, cl.entity_edges(batch))
-        table.after(batch_id, cl.upsert_campaigns(table.before(batch_id), summary, members, as_of))
-
-    run_batches(stream, handle, checkpoint)
-    return table.latest()
+    """Campaigns of all items (with pos, hash, event_ts and the text columns) after the last micro-batch."""
+    state = campaigns.Campaigns(stream.sparkSession, state_path)
+    run_batches(stream, state.add, checkpoint)
+    return state.table(as_of)
 
 
 def once_alerts_stream(stream: DataFrame, path: str, state_path: str, checkpoint: str, as_of: str) -> DataFrame:
