@@ -2,7 +2,7 @@ import random
 from datetime import datetime, timedelta
 
 from wirelens.operators import feeds
-from wirelens.streaming import jobs
+from wirelens.streaming import health, jobs
 
 START = datetime(2024, 1, 1)
 
@@ -57,15 +57,20 @@ def test_health_equals_the_state_machine(spark):
         assert summary(feeds.feed_health(frame(spark, rows))) == machine(rows)
 
 
-def test_stream_merges_batches(spark, tmp_path):
+def test_shuffled_and_late_files_give_the_batch_result(spark, tmp_path):
     rows = history(4)
-    for part in range(4):
-        frame(spark, rows[part * 125:(part + 1) * 125], part * 125).coalesce(1).write.parquet(str(tmp_path / "in" / f"p{part}"))
-    state = spark.createDataFrame([], jobs.HEALTH_STATE)
-    for part in range(4):
-        merged = jobs.merge_health(state, spark.read.parquet(str(tmp_path / "in" / f"p{part}")))
-        state = spark.createDataFrame(merged.collect(), jobs.HEALTH_STATE)
-    assert summary(jobs.health_of_marks(state)) == machine(rows)
+    fetches = frame(spark, rows)
+    schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fetches.schema.fields)
+    for name, part in {"late": lambda i: (i // 125 + 3) % 4, "dealt": lambda i: i * 7 % 4}.items():
+        for n in range(4):
+            fetches.filter(f"event_id in ({','.join(str(i) for i in range(500) if part(i) == n)})").coalesce(1).write.mode("append").parquet(str(tmp_path / name / "in"))
+        stream = jobs.read_landing(spark, str(tmp_path / name / "in"), schema, files_per_trigger=1)
+        got = jobs.feed_health_stream(stream, str(tmp_path / name / "state"), str(tmp_path / name / "ck"))
+        assert summary(got) == machine(rows), name
+        assert sorted(map(str, got.collect())) == sorted(map(str, feeds.feed_health(fetches).collect()))
+    state = health.Health(spark, str(tmp_path / "late" / "state"))
+    state.add(fetches.filter("event_id >= 375"), 1)  # a batch that was stored before comes again
+    assert summary(state.table()) == machine(rows)
 
 
 def test_scores_and_report(spark):

@@ -78,26 +78,32 @@ def rank_vulns(df: DataFrame, n: int = 8) -> DataFrame:
         F.coalesce("cvss_score", F.lit(0.0)).desc(), F.asc("pos")).limit(n)
 
 
-def kev_alerts(df: DataFrame, alerted: DataFrame, as_of: str, max_age_days: int = 14, cap: int = 5, titles: int = 2) -> tuple[DataFrame, DataFrame]:
-    """(alerts to send, CVEs to mark): one alert per CVE that was never alerted.
+def kev_facts(df: DataFrame, as_of: str, max_age_days: int = 14, titles: int = 2) -> DataFrame:
+    """Per known-exploited CVE of the items: stale, date_added, articles, and the first titles with their positions.
 
-    Entries older than the age limit are marked without an alert; a bad date
-    does not silence a CVE. Alerts beyond the cap fire on the next run.
+    Stale: an entry older than the age limit; a bad date does not make one stale.
     """
     pairs = df.filter("kev_listed").select("pos", "title", F.inline("kev_entries"))
-    fresh = pairs.withColumn("cve_id", F.upper("cve_id")).filter(F.col("cve_id").rlike(r"^CVE-\d{4}-\d{4,7}$")).join(
-        alerted.select("cve_id"), "cve_id", "left_anti")
+    fresh = pairs.withColumn("cve_id", F.upper("cve_id")).filter(F.col("cve_id").rlike(r"^CVE-\d{4}-\d{4,7}$"))
     added = F.try_to_timestamp(F.when(F.col("date_added").rlike(r"^\d{4}-\d{2}-\d{2}$"), F.col("date_added"))).cast("date")
     stale = F.coalesce(added < F.date_sub(F.to_date(times.as_timestamp(as_of)), max_age_days), F.lit(False))
-    flagged = fresh.withColumn("_stale", stale)
-    per_cve = flagged.groupBy("cve_id").agg(
-        F.bool_or("_stale").alias("stale"), F.min(F.when(F.col("date_added") != "", F.col("date_added"))).alias("date_added"),
+    per_cve = fresh.groupBy("cve_id").agg(
+        F.bool_or(stale).alias("stale"), F.min(F.when(F.col("date_added") != "", F.col("date_added"))).alias("date_added"),
         F.count("*").alias("articles"))
+    first = top_n(fresh.select("cve_id", "pos", "title"), ["cve_id"], [F.col("pos")], titles)
+    return per_cve.join(first.groupBy("cve_id").agg(F.array_sort(F.collect_list(F.struct("pos", "title"))).alias("shown")), "cve_id")
+
+
+def kev_alerts(df: DataFrame, alerted: DataFrame, as_of: str, max_age_days: int = 14, cap: int = 5, titles: int = 2) -> tuple[DataFrame, DataFrame]:
+    """(alerts to send, CVEs to mark): one alert per CVE that was never alerted.
+
+    Entries older than the age limit are marked without an alert. Alerts beyond
+    the cap are not marked and fire on the next run over the same items.
+    """
+    per_cve = kev_facts(df, as_of, max_age_days, titles).join(alerted.select("cve_id"), "cve_id", "left_anti")
     quiet = per_cve.filter("stale").select("cve_id")
-    sending = per_cve.filter("not stale").orderBy("cve_id").limit(cap)
-    first = top_n(flagged.join(sending.select("cve_id"), "cve_id", "left_semi").select("cve_id", "pos", "title"), ["cve_id"], [F.col("pos")], titles)
-    shown = first.groupBy("cve_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "title"))), lambda s: s["title"]).alias("titles"))
-    alerts = sending.join(shown, "cve_id").select("cve_id", "date_added", "articles", "titles")
+    alerts = per_cve.filter("not stale").orderBy("cve_id").limit(cap).select(
+        "cve_id", "date_added", "articles", F.transform("shown", lambda s: s["title"]).alias("titles"))
     return alerts, quiet.unionByName(alerts.select("cve_id"))
 
 

@@ -13,6 +13,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 from wirelens import fixed
 
 
+def moments(events: DataFrame, url: str = "url", ts: str = "ts", order: str = "event_id") -> DataFrame:
+    """(url, at, success, entry_count, healthy) of every fetch."""
+    at = F.struct(F.col(ts).alias("ts"), F.col(order).alias("ord"))
+    return events.select(F.col(url).alias("url"), at.alias("at"), "success", "entry_count", (F.col("success") & (F.col("entry_count") > 0)).alias("healthy"))
+
+
 def fetch_marks(events: DataFrame, url: str = "url", ts: str = "ts", order: str = "event_id") -> DataFrame:
     """One row per feed: last healthy fetch, totals, and the errors and quiet fetches after it.
 
@@ -20,9 +26,7 @@ def fetch_marks(events: DataFrame, url: str = "url", ts: str = "ts", order: str
     many fetches meet their marks in as many groups as there are hours; only
     hourly rows are then combined per feed.
     """
-    at = F.struct(F.col(ts).alias("ts"), F.col(order).alias("ord"))
-    healthy = F.col("success") & (F.col("entry_count") > 0)
-    rows = events.select(F.col(url).alias("url"), F.date_trunc("hour", ts).alias("slot"), at.alias("at"), "success", "entry_count", healthy.alias("healthy"))
+    rows = moments(events, url, ts, order).withColumn("slot", F.date_trunc("hour", "at.ts"))
     hourly = rows.groupBy("url", "slot").agg(
         F.max(F.when(F.col("healthy"), F.col("at"))).alias("ok"), F.max("at").alias("last"),
         F.count("*").alias("total"), F.count_if("success").alias("good"),
@@ -44,8 +48,11 @@ def fetch_marks(events: DataFrame, url: str = "url", ts: str = "ts", order: str
 
 def feed_health(events: DataFrame, url: str = "url", ts: str = "ts", order: str = "event_id") -> DataFrame:
     """State per feed after all its fetches (url, ts, success, entry_count)."""
-    joined = fetch_marks(events, url, ts, order)
+    return judged(fetch_marks(events, url, ts, order))
+
 
+def judged(marks: DataFrame) -> DataFrame:
+    """Health columns and status of each feed from its marks."""
     def days(a: Column, b: Column) -> Column:
         return (F.unix_micros(a) - F.unix_micros(b)) / F.lit(86_400_000_000)
 
@@ -55,7 +62,7 @@ def feed_health(events: DataFrame, url: str = "url", ts: str = "ts", order: str
     quiet_last = F.col("last_quiet").isNotNull() & (F.col("last_error").isNull() | (F.col("last_quiet") > F.col("last_error")))
     quiet = F.when(F.col("last_ok").isNotNull() & (days(F.col("last_quiet.ts"), F.col("last_ok.ts")) >= fixed.STALE_DAYS), "stale").when(
         F.col("last_ok").isNull() & (F.col("fetches_successful") >= fixed.SILENT_MIN_FETCHES), "silent")
-    return joined.select(
+    return marks.select(
         "url", F.coalesce("errors", F.lit(0)).alias("consecutive_errors"), F.col("first_error.ts").alias("first_error"),
         F.col("last_ok.ts").alias("last_success"), F.col("last.ts").alias("last_checked"),
         F.when(quiet_last, F.coalesce(quiet, after_errors)).otherwise(after_errors).alias("status"),

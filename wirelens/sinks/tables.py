@@ -45,11 +45,12 @@ class BucketTable:
     """Rows by key in ``buckets`` partitions of the key's hash.
 
     Every rewritten bucket notes the number of the merge that wrote it (``stamp``; numbers only rise). A merge that is
-    repeated after a failure leaves those buckets alone that already have its number. ``schema`` lists the columns;
+    repeated after a failure leaves those buckets alone that already have its number. The number of buckets is fixed when
+    the table is made and follows its expected size. ``schema`` lists the columns;
     ``bucket`` and ``stamp`` are the table's own.
     """
 
-    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, schema: str, keys: list[str], buckets: int = 16):
         self.spark, self.path, self.schema, self.keys, self.buckets = spark, path, schema, keys, buckets
         self.columns = spark.createDataFrame([], schema).columns
 

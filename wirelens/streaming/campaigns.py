@@ -27,7 +27,7 @@ ENTITIES = ("entity_type string, entity_name string, family long, article_count
 class Campaigns:
     """The two tables under ``path`` and what is read off them."""
 
-    def __init__(self, spark: SparkSession, path: str, buckets: int = 64):
+    def __init__(self, spark: SparkSession, path: str, buckets: int = 16):
         self.spark, self.path = spark, path
         self.edges = BatchTable(spark, f"{path}/edges", EDGES, "bucket")
         self.entities = BucketTable(spark, f"{path}/entities", ENTITIES, ENTITY, buckets)

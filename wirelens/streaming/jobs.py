@@ -11,10 +11,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wirelens import fixed
-from wirelens.functions import times
-from wirelens.operators import corpus, enrich, feeds, similar
+from wirelens.operators import corpus, similar
 from wirelens.session import fresh_path
-from wirelens.streaming import campaigns
+from wirelens.streaming import alerts, campaigns, health
 
 
 def read_landing(spark: SparkSession, path: str, schema: str, pattern: str = "*.parquet", fmt: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
@@ -102,60 +101,11 @@ def daily_counts_stream(stream: DataFrame, key: str, path: str, checkpoint: str,
     return stream.sparkSession.read.parquet(path).groupBy("day", "key").agg(F.max_by("n", "batch").alias("n"))
 
 
-HEALTH_STATE = (
-    "url string, consecutive_errors long, first_error timestamp, last_error timestamp, last_success timestamp, last_quiet timestamp,"
-    " last_checked timestamp, fetches_total long, fetches_successful long, entries_total long")
-
-
-def merge_health(state: DataFrame, events: DataFrame) -> DataFrame:
-    """Health marks after one batch of fetches that all follow the state.
-
-    The batch is reduced to one row per feed before it meets the state, so a
-    feed with very many fetches costs no more than a quiet one.
-    """
-    marks = feeds.fetch_marks(events).select(
-        "url", F.col("last_ok").alias("ok"), F.col("last.ts").alias("b_checked"), F.col("fetches_total").alias("b_total"),
-        F.col("fetches_successful").alias("b_success"), F.col("entries_total").alias("b_entries"), F.col("errors").alias("b_errors"),
-        F.col("first_error.ts").alias("b_first"), F.col("last_error.ts").alias("b_last"), F.col("last_quiet.ts").alias("b_quiet"))
-    both = state.join(marks, "url", "full_outer")
-    reset = F.col("ok").isNotNull()
-
-    def carried(old: str, new: str):
-        return F.when(reset, F.col(new)).otherwise(F.coalesce(new, old))
-
-    def total(old: str, new: str):
-        return (F.coalesce(old, F.lit(0)) + F.coalesce(new, F.lit(0))).alias(old)
-
-    return both.select(
-        "url", F.when(reset, F.coalesce("b_errors", F.lit(0))).otherwise(F.coalesce("consecutive_errors", F.lit(0)) + F.coalesce("b_errors", F.lit(0))).alias("consecutive_errors"),
-        F.when(reset, F.col("b_first")).otherwise(F.coalesce("first_error", "b_first")).alias("first_error"), carried("last_error", "b_last").alias("last_error"),
-        F.coalesce("ok.ts", "last_success").alias("last_success"), carried("last_quiet", "b_quiet").alias("last_quiet"),
-        F.coalesce("b_checked", "last_checked").alias("last_checked"), total("fetches_total", "b_total"), total("fetches_successful", "b_success"), total("entries_total", "b_entries"))
-
-
-def health_of_marks(state: DataFrame) -> DataFrame:
-    """Status of each feed from its marks, by the rules of the batch form."""
-    def days(a: str, b: str):
-        return times.age_days(F.col(b), F.col(a))
-
-    error_days = days("last_error", "first_error")
-    after_errors = F.when(F.col("last_error").isNull(), "ok").when(error_days >= fixed.DEAD_DAYS, "dead").when(
-        error_days >= fixed.SUSPECT_DAYS, "suspect").otherwise("error")
-    quiet_last = F.col("last_quiet").isNotNull() & (F.col("last_error").isNull() | (F.col("last_quiet") > F.col("last_error")))
-    quiet = F.when(F.col("last_success").isNotNull() & (days("last_quiet", "last_success") >= fixed.STALE_DAYS), "stale").when(
-        F.col("last_success").isNull() & (F.col("fetches_successful") >= fixed.SILENT_MIN_FETCHES), "silent")
-    return state.withColumn("status", F.when(quiet_last, F.coalesce(quiet, after_errors)).otherwise(after_errors))
-
-
 def feed_health_stream(stream: DataFrame, state_path: str, checkpoint: str) -> DataFrame:
-    """Feed health kept up to date by micro-batches of (url, ts, event_id, success, entry_count)."""
-    table = StateTable(stream.sparkSession, state_path, HEALTH_STATE)
-
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        table.after(batch_id, merge_health(table.before(batch_id), batch))
-
-    run_batches(stream, handle, checkpoint)
-    return health_of_marks(table.latest())
+    """Feed health of all fetches (url, ts, event_id, success, entry_count), in whatever order their files came."""
+    state = health.Health(stream.sparkSession, state_path)
+    run_batches(stream, state.add, checkpoint)
+    return state.table()
 
 
 def campaign_stream(stream: DataFrame, state_path: str, checkpoint: str, as_of: str) -> DataFrame:
@@ -165,19 +115,14 @@ def campaign_stream(stream: DataFrame, state_path: str, checkpoint: str, as_of:
     return state.table(as_of)
 
 
-def once_alerts_stream(stream: DataFrame, path: str, state_path: str, checkpoint: str, as_of: str) -> DataFrame:
-    """One alert per known-exploited CVE ever, at most five per micro-batch."""
-    spark = stream.sparkSession
-    alerted = StateTable(spark, state_path, "cve_id string")
+def once_alerts_stream(stream: DataFrame, path: str, state_path: str, checkpoint: str, as_of: str, cap: int = fixed.KEV_ALERTS_PER_BATCH) -> DataFrame:
+    """One alert per known-exploited CVE ever, at most ``cap`` per micro-batch; what is over waits for a later one.
 
-    def handle(batch: DataFrame, batch_id: int) -> None:
-        seen = alerted.before(batch_id)
-        alerts, marks = enrich.kev_alerts(batch, seen, as_of)
-        alerts.write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        alerted.after(batch_id, seen.unionByName(marks).distinct())
-
-    run_batches(stream, handle, checkpoint)
-    return spark.read.parquet(path)
+    ``alerts.OnceAlerts`` over the same paths shows what waits and can fire it without new items.
+    """
+    state = alerts.OnceAlerts(stream.sparkSession, path, state_path, as_of, cap)
+    run_batches(stream, state.round, checkpoint)
+    return state.sent()
 
 
 def outbox_stream(stream: DataFrame, path: str, checkpoint: str, style: str = "generic") -> DataFrame:
