@@ -1,7 +1,9 @@
+import random
+
 from pyspark.sql import functions as F
 
-from wirelens.operators import corpus
-from wirelens.streaming import jobs
+from wirelens.operators import corpus, similar
+from wirelens.streaming import jobs, titles
 
 
 def land(spark, tmp_path, parts, schema):
@@ -17,6 +19,48 @@ def test_fuzzy_dedup_across_batches(spark, tmp_path):
     assert {r.pos: r.is_duplicate for r in out.collect()} == {0: False, 1: False, 2: True, 3: False}
 
 
+def mixed_titles(seed, n=160):
+    rng = random.Random(seed)
+    words = ["acme", "breach", "leak", "bank", "hack", "the", "of", "group", "data", "zero", "day", "flaw", "cloud", "in", "vpn", "bug"]
+    rows = []
+    for pos in range(n):
+        title = " ".join(rng.choice(words) for _ in range(rng.randint(1, 9)))
+        if rows and rng.random() < 0.2:
+            title = "BREAKING: " + rng.choice(rows)[1] + "!"
+        rows.append((pos, title + (f" CVE-2024-{rng.randint(1, 3)}" if rng.random() < 0.2 else ""), rng.random() < 0.1))
+    return rows
+
+
+def test_fuzzy_dedup_equals_the_batch_for_any_split(spark, tmp_path, monkeypatch):
+    rows = mixed_titles(3)
+    schema = "pos long, title string, exempt boolean"
+    want = {r.pos: (r.is_duplicate, r.verdict) for r in similar.duplicate_titles(spark.createDataFrame(rows, schema), exempt=F.col("exempt")).collect()}
+    tokenised, whole = [], similar.distinct_titles
+    monkeypatch.setattr(similar, "distinct_titles", lambda df, *a, **k: tokenised.append(df.count()) or whole(df, *a, **k))
+    for name, ends in {"even": [40, 80, 120, 160], "ragged": [1, 110, 115, 160]}.items():
+        root = tmp_path / name
+        stream = land(spark, root, [rows[a:b] for a, b in zip([0, *ends], ends)], schema)
+        out = jobs.fuzzy_dedup_stream(stream, str(root / "out"), str(root / "state"), str(root / "ck"))
+        assert {r.pos: (r.is_duplicate, r.verdict) for r in out.collect()} == want, name
+        assert tokenised == [b - a for a, b in zip([0, *ends], ends)]  # no stored title is tokenised again
+        tokenised.clear()
+    seen = titles.SeenTitles(spark, str(tmp_path / "even" / "state"), None)
+    last = spark.createDataFrame(rows[120:], schema).withColumn("day", F.lit("1970-01-01").cast("date"))
+    assert {r.pos: (r.is_duplicate, r.verdict) for r in seen.judge(last, 3).collect()} == {p: v for p, v in want.items() if p >= 120}  # the same batch again
+
+
+def test_titles_expire_by_event_time(spark, tmp_path):
+    story = "Acme bank hit by ransomware gang attack"
+    days = ["2024-01-01", "2024-01-05", "2024-01-20", "2024-01-22", None]
+    parts = [[(i, story + (" again" if i == 3 else ""), False, d and f"{d} 10:00:00")] for i, d in enumerate(days)]
+    stream = land(spark, tmp_path, parts, "pos long, title string, exempt boolean, t string").withColumn("ts", F.to_timestamp("t"))
+    out = jobs.fuzzy_dedup_stream(stream, str(tmp_path / "out"), str(tmp_path / "state"), str(tmp_path / "ck"))
+    got = {r.pos: (r.verdict, r.match_pos) for r in out.collect()}
+    assert {p: got[p] for p in range(4)} == {0: ("new", None), 1: ("copy", 0), 2: ("new", None), 3: ("near", 2)}
+    kept = {str(r.day) for r in titles.SeenTitles(spark, str(tmp_path / "state")).titles.read().select("day").distinct().collect()}
+    assert kept >= {"2024-01-20", "2024-01-22"} and not kept & {"2024-01-01", "2024-01-05"}
+
+
 def test_late_rows_and_daily_counts(spark, tmp_path):
     parts = [[("2024-01-20 01:00:00", "a", "h1")], [("2024-01-20 02:00:00", "a", "h1"), ("2024-01-21 00:00:00", "a", "h2")], [("2024-01-02 00:00:00", "a", "h3"), ("2024-01-21 05:00:00", "a", "h4")]]
     stream = land(spark, tmp_path, parts, "t string, k string, hash string").withColumn("ts", F.to_timestamp("t"))

@@ -12,6 +12,7 @@ from wirelens.plans.checks_items import any_of, fmt, matches, rule_hits, shown,
 from wirelens.plans.checks_joins import COUNTS, COVER, FETCHES, fetch_events, rated
 from wirelens.plans.checks_similar import PAIRS
 from wirelens.plans.registry import AS_OF, Tables, query
+from wirelens.session import cut
 from wirelens.sinks import writers
 from wirelens.sources import readers
 from wirelens.streaming import jobs, keyed
@@ -379,10 +380,10 @@ def _(t: Tables):
   CAST(sum(CASE WHEN success THEN n ELSE 0 END) AS BIGINT) AS entries_total FROM e JOIN ok USING (url) GROUP BY e.url)
 SELECT * FROM k""")
 def _(t: Tables):
-    _table, state, checkpoint = jobs.scratch(t.spark, "health")
     brings = F.col("event_type").isin("click", "purchase") & (F.col("user_id") % 10 != 3)
-    fetches = _event_stream(t).select(F.col("user_id").cast("string").alias("url"), "ts", "event_id", (F.col("event_type") != "error").alias("success"),
-                                      F.when(brings, F.col("value").cast("int") + 1).otherwise(0).alias("entry_count"))
+    fetched = t.events().select(F.col("user_id").cast("string").alias("url"), "ts", "event_id", (F.col("event_type") != "error").alias("success"),
+                                F.when(brings, F.col("value").cast("int") + 1).otherwise(0).alias("entry_count"))
+    fetches, _root, state, checkpoint = _land(t, fetched, "health", F.pmod(F.col("event_id") * 7, F.lit(4)))
     return jobs.feed_health_stream(fetches, state, checkpoint).select(
         F.col("url").cast("long").alias("url"), "fetches_total", "fetches_successful", "consecutive_errors", "entries_total")
 
@@ -448,34 +449,50 @@ def _(t: Tables):
     return keyed.apply_rule(labelled, keyed.downgrade_guard(24), "user_id", value="provider").filter("accepted").select("user_id", "event_id")
 
 
-def _land(t: Tables, df, label: str):
-    """Write derived items as a landing folder and read it back as a stream."""
+def _land(t: Tables, df, label: str, part=None, parts: int = 4):
+    """Write derived rows as files of a landing folder, one after the other, and read them back as a stream of one file a trigger.
+
+    ``part`` numbers the file of each row; without it the row's position does, so that every file is late for the others.
+    """
     root, state, checkpoint = jobs.scratch(t.spark, label)
-    df.write.parquet(f"{root}-landing")
+    rows = cut(df.withColumn("_part", F.pmod(F.col("pos"), F.lit(parts)) if part is None else part))
+    for n in range(parts):
+        rows.filter(F.col("_part") == n).drop("_part").coalesce(1).write.mode("append").parquet(f"{root}-landing")
     schema = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema.fields)
-    return jobs.read_landing(t.spark, f"{root}-landing", schema), root, state, checkpoint
+    return jobs.read_landing(t.spark, f"{root}-landing", schema, files_per_trigger=1), root, state, checkpoint
 
 
 @query("j03_fuzzy_dedup_stream", PAIRS + """
 SELECT n.pos, n.pos > f.pos OR d.i IS NOT NULL AS is_duplicate FROM n JOIN f USING (norm) LEFT JOIN dup d ON d.i = n.pos""")
 def _(t: Tables):
-    stream, root, state, checkpoint = _land(t, t("documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("title")), "titles")
+    docs = t("documents").select(F.col("doc_id").alias("pos"), F.col("text").alias("title"))
+    quarter = F.least(F.lit(3), F.floor(F.col("pos") * 4 / (docs.agg(F.max("pos")).first()[0] + 1)))
+    stream, root, state, checkpoint = _land(t, docs, "titles", quarter)
     return jobs.fuzzy_dedup_stream(stream, root, state, checkpoint).select("pos", "is_duplicate")
 
 
 @query("j08_once_alerts_stream", """
-WITH p AS (SELECT pos, k.cve_id, k.date_added FROM item_cves c JOIN kev k USING (cve_id)),
-g AS (SELECT cve_id, min(date_added) AS date_added, count(*) AS articles FROM p WHERE date_added >= '2024-01-17' GROUP BY cve_id) SELECT * FROM g ORDER BY cve_id LIMIT 5""")
+WITH p AS (SELECT pos, k.cve_id, k.date_added FROM item_cves c JOIN kev k USING (cve_id))
+SELECT cve_id, min(date_added) AS date_added, 1 AS alerts FROM p WHERE date_added >= '2024-01-17' GROUP BY cve_id""")
 def _(t: Tables):
+    from wirelens.streaming import alerts
+
     stream, root, state, checkpoint = _land(t, rated(t).select("pos", "title", "kev_listed", "kev_entries"), "alerts")
-    return jobs.once_alerts_stream(stream, root, state, checkpoint, AS_OF).select("cve_id", "date_added", "articles")
+    jobs.once_alerts_stream(stream, root, state, checkpoint, AS_OF)
+    table = alerts.OnceAlerts(t.spark, root, state, AS_OF)
+    table.drain()  # what is over the cap of the last file's round
+    return table.sent().groupBy("cve_id", "date_added").agg(F.count("*").alias("alerts"))
 
 
-@query("j10_campaign_stream", COVER + "SELECT entity_type, entity_name, article_count AS total_observed_articles FROM kept")
+@query("j10_campaign_stream", COVER + f"""
+, m AS (SELECT entity_type, entity_name, article_count, unnest(members) AS pos FROM kept)
+SELECT entity_type, entity_name, article_count AS total_observed_articles, {fmt('min(event_ts)')} AS first_observed, {fmt('max(event_ts)')} AS last_observed
+FROM m JOIN headlines USING (pos) GROUP BY ALL""")
 def _(t: Tables):
     items = timed(t).select("pos", "hash", "title", "summary", "link", "source", "published", "category", "feed_region", "event_ts")
     stream, _root, state, checkpoint = _land(t, items, "campaigns")
-    return jobs.campaign_stream(stream, state, checkpoint, AS_OF).select("entity_type", "entity_name", "total_observed_articles")
+    return jobs.campaign_stream(stream, state, checkpoint, AS_OF).filter("current").select(
+        "entity_type", "entity_name", "total_observed_articles", shown(F.col("first_observed"), "first_observed"), shown(F.col("last_observed"), "last_observed"))
 
 
 @query("j16_read_since", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20'")

@@ -1,9 +1,9 @@
 """Structured Streaming jobs over landed files.
 
 State that must outlive a micro-batch and be joined (titles, feed health,
-campaigns, alerted CVEs) is a table in the shared folder: each micro-batch reads
-the version of the previous one and writes its own, so a retried batch starts
-from the same input and a lost executor loses nothing.
+campaigns, alerted CVEs) is a partitioned table in the shared folder: a micro-batch
+adds partitions of its own or rewrites the buckets it touches, and doing so again
+after a failure gives the same table.
 """
 
 from __future__ import annotations
@@ -11,9 +11,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from wirelens import fixed
-from wirelens.operators import corpus, similar
 from wirelens.session import fresh_path
-from wirelens.streaming import alerts, campaigns, health
+from wirelens.streaming import alerts, campaigns, health, titles
 
 
 def read_landing(spark: SparkSession, path: str, schema: str, pattern: str = "*.parquet", fmt: str = "parquet", files_per_trigger: int = 100) -> DataFrame:
@@ -37,29 +36,6 @@ def run_batches(stream: DataFrame, handler, checkpoint: str, mode: str = "append
     query.awaitTermination()
 
 
-class StateTable:
-    """Versioned Parquet table: version ``n + 1`` is written by micro-batch ``n``."""
-
-    def __init__(self, spark: SparkSession, root: str, schema: str):
-        self.spark, self.root, self.schema = spark, root, schema
-
-    def before(self, batch_id: int) -> DataFrame:
-        """State before the batch; empty for the first one."""
-        if batch_id == 0:
-            return self.spark.createDataFrame([], self.schema)
-        return self.spark.read.schema(self.schema).parquet(f"{self.root}/version={batch_id}")
-
-    def after(self, batch_id: int, state: DataFrame) -> None:
-        """Store the state that follows the batch; a retry overwrites its own version."""
-        state.write.mode("overwrite").parquet(f"{self.root}/version={batch_id + 1}")
-
-    def latest(self) -> DataFrame:
-        """State after the last batch that was written."""
-        versions = self.spark.read.schema(self.schema + ", version long").parquet(self.root)
-        newest = versions.agg(F.max("version")).scalar()
-        return versions.filter(F.col("version") == newest).drop("version")
-
-
 def ingest(stream: DataFrame, path: str, checkpoint: str) -> DataFrame:
     """Restart-safe append of landed rows."""
     return run_to_table(stream, path, checkpoint)
@@ -75,19 +51,24 @@ def dedup_stream(stream: DataFrame, key: str = "hash", ts: str = "ts", days: int
     return within_lateness(stream, ts, days).dropDuplicatesWithinWatermark([key])
 
 
-def fuzzy_dedup_stream(stream: DataFrame, path: str, state_path: str, checkpoint: str, keep_titles: int = fixed.MAX_SEEN_TITLES) -> DataFrame:
-    """Duplicate verdicts of each micro-batch against itself and the remembered titles."""
-    spark = stream.sparkSession
-    titles = StateTable(spark, state_path, "pos long, title string")
+def fuzzy_dedup_stream(stream: DataFrame, path: str, state_path: str, checkpoint: str, days: int | None = fixed.CUTOFF_DAYS) -> DataFrame:
+    """Duplicate verdicts of each micro-batch of (pos, title, exempt, ts) against itself and the titles of ``days`` before.
+
+    ``exempt`` and ``ts`` may be missing: then no row is exempt and nothing expires.
+    """
+    dated = "ts" in stream.columns
+    seen = titles.SeenTitles(stream.sparkSession, state_path, days if dated else None)
+    rows = stream.select("pos", "title", F.col("exempt") if "exempt" in stream.columns else F.lit(False).alias("exempt"),
+                         (F.to_date("ts") if dated else F.lit("1970-01-01").cast("date")).alias("day"))
 
     def handle(batch: DataFrame, batch_id: int) -> None:
-        seen = titles.before(batch_id)
-        rows = batch.select("pos", "title")
-        similar.duplicate_titles(rows, history=seen).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
-        titles.after(batch_id, corpus.keep_last(seen.unionByName(rows), [F.desc("pos")], keep_titles))
+        seen.judge(batch, batch_id).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        newest = batch.agg(F.max("day").cast("string")).first()[0]
+        if newest:
+            seen.expire(newest)
 
-    run_batches(stream, handle, checkpoint)
-    return spark.read.parquet(path)
+    run_batches(rows, handle, checkpoint)
+    return stream.sparkSession.read.parquet(path)
 
 
 def daily_counts_stream(stream: DataFrame, key: str, path: str, checkpoint: str, ts: str = "ts", days: int = fixed.CUTOFF_DAYS) -> DataFrame:
