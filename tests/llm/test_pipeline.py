@@ -2,9 +2,10 @@
 
 import re
 
-import corpus_pipeline
+from pyspark.sql import functions as F
+
 from tests.llm.test_exact_operators import cleaned, joined
-from wirelens.llm import suffix_dedup  # noqa: F401
+from wirelens.llm import stages as corpus_pipeline
 
 
 def test_stages_one_after_another(spark, sf, tmp_path):
@@ -43,3 +44,19 @@ def test_repeated_rows_leave_one(spark, sf):
     assert single.columns == docs.columns and sorted((str(r.doc_id), r.text or "") for r in single.collect()) == want
     left = corpus_pipeline.without_repeats(spark, single, sf)
     assert sorted((str(r.doc_id), r.text) for r in left.collect()) == want
+
+
+def test_further_columns_pass_through_every_stage(spark, sf, tmp_path):
+    """Columns that the operators do not know, named like their own results, keep their values."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet").limit(120)
+    for name in ("rate", "kept", "__row", "lang_pred", "ranges", "doc", "copies", "__text", "n_tokens", "component_id"):
+        docs = docs.withColumn(name, F.concat(F.lit(name), F.col("doc_id").cast("string")))
+    docs = docs.withColumn("many", F.array("doc_id"))
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        stage(spark, now, sf).write.parquet(str(tmp_path / name))
+        now = spark.read.parquet(str(tmp_path / name))
+        assert now.columns == docs.columns, name
+        wrong = [F.col(c) != F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in docs.columns[5:-1]]
+        assert now.count() and now.where(F.array_contains(F.array(*wrong), True) | (F.col("many")[0] != F.col("doc_id"))).count() == 0, name
+    assert corpus_pipeline.STAGES[-1][1](spark, now, sf).count() == now.count()

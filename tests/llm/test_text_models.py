@@ -34,6 +34,12 @@ def test_language_of_held_out_texts(spark, sf, small):
     assert out.count() == docs.count()
 
 
+def test_marks_alone_are_no_language(spark, small):
+    rows = [(1, "\u0301\u0302 \u0301"), (2, "\u0301 12 !"), (3, "\u0301a")]
+    found = {r.doc_id: (r.lang_pred, r.score) for r in language.predict(spark.createDataFrame(rows, "doc_id long, text string"), language.fit(small[0])).collect()}
+    assert found[1] == found[2] == ("und", 0.0) and found[3][0] != "und"
+
+
 def test_language_of_odd_rows(small, odd):
     model = language.fit(small[0])
     rows = language.predict(odd, model).collect()

@@ -9,6 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 
 from wirelens.session import fresh_path, prepare
 
@@ -16,6 +17,8 @@ from wirelens.session import fresh_path, prepare
 SLICE_BYTES = 1 << 20
 #: Rows of one Arrow batch; with SLICE_BYTES it bounds what a Python worker holds.
 BATCH_ROWS = 512
+#: Bytes of one Arrow batch (a longer single row is taken alone): text, buffers and results stay a few times as much.
+BATCH_BYTES = 4 << 20
 LETTER, WORD, OTHER = r"\p{L}\p{M}", r"\p{L}\p{M}\p{N}", r"[^\p{L}\p{M}\p{N}\s]"
 
 
@@ -23,7 +26,7 @@ def session(spark: SparkSession) -> SparkSession:
     """Session for text tasks: small Arrow batches, so that long texts never gather in one worker."""
     prepare(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
-    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(16 << 20))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return spark
 
 
@@ -51,6 +54,13 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, *, rows: int, max_chars:
             .orderBy(turn, "doc_id", "text", "y").limit(rows).select("text", "y").collect())
 
 
+def with_text(docs: DataFrame, keep: tuple[str, ...], text: str) -> tuple[DataFrame, str]:
+    """The ``keep`` columns and, as a string, the text; and the name of the text's column. A kept text travels once."""
+    if text in keep and docs.schema[text].dataType == StringType():
+        return docs.select(*keep), text
+    return docs.select(*keep, F.col(text).cast("string").alias("__text")), "__text"
+
+
 def filled(column) -> pa.Array:
     """One string array without nulls: a null text counts as empty."""
     if isinstance(column, pa.ChunkedArray):

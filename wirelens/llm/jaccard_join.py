@@ -26,7 +26,7 @@ BAND = 1.3
 #: Most sets and shingles of one block when members of a family are compared with each other.
 BLOCK_SETS, BLOCK_SHINGLES = 1_000, 400_000
 #: Keys that a task gathers before it writes them out with their local followers.
-CHUNK_KEYS = 1_000_000
+CHUNK_KEYS = 400_000
 
 
 @dataclass(frozen=True)

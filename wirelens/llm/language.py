@@ -77,7 +77,8 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str
 
     The sample is meant for ``most`` languages at most; of more, rows of the later ones by hash are left out of it.
 
-    Rows without language or letters teach nothing. A fifth of the sample is held back to fit the temperature and the
+    Rows without language, doc_id or letters teach nothing; of rows that share doc_id and language as many as there are
+    chosen keys count in all. A fifth of the sample is held back to fit the temperature and the
     two rejection levels: of its correctly labelled texts the share ``wrongly_rejected`` is below the level of confidence,
     and as many below the level of fit. A softmax over the learned languages is sure of a text in none of them too; the
     fit, how usual the subwords of the text are in the language found, is not.
@@ -89,7 +90,7 @@ def fit(docs: DataFrame, *, text: str = "text", lang: str = "lang", doc_id: str
     first = (rows.select("doc_id", "lang", "turn").withColumn("place", F.row_number().over(order)).where(F.col("place") <= per_language)
              .select("doc_id", "lang", "place").distinct())  # texts join only the few chosen keys
     rows = (rows.join(F.broadcast(first.orderBy("place", "lang").limit(per_language * most)), ["doc_id", "lang"]).orderBy("place", "lang", "text")
-            .select("text", "lang").collect())
+            .limit(per_language * most).select("text", "lang").collect())
     languages = tuple(sorted({r.lang for r in rows}))
     number = {name: i for i, name in enumerate(languages)}
     pairs = [(x, number[r.lang]) for x, r in zip(_examples([r.text for r in rows], buckets, sizes), rows) if len(x[0])]
@@ -138,15 +139,15 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[st
             sizes: tuple[int, ...] = (2, 3, 4)) -> DataFrame:
     """``keep`` columns plus lang_pred, score (calibrated probability, 0 to 1) and rejected, for every row.
 
-    Whole texts count. A null text or one without a letter gives ``und``, score 0.0 and rejected; so does every text
+    Whole texts count. A null text or one without a letter (combining marks alone are none) gives ``und``, score 0.0 and rejected; so does every text
     when the model knows no language. Equal texts get equal answers.
     """
     buckets = len(model.table)
 
     def task(batches):
-        for part in C.slices(batches, "__text"):
+        for part in C.slices(batches, given):
             n = part.num_rows
-            texts = C.filled(part.column("__text"))
+            texts = C.filled(part.column(given))
             words, codes, rows = C.distinct_words(C.letter_words(texts))
             names, score, fits = np.full(n, UNKNOWN, object), np.zeros(n), np.zeros(n)
             if len(codes) and model.languages:
@@ -155,7 +156,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[st
                 per_word = np.add.reduceat(model.table[found].astype(np.float64), starts)
                 total = np.stack([np.bincount(rows, per_word[codes, j], n) for j in range(len(model.languages))], 1)
                 count = np.bincount(rows, many[codes], n)
-                known = count > 0
+                known = (count > 0) & pc.match_substring_regex(texts, r"\p{L}").to_numpy(zero_copy_only=False)
                 sure = C.softmax((total[known] / count[known, None] + model.bias) / model.temperature)
                 names[known] = np.array(model.languages, object)[sure.argmax(1)]
                 score[known] = sure.max(1)
@@ -167,7 +168,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[st
             yield pa.RecordBatch.from_arrays([*columns, pa.array(names.tolist(), pa.string()), pa.array(score),
                                               pa.array(rejected)], schema=shape)
 
-    inputs = docs.select(*keep, F.col(text).cast("string").alias("__text"))
+    inputs, given = C.with_text(docs, keep, text)
     out = StructType([*docs.select(*keep).schema.fields, StructField("lang_pred", StringType()),
                       StructField("score", DoubleType()), StructField("rejected", BooleanType())])
     shape = to_arrow_schema(out)

@@ -81,8 +81,8 @@ def posteriors(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple
     k, buckets = len(model.domains), len(model.weights)
 
     def task(batches):
-        for part in C.slices(batches, "__text"):
-            row, bucket, count = _present(C.filled(part.column("__text")), buckets)
+        for part in C.slices(batches, given):
+            row, bucket, count = _present(C.filled(part.column(given)), buckets)
             logits = np.stack([np.bincount(row, model.weights[bucket, j], part.num_rows) for j in range(k)], 1) + model.bias
             sure = C.softmax(logits / model.temperature)
             columns = [part.column(i) for i, name in enumerate(part.schema.names) if name != "__text"]
@@ -92,7 +92,8 @@ def posteriors(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple
     out = StructType([*docs.select(*keep).schema.fields, StructField("n_tokens", LongType()),
                       StructField("posterior", ArrayType(DoubleType()))])
     shape = to_arrow_schema(out)
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(task, out)
+    inputs, given = C.with_text(docs, keep, text)
+    return inputs.mapInArrow(task, out)
 
 
 def rates_from(posterior: np.ndarray, path: list[np.ndarray], floor: int | None = None) -> np.ndarray:
@@ -194,8 +195,8 @@ def mix(docs: DataFrame, model: Model, weights: Mapping[str, float], *, text: st
         return plain.withColumn("copies", F.lit(1).cast("long"))
     floor = model.domains.index(whole) if whole in model.domains else None
     at = fresh_path(spark, "posteriors")
-    inputs = docs.select(F.col(doc_id).alias("doc_id"), *keep, F.col(text).alias("__whole"))
-    posteriors(inputs, model, text="__whole", keep=("doc_id", *keep)).write.parquet(at)
+    inputs = docs.select(F.col(doc_id).alias("doc_id"), *keep, *([] if text in keep else [F.col(text).alias("__whole")]))
+    posteriors(inputs, model, text=text if text in keep else "__whole", keep=("doc_id", *keep)).write.parquet(at)
     table = spark.read.parquet(at)
     share = np.array([float(weights.get(name, 0.0)) for name in model.domains])
     total = float(table.agg(F.sum("n_tokens")).first()[0] or 0)

@@ -432,15 +432,16 @@ def encode(docs: DataFrame, model: bytes, *, text: str = "text", keep: tuple[str
     """``keep`` columns plus pieces, the ids of the whole text, for every row. A null or empty text has none."""
     def task(batches):
         t, memo = _worker(model)
-        for part in C.slices(batches, "__text"):
-            ids, counts = _flat(t, C.filled(part.column("__text")), memo)
+        for part in C.slices(batches, given):
+            ids, counts = _flat(t, C.filled(part.column(given)), memo)
             columns = [part.column(i) for i, name in enumerate(part.schema.names) if name != "__text"]
             lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids))
             yield pa.RecordBatch.from_arrays([*columns, lists.cast(shape.field("pieces").type)], schema=shape)
 
     out = StructType([*docs.select(*keep).schema.fields, StructField("pieces", ArrayType(IntegerType()))])
     shape = to_arrow_schema(out)
-    return docs.select(*keep, F.col(text).cast("string").alias("__text")).mapInArrow(task, out)
+    inputs, given = C.with_text(docs, keep, text)
+    return inputs.mapInArrow(task, out)
 
 
 def decode(encoded: DataFrame, model: bytes, *, pieces: str = "pieces", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
