@@ -1,6 +1,6 @@
 import json
 
-from pyspark.sql import functions as F
+from pyspark.sql import Observation, functions as F
 
 from wirelens.functions import regions
 from wirelens.sinks import writers
@@ -91,3 +91,39 @@ def test_outbox_and_stix(spark):
     assert next(o for o in parsed if o["type"] == "indicator")["pattern"] == "[domain-name:value = 'ab.example']"
     first, again = (writers.stix_bundle_id(objects).first().bundle_id for _ in range(2))
     assert first == again and first != writers.stix_bundle_id(objects.limit(3)).first().bundle_id
+
+
+def test_a_broken_feed_gives_items_quarantine_and_counts(spark, tmp_path):
+    good = "<rss><channel><item><title>One</title><link>https://a.example/1</link></item>"
+    (tmp_path / "a.xml").write_text(good + "<item><title>Two</link></item><item><title></title><link>https://a.example/2</link></item>"
+                                    "<item><title>Three</title><link>http://x.onion/</link></item><item><title>Four</title><link>https://a.example/4</link></item></channel></rss>")
+    (tmp_path / "b.xml").write_text("<html><body>Checking your browser</body></html>")
+    read = readers.read_feed(spark, str(tmp_path), "https://a.example/rss")
+    assert sorted(r.title for r in read.items.collect()) == ["Four", "One"]
+    bad = sorted((r.file.rsplit("/", 1)[1], r.reason) for r in read.quarantine.collect())
+    assert bad == [("a.xml", readers.HIDDEN_LINK), ("a.xml", readers.NO_TITLE), ("a.xml", readers.UNREADABLE), ("b.xml", readers.NO_ENTRY)]
+    assert "Two" in read.quarantine.filter(F.col("reason") == readers.UNREADABLE).first().record
+    seen = Observation()
+    read.counted(seen).write.format("noop").mode("overwrite").save()
+    assert seen.get == {"entries": 5, "unreadable": 1, "untitled": 1, "hidden": 1}
+
+
+def test_retention_drops_by_value_and_copies_nothing(spark, tmp_path):
+    days = ["2022-12-01", "2023-06-01", "2023-12-30", "2024-01-20"]
+    rows = spark.createDataFrame([(i, d) for i, d in enumerate(days)], "k long, date string")
+    for name in ("daily", "reports", "clusters"):
+        rows.write.partitionBy("date").parquet(str(tmp_path / name))
+    kept_before = {p for p in tmp_path.rglob("*.parquet")}
+    gone = writers.retain_outputs(spark, str(tmp_path), AS_OF)
+    assert gone == {"daily": days[:3], "reports": days[:1]}
+    kept = {p for p in tmp_path.rglob("*.parquet")}
+    assert kept < kept_before and len(kept) == 12 - 4
+    assert writers.apply_retention(spark, str(tmp_path / "missing"), AS_OF) == []
+
+
+def test_latest_is_replaced_and_the_old_copy_goes(spark, tmp_path):
+    path = str(tmp_path / "t" / "latest")
+    for n in (5, 3):
+        writers.replace_latest(spark.range(n), path)
+        assert spark.read.parquet(path).count() == n
+    assert [p.name for p in (tmp_path / "t").iterdir()] == ["latest"]

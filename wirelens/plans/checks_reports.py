@@ -36,6 +36,19 @@ def _(t: Tables):
     return items.select(F.substring_index("title", " ", -1).cast("long").alias("page_id"), "link")
 
 
+@query("a02_quarantine", """
+SELECT CASE WHEN page_id % 7 = 3 THEN 'unreadable entry' WHEN page_id % 10 = 0 THEN 'no title' WHEN page_id % 10 = 5 THEN 'hidden link' ELSE 'item' END AS fate, count(*) AS n
+FROM pages GROUP BY 1""")
+def _(t: Tables):
+    table, _state, _checkpoint = jobs.scratch(t.spark, "feed")
+    p = F.col("page_id")
+    title = F.when(p % 10 == 0, "").otherwise(F.concat(F.lit("Title "), p.cast("string")))
+    link = F.when(p % 10 == 5, "http://x.onion/").otherwise(F.replace("url", F.lit("&"), F.lit("&amp;")))
+    t("pages").select(F.concat(F.lit("<item><title>"), title, F.when(p % 7 == 3, "</link>").otherwise("</title>"), F.lit("<link>"), link, F.lit("</link></item>"))).write.text(table)
+    read = readers.read_feed(t.spark, table, "https://feed.example.com/rss")
+    return read.quarantine.select(F.col("reason").alias("fate")).unionAll(read.items.select(F.lit("item"))).groupBy("fate").agg(F.count("*").alias("n"))
+
+
 @query("a03_normalize_news", """
 SELECT 'News ' || page_id AS title, url AS link, CASE WHEN page_id % 4 = 0 THEN 'newsapi:NewsAPI' ELSE 'newsapi:Wire' END AS source FROM pages WHERE page_id % 7 <> 0""")
 def _(t: Tables):
@@ -539,17 +552,18 @@ def _(t: Tables):
 @query("k02_replace_latest", "SELECT pos, hash FROM headlines")
 def _(t: Tables):
     table, _state, _checkpoint = jobs.scratch(t.spark, "latest")
-    writers.replace_latest(t.headlines().filter("pos < 0"), table, "v1")
-    writers.replace_latest(t.headlines(), table, "v2")
-    return writers.read_latest(t.spark, table).select("pos", "hash")
+    writers.replace_latest(t.headlines().filter("pos % 2 = 0"), table)
+    writers.replace_latest(t.headlines(), table)
+    return t.spark.read.parquet(table).select("pos", "hash")
 
 
 @query("k03_write_keyed", "SELECT p_partkey, CASE WHEN p_partkey % 3 = 0 THEN 0 ELSE p_size END AS p_size FROM part")
 def _(t: Tables):
     table, _state, _checkpoint = jobs.scratch(t.spark, "keyed")
-    part = t("part").select("p_partkey", "p_size")
-    writers.write_keyed(part.filter("p_partkey % 3 = 0").withColumn("p_size", F.lit(0)), table, "p_partkey", "v1", part)
-    return writers.read_latest(t.spark, table)
+    part = t("part").select("p_partkey", F.col("p_size").cast("int").alias("p_size"))
+    writers.write_keyed(part, table, "p_partkey", 0)
+    writers.write_keyed(part.filter("p_partkey % 3 = 0").withColumn("p_size", F.lit(0)), table, "p_partkey", 1)
+    return writers.keyed_table(part, table, "p_partkey").read()
 
 
 @query("k04_rss_round_trip", "SELECT pos, link FROM headlines")
@@ -569,11 +583,12 @@ def _(t: Tables):
 
 @query("k09_retention", "SELECT o_orderkey FROM orders WHERE CAST(o_orderdate AS DATE) >= DATE '1998-11-01'")
 def _(t: Tables):
-    table, state, _checkpoint = jobs.scratch(t.spark, "retention")
+    _table, state, _checkpoint = jobs.scratch(t.spark, "retention")
     # the month is enough of a partition for the check; days would make very many small files
     orders = t("orders").select("o_orderkey", F.date_trunc("month", "o_orderdate").cast("date").alias("date"), "o_orderdate")
     orders.repartition("date").write.partitionBy("date").parquet(state)
-    return writers.apply_retention(t.spark, state, table, "1998-12-01 00:00:00", days=30).select("o_orderkey")
+    writers.apply_retention(t.spark, state, "1998-12-01 00:00:00", days=30)
+    return t.spark.read.parquet(state).select("o_orderkey")
 
 
 @query("m_articles_page", "SELECT pos, (SELECT count(*) FROM headlines) AS total FROM headlines ORDER BY event_ts DESC NULLS LAST, hash LIMIT 50 OFFSET 100")

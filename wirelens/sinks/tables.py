@@ -36,6 +36,27 @@ def drop_partitions(spark: SparkSession, path: str, column: str, expired: Callab
     return sorted(gone)
 
 
+def children(spark: SparkSession, path: str) -> list[str]:
+    """Names of the folders directly under ``path``."""
+    if not exists(spark, path):
+        return []
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    found = where.getFileSystem(spark._jsc.hadoopConfiguration()).listStatus(where)
+    return sorted(s.getPath().getName() for s in found if s.isDirectory())
+
+
+def swap(spark: SparkSession, new: str, path: str, aside: str) -> None:
+    """Put the folder ``new`` in the place of ``path``; what was there goes."""
+    to = lambda p: spark._jvm.org.apache.hadoop.fs.Path(p)
+    store = to(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    if store.exists(to(path)):
+        store.rename(to(path), to(aside))
+    if not store.rename(to(new), to(path)):
+        raise OSError(f"cannot move {new} to {path}")
+    if store.exists(to(aside)):
+        store.delete(to(aside), True)
+
+
 def _write(df: DataFrame, path: str, partitions: list[str]) -> None:
     df.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").option(
         "maxRecordsPerFile", ROWS_PER_FILE).partitionBy(*partitions).parquet(path)

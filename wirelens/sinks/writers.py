@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-import time
+import uuid
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from wirelens import fixed
 from wirelens.functions import text as tx, times
-from wirelens.operators.corpus import priority_union, top_n
+from wirelens.operators.corpus import top_n
+from wirelens.sinks import tables
 
 EMITTER = "wirelens"
 
@@ -19,21 +22,27 @@ def write_snapshot(df: DataFrame, path: str, as_of: str) -> None:
     stamped.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("date", "hour").parquet(path)
 
 
-def replace_latest(df: DataFrame, path: str, version: str) -> None:
-    """New version of the corpus, published by appending one pointer row when it is complete."""
-    df.write.mode("overwrite").parquet(f"{path}/versions/{version}")
-    df.sparkSession.range(1).select(F.lit(version).alias("version"), F.lit(time.time_ns()).alias("published")).write.mode("append").parquet(f"{path}/pointer")
+def replace_latest(df: DataFrame, path: str) -> None:
+    """The corpus at ``path`` anew: written beside it, then put in its place; the old copy goes."""
+    aside = f"{path.rstrip('/')}-{uuid.uuid4().hex}"
+    df.write.parquet(f"{aside}-new")
+    tables.swap(df.sparkSession, f"{aside}-new", path, f"{aside}-old")
 
 
-def read_latest(spark: SparkSession, path: str) -> DataFrame:
-    """The version that was published last, whatever its name."""
-    newest = spark.read.parquet(f"{path}/pointer").agg(F.max_by("version", "published")).first()[0]
-    return spark.read.parquet(f"{path}/versions/{newest}")
+def write_keyed(df: DataFrame, path: str, key: str, merge: int, buckets: int = 16) -> list[int]:
+    """Upsert into a keyed table: new rows win, absent keys stay, files of untouched buckets too.
+
+    ``merge`` is the number of this upsert (rising); one that is repeated after a failure does no harm. The table has the
+    columns of ``df``; of rows that share a key the smallest counts. Returns the buckets written.
+    """
+    one = df.groupBy(key).agg(F.min(F.struct(*[c for c in df.columns if c != key])).alias("row")).select(key, "row.*")
+    return keyed_table(df, path, key, buckets).upsert(one, merge)
 
 
-def write_keyed(df: DataFrame, path: str, key: str, version: str, old: DataFrame | None = None) -> None:
-    """Keyed table after an upsert: new rows win, absent keys stay; stored as a new version."""
-    replace_latest(df if old is None else priority_union(df, old, [key]), path, version)
+def keyed_table(df: DataFrame, path: str, key: str, buckets: int = 16) -> tables.BucketTable:
+    """The table of ``write_keyed`` at ``path`` with the columns of ``df``."""
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in df.schema.fields)
+    return tables.BucketTable(df.sparkSession, path, schema, [key], buckets)
 
 
 def rss_items(df: DataFrame) -> DataFrame:
@@ -133,8 +142,14 @@ def append_feedback(df: DataFrame, path: str) -> None:
     df.write.mode("append").json(path)
 
 
-def apply_retention(spark: SparkSession, source: str, target: str, as_of: str, days: int = 30, date: str = "date") -> DataFrame:
-    """Copy of a date-partitioned table without partitions older than the limit; the source stays untouched."""
-    kept = spark.read.parquet(source).filter(F.col(date) >= F.date_sub(F.to_date(times.as_timestamp(as_of)), days))
-    kept.write.mode("overwrite").partitionBy(date).parquet(target)
-    return spark.read.parquet(target)
+def apply_retention(spark: SparkSession, path: str, as_of: str, days: int = fixed.ARCHIVE_DAYS, date: str = "date") -> list[str]:
+    """Drop the partitions of a date-partitioned table that are over ``days`` old, by their value; nothing is read or copied."""
+    oldest = (datetime.fromisoformat(as_of).date() - timedelta(days=days)).isoformat()
+    return tables.drop_partitions(spark, path, date, lambda value: value[:10] < oldest)
+
+
+def retain_outputs(spark: SparkSession, root: str, as_of: str, archives: tuple[str, ...] = ("hourly", "daily"), live: tuple[str, ...] = fixed.LIVE_OUTPUTS,
+                   archive_days: int = fixed.ARCHIVE_DAYS, output_days: int = fixed.OUTPUT_DAYS) -> dict[str, list[str]]:
+    """Retention over all outputs under ``root``: archives keep a month, other dated outputs a year, live ones everything."""
+    return {name: apply_retention(spark, f"{root}/{name}", as_of, archive_days if name in archives else output_days)
+            for name in tables.children(spark, root) if name not in live}

@@ -6,7 +6,9 @@ fails alone: bad rows are counted or dropped, never fatal.
 
 from __future__ import annotations
 
-from pyspark.sql import Window, Column, DataFrame, SparkSession, functions as F
+from dataclasses import dataclass
+
+from pyspark.sql import Window, Column, DataFrame, Observation, SparkSession, functions as F
 
 from wirelens import fixed
 from wirelens.functions import bands, regions, text as tx, times, urls
@@ -31,12 +33,47 @@ def load_feeds(*tables: DataFrame) -> DataFrame:
     return named.withColumn("_turn", F.row_number().over(first)).filter("_turn = 1").drop("_turn", "_table")
 
 
-def read_rss(spark: SparkSession, path: str, source: str, region: str = "Global") -> DataFrame:
-    """Items of landed RSS files; unreadable entries are skipped, not fatal."""
+@dataclass(frozen=True)
+class FeedRead:
+    """Landed feed files as read: ``items``, and in ``quarantine`` (file, reason, record) all that did not become one."""
+
+    items: DataFrame
+    quarantine: DataFrame
+    rows: DataFrame
+
+    def counted(self, observation: Observation) -> DataFrame:
+        """The read entries; any job over them leaves entries, unreadable, untitled and hidden in ``observation``."""
+        reason = F.col("reason")
+        return self.rows.observe(observation, F.count(F.lit(1)).alias("entries"), *[
+            F.count_if(reason == r).alias(name) for name, r in (("unreadable", UNREADABLE), ("untitled", NO_TITLE), ("hidden", HIDDEN_LINK))])
+
+
+UNREADABLE, NO_TITLE, HIDDEN_LINK, NO_ENTRY = "unreadable entry", "no title", "hidden link", "no readable entry in file"
+
+
+def read_feed(spark: SparkSession, path: str, source: str, region: str = "Global") -> FeedRead:
+    """Landed RSS files with a quarantine: one bad entry costs only itself, a file without any entry is named."""
     schema = "title string, link string, pubDate string, description string, _corrupt_record string"
-    rows = (spark.read.format("xml").option("rowTag", "item").option("mode", "PERMISSIVE")
-            .option("columnNameOfCorruptRecord", "_corrupt_record").schema(schema).load(path))
-    return normalize_rss(rows.filter(F.col("_corrupt_record").isNull()), source, region)
+    # entries are cut out of the text and parsed one by one: a parser over the whole file would stop at the first bad one
+    parts = spark.read.option("lineSep", "</item>").text(path).select(F.regexp_extract("value", r"(?s)^.*(<item[\s>].*)$", 1).alias("entry"), F.col("_metadata.file_path").alias("path"))
+    entry = F.concat("entry", F.lit("</item>"))
+    raw = parts.filter(F.col("entry") != "").select("path", F.from_xml(entry, schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt_record"}).alias("x")).select("path", "x.*")
+    reason = F.when(F.col("_corrupt_record").isNotNull(), UNREADABLE).when(tx.blank(F.col("title")), NO_TITLE).when(~urls.is_clearnet(F.col("link")), HIDDEN_LINK)
+    rows = raw.select("*", _file(F.col("path")).alias("file"), reason.alias("reason")).drop("path")
+    bad = rows.filter(F.col("reason").isNotNull()).select("file", "reason", F.coalesce("_corrupt_record", F.to_json(F.struct("title", "link", "pubDate", "description"))).alias("record"))
+    files = spark.read.format("binaryFile").load(path).select(_file(F.col("path")).alias("file"))
+    empty = files.join(rows.select("file").distinct(), "file", "left_anti").select("file", F.lit(NO_ENTRY).alias("reason"), F.lit(None).cast("string").alias("record"))
+    return FeedRead(normalize_rss(rows.filter(F.col("reason").isNull()), source, region), bad.unionByName(empty), rows)
+
+
+def _file(path: Column) -> Column:
+    """A file's address with one slash after its scheme, as both readers can spell it."""
+    return F.regexp_replace(path, "^([a-z0-9]+):/+", "$1:/")
+
+
+def read_rss(spark: SparkSession, path: str, source: str, region: str = "Global") -> DataFrame:
+    """Items of landed RSS files; ``read_feed`` also gives what was left out."""
+    return read_feed(spark, path, source, region).items
 
 
 def normalize_rss(df: DataFrame, source: str, region: str = "Global") -> DataFrame:
