@@ -149,7 +149,7 @@ def describe(docs: DataFrame, join: Join) -> DataFrame:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(sizes), pa.array(low.view(np.int64)), pa.array(high.view(np.int64))],
                                              names=["doc_id", "n_shingles", "low", "high"])
 
-    return docs.mapInArrow(task, "doc_id long, n_shingles long, low long, high long")
+    return docs.mapInArrow(C.lean(task), "doc_id long, n_shingles long, low long, high long")
 
 
 def segment_keys(docs: DataFrame, join: Join, counts: dict[int, int]) -> DataFrame:
@@ -193,7 +193,7 @@ def segment_keys(docs: DataFrame, join: Join, counts: dict[int, int]) -> DataFra
         if many:
             yield from flush(keys, owners)
 
-    return docs.mapInArrow(task, "key long, doc long, followers array<long>")
+    return docs.mapInArrow(C.lean(task), "key long, doc long, followers array<long>")
 
 
 def sets_of(docs: DataFrame, join: Join) -> DataFrame:
@@ -207,7 +207,7 @@ def sets_of(docs: DataFrame, join: Join) -> DataFrame:
             short = pa.ListArray.from_arrays(pa.array(np.r_[np.int32(0), ends]), pa.array(np.concatenate(stumps)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), lists, pa.array(sizes), short], names=["doc", "shingles", "n", "stumps"])
 
-    return docs.mapInArrow(task, "doc long, shingles array<long>, n long, stumps array<smallint>")
+    return docs.mapInArrow(C.lean(task), "doc long, shingles array<long>, n long, stumps array<smallint>")
 
 
 def _linked(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:

@@ -172,7 +172,7 @@ def predict(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple[st
     out = StructType([*docs.select(*keep).schema.fields, StructField("lang_pred", StringType()),
                       StructField("score", DoubleType()), StructField("rejected", BooleanType())])
     shape = to_arrow_schema(out)
-    return inputs.mapInArrow(task, out)
+    return inputs.mapInArrow(C.lean(task), out)
 
 
 def accepted(docs: DataFrame, model: Model, *, text: str = "text") -> DataFrame:

@@ -93,7 +93,7 @@ def posteriors(docs: DataFrame, model: Model, *, text: str = "text", keep: tuple
                       StructField("posterior", ArrayType(DoubleType()))])
     shape = to_arrow_schema(out)
     inputs, given = C.with_text(docs, keep, text)
-    return inputs.mapInArrow(task, out)
+    return inputs.mapInArrow(C.lean(task), out)
 
 
 def rates_from(posterior: np.ndarray, path: list[np.ndarray], floor: int | None = None) -> np.ndarray:

@@ -428,20 +428,25 @@ def _spelled(t: Transducer) -> pa.Array:
     return pa.array(out, pa.binary())
 
 
-def encode(docs: DataFrame, model: bytes, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
-    """``keep`` columns plus pieces, the ids of the whole text, for every row. A null or empty text has none."""
+def encode(docs: DataFrame, model: bytes, *, text: str = "text", keep: tuple[str, ...] = ("doc_id",), back: bool = False) -> DataFrame:
+    """``keep`` columns plus pieces, the ids of the whole text, for every row. A null or empty text has none.
+
+    With ``back`` also decoded, the text that these ids spell, decoded in the same pass.
+    """
     def task(batches):
         t, memo = _worker(model)
+        spelled = _spelled(t) if back else None
         for part in C.slices(batches, given):
             ids, counts = _flat(t, C.filled(part.column(given)), memo)
             columns = [part.column(i) for i, name in enumerate(part.schema.names) if name != "__text"]
-            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids))
-            yield pa.RecordBatch.from_arrays([*columns, lists.cast(shape.field("pieces").type)], schema=shape)
+            lists = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(counts)].astype(np.int32)), pa.array(ids)).cast(shape.field("pieces").type)
+            more = [_decoded(t, ids, counts, spelled).cast(pa.string())] if back else []
+            yield pa.RecordBatch.from_arrays([*columns, lists, *more], schema=shape)
 
-    out = StructType([*docs.select(*keep).schema.fields, StructField("pieces", ArrayType(IntegerType()))])
+    out = StructType([*docs.select(*keep).schema.fields, StructField("pieces", ArrayType(IntegerType())), *([StructField("decoded", StringType())] if back else [])])
     shape = to_arrow_schema(out)
     inputs, given = C.with_text(docs, keep, text)
-    return inputs.mapInArrow(task, out)
+    return inputs.mapInArrow(C.lean(task), out)
 
 
 def decode(encoded: DataFrame, model: bytes, *, pieces: str = "pieces", keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:

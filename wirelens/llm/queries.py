@@ -60,8 +60,7 @@ def encoded(docs: DataFrame, path: str = PIECE_MODEL) -> DataFrame:
     """Pieces of every text, their number, and whether decoding them gives the text back."""
     model = pieces.read_model(docs.sparkSession, path)
     digest = F.sha2(F.translate(F.coalesce("text", F.lit("")), pieces.MARK, " "), 256)  # texts go to the tasks, but not back
-    out = pieces.encode(docs.select("doc_id", "text", digest.alias("__digest")), model, keep=("doc_id", "__digest"))
-    back = pieces.decode(out, model, keep=("doc_id", "__digest", "pieces"))
+    back = pieces.encode(docs.select("doc_id", "text", digest.alias("__digest")), model, keep=("doc_id", "__digest"), back=True)
     same = F.sha2("decoded", 256) == F.col("__digest")
     return back.select("doc_id", "pieces", F.size("pieces").alias("n_pieces"), same.alias("round_trip"))
 

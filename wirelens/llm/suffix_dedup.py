@@ -131,7 +131,7 @@ def _anchored(docs: DataFrame) -> DataFrame:
         if many:
             yield from flush(parts)
 
-    return docs.mapInArrow(task, "anchor long, digest long, doc long, at long, others array<long>")
+    return docs.mapInArrow(C.lean(task), "anchor long, digest long, doc long, at long, others array<long>")
 
 
 def repeated_starts(strings: list[bytes], left: np.ndarray, run: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -203,7 +203,7 @@ def _strings(docs: DataFrame, wanted: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([anchor.slice(i, 4000), pa.array(ids[rows[i:i + 4000]]), at.slice(i, 4000), pa.array(content[i:i + 4000], pa.binary()),
                                                   hot.slice(i, 4000)], names=["anchor", "doc", "at", "content", "hot"])
 
-    return docs.join(lists, docs.doc_id == lists.doc).select("doc_id", "text", "w").mapInArrow(task, "anchor long, doc long, at long, content binary, hot boolean")
+    return docs.join(lists, docs.doc_id == lists.doc).select("doc_id", "text", "w").mapInArrow(C.lean(task), "anchor long, doc long, at long, content binary, hot boolean")
 
 
 def _ordered(strings: DataFrame) -> DataFrame:
@@ -234,7 +234,7 @@ def _ordered(strings: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(doc[string[first]]), pa.array((at >> 16)[string[first]] + start[first]), pa.array(run.astype(np.int64))],
                                              names=["doc", "start", "run"])
 
-    return strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(task, "doc long, start long, run long")
+    return strings.repartition("anchor").sortWithinPartitions("anchor").mapInArrow(C.lean(task), "doc long, start long, run long")
 
 
 def _fingerprinted(strings: DataFrame) -> DataFrame:
@@ -252,7 +252,7 @@ def _fingerprinted(strings: DataFrame) -> DataFrame:
                  pa.array(_span_hash(data, starts, starts + SPAN, 0x2545F4914F6CDD1D, 29).view(np.int64)), pa.array(doc[which]), pa.array((at >> 16)[which] + step)],
                 names=["f", "g", "doc", "start"])
 
-    rows = strings.mapInArrow(task, "f long, g long, doc long, start long")
+    rows = strings.mapInArrow(C.lean(task), "f long, g long, doc long, start long")
     many = rows.groupBy("f", "g").count().where("count > 1").select("f", "g")
     return rows.join(many, ["f", "g"]).select("doc", "start", F.lit(1).cast("long").alias("run"))
 
@@ -326,4 +326,4 @@ def remove_repeats(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_id
     result = StructType([kinds["doc_id"], *[StructField(c, kinds[f"__{c}"].dataType) for c in keep], *facts])
     shape = to_arrow_schema(result)
     return (docs.join(lost, docs.doc_id == lost.doc, "left").select("doc_id", "text", "ranges", *[f"__{c}" for c in keep])
-            .mapInArrow(task, result))
+            .mapInArrow(C.lean(task), result))
