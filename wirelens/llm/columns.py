@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import ctypes
+import gc
 import sys
 from collections.abc import Callable, Iterator
 from functools import lru_cache
@@ -40,6 +41,15 @@ def stored(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(at)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark drop the shuffle files of steps whose results are stored, rather than when the driver next collects garbage.
+
+    Files of a DataFrame that is still referred to stay.
+    """
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def held_out(doc_id: Column) -> Column:
     """Whether a row belongs to the quarter that no classifier may learn from."""
     return F.coalesce(F.crc32(doc_id.cast("string")) % 4 == 2, F.lit(False))

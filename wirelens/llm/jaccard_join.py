@@ -295,12 +295,11 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     tops = F.array(*[F.lit(band_top(i)) for i in range(64)])
     banded = facts.where(size > 5).groupBy(F.size(F.filter(tops, lambda t: t < size)).alias("band")).count().collect()
     counts = {r["band"]: r["count"] for r in banded}
-    groups = segment_keys(known, join, counts)
-    met = groups.withColumn("members", F.concat(F.array("doc"), "followers"))
-    together = Window.partitionBy("key")
-    met = (met.select("key", "members", F.min("doc").over(together).alias("head"), F.sum(F.size("members")).over(together).alias("total"))
-           .where("total > 1"))
-    met = kept(met.select("key", "head", "total", F.explode("members").alias("doc")), "met")
+    together, members = Window.partitionBy("key"), F.concat(F.array("doc"), "followers")
+    met = kept(segment_keys(known, join, counts).select("key", members.alias("members"))
+               .select("key", "members", F.min("doc").over(together).alias("head"), F.sum(F.size("members")).over(together).alias("total"))
+               .where("total > 1").select("key", "head", "total", F.explode("members").alias("doc")), "met")
+    C.release(spark)  # the keys are the bulk of all that is shuffled
     reps = facts.where("doc_id is not null").groupBy("doc_id").agg(F.min("rep").alias("rep"), F.min("n_shingles").alias("n"))
     a, b = reps.select(F.col("doc_id").alias("a"), F.col("rep").alias("ra"), F.col("n").alias("na")), reps.select(F.col("doc_id").alias("b"), F.col("rep").alias("rb"), F.col("n").alias("nb"))
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * join.percent) & (F.col("ra") != F.col("rb"))
@@ -308,7 +307,9 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
                  .select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "stars")
     meeting = met.select("doc").distinct().join(reps.select(F.col("doc_id").alias("doc"), "rep"), "doc").select(F.col("rep").alias("doc_id")).distinct()
     sets = kept(sets_of(known.join(meeting, "doc_id", "left_semi"), join), "sets")
+    C.release(spark)
     links = kept(_linked(stars, sets, join), "links")
+    C.release(spark)
     found = kept(components(links), "first")
     # what the heads left apart: sets that met in company under a key of several components
     wide = (met.where("total > 2").select("key", F.col("doc").alias("doc_id")).join(reps, "doc_id").select("key", "rep", "n").distinct()

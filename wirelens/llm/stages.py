@@ -85,5 +85,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     for name, stage in STAGES[:-1]:
         at = fresh_path(spark, f"stage-{name}")
         stage(spark, docs, sf_dir).write.parquet(at)
+        C.release(spark)
         docs = spark.read.parquet(at)
     return STAGES[-1][1](spark, docs, sf_dir)
