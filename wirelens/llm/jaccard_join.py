@@ -276,8 +276,23 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
 
     Words are the runs without blanks, A to Z lower-cased; a document's set are its distinct shingles of ``width``
     words, or all its words as one if there are fewer. Texts without words (null, empty) have no shingles and link with
-    nothing. Rows without a doc_id are described but not linked. Shingles are compared by 64-bit hashes.
+    nothing. Rows that share a doc_id are documents of their own: each has its own set, links and component. Rows without
+    a doc_id are described but not linked; their component_id is null. Shingles are compared by 64-bit hashes.
     """
+    C.session(docs.sparkSession)
+    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        return _components(docs, join)
+    rows = C.stored(docs.withColumn("__row", F.monotonically_increasing_id()))
+    found = _components(rows.where("doc_id is not null").select(F.col("__row").alias("doc_id"), "text"), join)
+    placed = C.stored(rows.select("doc_id", "__row").join(found.withColumnRenamed("doc_id", "__row"), "__row"))
+    least = placed.groupBy("component_id").agg(F.min("doc_id").alias("least"))
+    nameless = _components(rows.where("doc_id is null").select("doc_id", "text"), join)
+    return placed.join(least, "component_id").select("doc_id", "n_shingles", F.col("least").alias("component_id")).unionByName(nameless)
+
+
+def _components(docs: DataFrame, join: Join) -> DataFrame:
+    """The same for documents whose doc_id, where there is one, is their own."""
     spark = C.session(docs.sparkSession)
     at = fresh_path(spark, "jaccard")
 
@@ -285,7 +300,6 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
         df.write.parquet(f"{at}/{name}")
         return spark.read.parquet(f"{at}/{name}")
 
-    docs = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     known = docs.where("doc_id is not null")
     facts = kept(describe(docs, join), "facts")
     digest = ["low", "high", "n_shingles"]
@@ -296,7 +310,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     banded = facts.where(size > 5).groupBy(F.size(F.filter(tops, lambda t: t < size)).alias("band")).count().collect()
     counts = {r["band"]: r["count"] for r in banded}
     together, members = Window.partitionBy("key"), F.concat(F.array("doc"), "followers")
-    met = kept(segment_keys(known, join, counts).select("key", members.alias("members"))
+    met = kept(segment_keys(known, join, counts).select("key", "doc", members.alias("members"))
                .select("key", "members", F.min("doc").over(together).alias("head"), F.sum(F.size("members")).over(together).alias("total"))
                .where("total > 1").select("key", "head", "total", F.explode("members").alias("doc")), "met")
     C.release(spark)  # the keys are the bulk of all that is shuffled
@@ -323,7 +337,7 @@ def near_duplicates(docs: DataFrame, *, text: str = "text", doc_id: str = "doc_i
     bridged = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     final = components(bridged)
     return (facts.join(final.withColumnRenamed("node", "rep"), "rep", "left")
-            .select("doc_id", "n_shingles", F.coalesce("component", "rep").alias("component_id")))
+            .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id")))
 
 
 def without_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", join: Join = Join()) -> DataFrame:
@@ -335,7 +349,7 @@ def without_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     """
     C.session(docs.sparkSession)
     rows = C.stored(docs.withColumn("__row", F.monotonically_increasing_id()))
-    groups = near_duplicates(rows, text=text, doc_id="__row", join=join).select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
+    groups = _components(rows.select(F.col("__row").alias("doc_id"), F.col(text).cast("string").alias("text")), join).select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
     order = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text),
                      F.xxhash64(*[c for c, kind in docs.dtypes if "map<" not in kind]), F.col("__row").alias("__row"))
     first = (rows.select("__row", F.col(doc_id).alias("__key"), order.alias("__order")).join(groups, "__row")
