@@ -70,6 +70,29 @@ def test_iocs(spark):
     assert rows[1].sha1 == [] and rows[1].emails == ["x@y.example.com"] and rows[1].domains == ["y.example.com"] and rows[2] is None and rows[3] is None
 
 
+def test_ipv6_of_any_spelling(spark):
+    text = "beacons to 2606:4700:4700::1111, then 2A00:1450:4001:81b:0:0:0:200e. At 12:30:45 from aa:bb:cc:dd:ee:ff or fe80::1 (see [2001:67c::7]:443)"
+    assert tagging.extract_iocs(items(spark, [(text, None)])).first().iocs.ipv6 == ["2001:67c::7", "2606:4700:4700::1111", "2A00:1450:4001:81b:0:0:0:200e"]
+
+
+def test_a_title_that_speaks_of_one_category_decides(spark):
+    rows = [("APT5 spreads ransomware", ""), ("Ransomware hits clinic", "the work of APT5"), ("APT41 phishing wave", "a phishing campaign")]
+    got = [r.category for r in tagging.classify(items(spark, rows)).collect()]
+    assert got == ["Nation-State Attack", "Ransomware", "Nation-State Attack"]
+
+
+def test_bare_names_of_groups(spark):
+    found = tagging.match_actors(tagging.tracked_keywords(items(spark, [("Clop hackers breach firm", ""), ("BEC losses rise", ""), ("Eclopsed becomes", "")]))).collect()
+    assert [[a.name for a in r.actors or []] for r in found] == [["Cl0p"], [], []]
+    assert [r.tracked for r in found] == [["Cl0p"], ["BEC/Wire Fraud"], None]
+
+
+def test_no_pattern_of_a_rule_is_a_column(spark):
+    """Patterns that are no literals would be compiled once a row."""
+    plan = tagging.tag_techniques(tagging.classify(items(spark, [("x", "y")])))._jdf.queryExecution().optimizedPlan().toString()
+    assert "pattern" not in plan
+
+
 def test_reply_validation(spark):
     reply = '{"techniques":[{"technique_id":"t1059","technique_name":"","tactic":"Execution"},{"technique_id":"T1059"},{"technique_id":"X1"},{"technique_id":"T1566.001"}]}'
     df = spark.createDataFrame([(reply,), ("no json",)], "raw string")
@@ -83,7 +106,7 @@ def test_reply_validation(spark):
 
 def test_rules_of_plain_words():
     row = rules.spelled_out({"label": "x", "stems": ["fancy bear"], "near": ["attack"]})
-    assert row["anchors"] == ["fancy"]
+    assert row["starts"] == ["fancy"]
     for text, want in (("Fancy-Bear\nlong ago attacks", True), ("attack by fancybear", False), ("unfancy bear attack", False)):
         assert bool(re.search("(?i)" + row["pattern"], text)) is want
 

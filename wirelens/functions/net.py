@@ -1,11 +1,11 @@
-"""Address tests. IPv4 stays in range predicates; only IPv6 needs Python."""
+"""Address tests, as ranges of numbers (IPv4) and of hex digits (IPv6)."""
 
 from __future__ import annotations
 
 import ipaddress
+from functools import reduce
 
-import pandas as pd
-from pyspark.sql import Column, functions as F, types as T
+from pyspark.sql import Column, functions as F
 
 from wirelens import fixed
 
@@ -39,18 +39,38 @@ def is_public_ip(ip: Column) -> Column:
     return F.coalesce(shaped & ~inside & ~ip.isin(*fixed.IP_PLACEHOLDERS), F.lit(False))
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def public_ipv6(found: pd.Series) -> pd.Series:
-    """Keep the routable IPv6 addresses of each array (Arrow batches)."""
-    def routable(text: str) -> bool:
-        try:
-            ip = ipaddress.ip_address(text)
-        except ValueError:
-            return False
-        return not (ip.is_private or ip.is_loopback or ip.is_link_local
-                    or ip.is_reserved or ip.is_unspecified or ip.is_multicast)
+def ipv6_digits(text: Column) -> Column:
+    """The 32 hex digits of an IPv6 address, null for any other text (also for one with a dotted tail)."""
+    halves = F.split(F.lower(text), "::")
 
-    return found.map(lambda items: [t for t in items if routable(t)] if items is not None else [])
+    def groups(half: Column) -> Column:
+        return F.filter(F.split(F.coalesce(half, F.lit("")), ":"), lambda g: g != "")
+
+    left, right = groups(F.get(halves, F.lit(0))), groups(F.get(halves, F.lit(1)))
+    count, short = F.size(left) + F.size(right), F.size(halves) == 2
+    shaped = F.lower(text).rlike("^([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?(::([0-9a-f]{1,4}(:[0-9a-f]{1,4})*)?)?$")
+
+    def spelled(parts: Column) -> Column:
+        return F.array_join(F.transform(parts, lambda g: F.lpad(g, 4, "0")), "")
+
+    whole = F.concat(spelled(left), F.repeat(F.lit("0000"), F.lit(8) - count), spelled(right))
+    return F.when(shaped & F.when(short, count <= 7).otherwise(count == 8), whole)
+
+
+# of the global range 2000::/3: protocol assignments (with the parts of them that are routed), documentation, 6to4
+NON_PUBLIC_V6 = ("2001::/23", "2001:db8::/32", "2002::/16")
+ROUTED_V6 = ("2001:1::1/128", "2001:1::2/128", "2001:3::/32", "2001:4:112::/48", "2001:20::/28", "2001:30::/28")
+
+
+def is_public_ipv6(text: Column) -> Column:
+    """True for a routable IPv6 address."""
+    digits = ipv6_digits(text)
+
+    def inside(blocks: tuple[str, ...]) -> Column:
+        ends = [(f"{int(n.network_address):032x}", f"{int(n.broadcast_address):032x}") for n in map(ipaddress.ip_network, blocks)]
+        return reduce(Column.__or__, [digits.between(*e) for e in ends])
+
+    return F.coalesce(inside(("2000::/3",)) & (~inside(NON_PUBLIC_V6) | inside(ROUTED_V6)), F.lit(False))
 
 
 def domain_ok(domain: Column, tlds: tuple[str, ...], benign: tuple[str, ...]) -> Column:

@@ -162,8 +162,8 @@ def classify_sql() -> str:
         f"SELECT pos, {i} AS rule, {lit(r['label'])} AS label, {r['confidence']} AS conf, {r['confidence'] + bonus.get(r['label'], 0)}"
         f" + (CASE WHEN {matches('title', r)} THEN 10 ELSE 0 END) AS score FROM x WHERE {matches('text', r)}" for i, r in enumerate(cats))
     wins = " ".join(
-        f"WHEN list_contains(l, {lit(o['both'][0])}) AND list_contains(l, {lit(o['both'][1])}) AND {matches('title', o)} THEN {lit(o['label'])}"
-        for o in rules.load("overrides"))
+        f"WHEN list_contains(l, {lit(a)}) AND list_contains(l, {lit(b)}) AND {any_of('title', [r for r in cats if r['label'] == winner])} THEN {lit(winner)}"
+        for a, b, winner in fixed.DECIDED_PAIRS)
     return f"""WITH {TEXTS},
 hits AS ({hits}),
 labels AS (SELECT pos, list(label) AS l FROM hits GROUP BY pos),

@@ -4,9 +4,9 @@ Every tagger takes its rules as an argument; ``load`` returns the defaults
 shipped next to this file. Patterns are case-insensitive unless a row says
 otherwise, avoid look-around, and are matched against whole texts. ``anchors``
 are lower-case words of which a match must contain at least one; they let a
-plain substring search skip the pattern. A row may leave them out.
-
-Rows may also list plain words instead of a pattern: ``stems`` begin a word,
+plain substring search skip the pattern. Rows may also list plain words instead
+of a pattern: one pass over the text finds the rules of which a first word begins
+somewhere, and only their patterns run. Plain words: ``stems`` begin a word,
 ``names`` are whole words, ``first_of`` captures one of its whole words, and
 ``near`` asks that one of its stems comes later in the text, however far.
 """
@@ -16,7 +16,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterable
-from functools import cache
+from functools import cache, reduce
 from pathlib import Path
 
 from pyspark.sql import Column, functions as F
@@ -35,11 +35,10 @@ def spelled_out(row: dict) -> dict:
     if not starts:
         return row
     group = "(" if "first_of" in row else "(?:"
-    pattern = "|".join(rf"\b{group}{_any_of(row[key])}){end}" for key, end in starts)
-    if row.get("near"):
-        pattern = rf"(?:{pattern})(?s:.*)\b(?:{_any_of(row['near'])})"
+    first = "|".join(rf"\b{group}{_any_of(row[key])}){end}" for key, end in starts)
+    pattern = rf"(?:{first})(?s:.*)\b(?:{_any_of(row['near'])})" if row.get("near") else first
     words = [word for key, _ in starts for word in row[key]]
-    return {**row, "pattern": pattern, "anchors": sorted({max(word.lower().split(" "), key=len) for word in words})}
+    return {**row, "pattern": pattern, "first": first, "starts": sorted({word.lower().split(" ")[0] for word in words})}
 
 
 @cache
@@ -75,30 +74,80 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def table(rows: Iterable[dict], *fields: str) -> Column:
-    """The rules as one literal array: order, pattern, anchors and the named fields."""
-    return F.array(*[
-        F.struct(
-            F.lit(order).alias("order"), F.lit(spark_pattern(r)).alias("pattern"),
-            F.array(*[F.lit(a) for a in r.get("anchors", ())]).cast("array<string>").alias("anchors"),
-            *[F.lit(r[f]).alias(f) for f in fields])
-        for order, r in enumerate(rows)
-    ])
+def _trie(words: Iterable[str]) -> str:
+    """Pattern of the longest of the words at a place; shared beginnings are read once."""
+    root: dict = {}
+    for word in words:
+        node = root
+        for letter in word:
+            node = node.setdefault(letter, {})
+        node[""] = {}
+
+    def spelled(node: dict) -> str:
+        parts = [re.escape(letter) + spelled(child) for letter, child in sorted(node.items()) if letter]
+        body = parts[0] if len(parts) == 1 else "(?:" + "|".join(parts) + ")"
+        return "" if not parts else f"(?:{body})?" if "" in node else body
+
+    return spelled(root)
+
+
+def _candidates(text: Column, rows: list[dict]) -> Column:
+    """Numbers of the rules of which a first word begins somewhere in the text: one pass, however many rules there are.
+
+    The place is looked at, not consumed, so that words within words are seen too; of several at one place the longest is
+    found and stands for its beginnings.
+    """
+    words = sorted({w for r in rows for w in r.get("starts", ())})
+    if not words:
+        return F.array().cast("array<int>")
+    meant = {w: [i for i, r in enumerate(rows) if any(w.startswith(s) for s in r.get("starts", ()))] for w in words}
+    by_word = F.create_map(*[x for w, own in meant.items() for x in (F.lit(w), F.array(*map(F.lit, own)))])
+    found = F.regexp_extract_all(text, F.lit(rf"(?i)\b(?=({_trie(words)}))"), 1)
+    return F.flatten(F.transform(F.array_distinct(F.transform(found, F.lower)), lambda w: F.element_at(by_word, w)))
+
+
+def _gated(row: dict, number: int, candidates: Column, low: Column, verdict: Column) -> Column:
+    """The verdict, looked for only where a first word or an anchor of the rule occurs."""
+    if row.get("starts"):
+        return F.array_contains(candidates, number) & verdict
+    if row.get("anchors"):
+        return reduce(Column.__or__, [F.contains(low, F.lit(a)) for a in row["anchors"]]) & verdict
+    return verdict
+
+
+def matches(text: Column, row: dict) -> Column:
+    """True when the rule's literal pattern matches; what must come later in the text is looked for behind the first match."""
+    flag = "" if row.get("case_sensitive") else "(?i)"
+    if not row.get("near"):
+        return F.regexp_like(text, F.lit(flag + row["pattern"]))
+    behind = F.regexp_extract(text, rf"{flag}(?s)^.*?(?:{row['first']})(.*)$", 1)
+    return F.regexp_like(behind, F.lit(rf"{flag}\b(?:{_any_of(row['near'])})"))
+
 
+def _judged(text: Column, rows: list[dict], body: Callable[[Column, list[Column]], Column]) -> Column:
+    """``body`` of the text and of each rule's verdict; a pattern runs only where the rule is a candidate."""
+    def verdicts(t: Column) -> Column:
+        return let(F.lower(t), lambda low: let(_candidates(t, rows), lambda c: body(t, [_gated(r, i, c, low, matches(t, r)) for i, r in enumerate(rows)])))
 
-def hit(rule: Column, text: Column, low: Column) -> Column:
-    """True when the rule matches; the pattern runs only where an anchor occurs."""
-    anchored = (F.size(rule["anchors"]) == 0) | F.exists(rule["anchors"], lambda a: F.contains(low, a))
-    return anchored & F.regexp_like(text, rule["pattern"])
+    return let(F.coalesce(text, F.lit("")), verdicts)
+
+
+def matching(text: Column, rows: Iterable[dict], *fields: str, also: Column | None = None) -> Column:
+    """Rules that match the text, in declared order, with their order and the named fields.
+
+    With ``also``, the field ``also`` tells whether the rule matches that text too.
+    """
+    rows = list(rows)
 
+    def found(t: Column, hits: list[Column]) -> Column:
+        return F.array_compact(F.array(*[
+            F.when(hit, F.struct(F.lit(i).alias("order"), *[F.lit(r[f]).alias(f) for f in fields],
+                                 *([] if also is None else [matches(also, r).alias("also")])))
+            for i, (hit, r) in enumerate(zip(hits, rows))]))
 
-def matching(text: Column, rows: Iterable[dict], *fields: str) -> Column:
-    """Rules that match the text, in declared order, with the named fields."""
-    rules_table = table(rows, *fields)
-    return let(F.coalesce(text, F.lit("")), lambda t: let(F.lower(t), lambda low: F.filter(rules_table, lambda r: hit(r, t, low))))
+    return _judged(text, rows, found)
 
 
 def any_matches(text: Column, rows: Iterable[dict]) -> Column:
     """True when any rule matches the text."""
-    rules_table = table(rows)
-    return let(F.coalesce(text, F.lit("")), lambda t: let(F.lower(t), lambda low: F.exists(rules_table, lambda r: hit(r, t, low))))
+    return _judged(text, list(rows), lambda _t, hits: reduce(Column.__or__, hits))
