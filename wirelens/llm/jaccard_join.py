@@ -9,6 +9,7 @@ verified against one head; sets that this leaves in different components are com
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -320,7 +321,11 @@ def _components(docs: DataFrame, join: Join) -> DataFrame:
     stars = kept(met.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct().join(a, "a").join(b, "b").where(fits)
                  .select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "stars")
     meeting = met.select("doc").distinct().join(reps.select(F.col("doc_id").alias("doc"), "rep"), "doc").select(F.col("rep").alias("doc_id")).distinct()
-    sets = kept(sets_of(known.join(meeting, "doc_id", "left_semi"), join), "sets")
+    # stored in buckets of the document, the sets are joined three times without being shuffled again
+    named = f"sets_{uuid.uuid4().hex}"
+    sets_of(known.join(meeting, "doc_id", "left_semi"), join).write.option("path", f"{at}/sets").bucketBy(
+        int(spark.conf.get("spark.sql.shuffle.partitions")), "doc").saveAsTable(named)
+    sets = spark.table(named)
     C.release(spark)
     links = kept(_linked(stars, sets, join), "links")
     C.release(spark)
@@ -334,6 +339,7 @@ def _components(docs: DataFrame, join: Join) -> DataFrame:
     families = components(apart.select(F.col("rep").alias("a"), F.col("head").alias("b")))
     rest = kept(apart.select("rep", "n", "component").distinct().join(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep"), "families")
     more = kept(_linked_in_families(rest, sets, join), "more")
+    spark.sql(f"DROP TABLE {named}")  # the name; its files stay
     bridged = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     final = components(bridged)
     return (facts.join(final.withColumnRenamed("node", "rep"), "rep", "left")
