@@ -127,3 +127,12 @@ def test_latest_is_replaced_and_the_old_copy_goes(spark, tmp_path):
         writers.replace_latest(spark.range(n), path)
         assert spark.read.parquet(path).count() == n
     assert [p.name for p in (tmp_path / "t").iterdir()] == ["latest"]
+
+
+def test_state_files_become_a_table(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "a.json").write_text('[{"url": "u1", "n": 1},\n {"url": "u2", "n": null}]')
+    (tmp_path / "in" / "b.json").write_text('{"url": "u3", "n": 3, "more": true}')
+    for _ in range(2):  # an import may be repeated
+        got = readers.import_state(spark, str(tmp_path / "in"), str(tmp_path / "out"), "url string, n long")
+        assert sorted((r.url, r.n) for r in got.collect()) == [("u1", 1), ("u2", None), ("u3", 3)]

@@ -314,13 +314,16 @@ def _(t: Tables):
     return t.headlines().select("pos", F.array_join(F.array_sort(tx.proper_nouns(F.col("title"), stop)), ",").alias("nouns"))
 
 
-@query("d14_merge_techniques")
+@query("d14_merge_techniques", f"""
+SELECT pos, ids AS base, concat_ws(',', ids, CASE WHEN NOT list_contains(l, 'T1486') THEN 'T1486' END, CASE WHEN NOT list_contains(l, 'T1059.003') THEN 'T1059.003' END) AS merged,
+  array_to_string(list_sort(list_distinct(list_concat(CASE WHEN coalesce(tactics, '') = '' THEN [] ELSE string_split(tactics, ',') END, ['Impact', 'Unknown']))), ',') AS tactics
+FROM (SELECT *, string_split(coalesce(ids, ''), ',') AS l FROM ({technique_sql()}))""")
 def _(t: Tables):
     reply = F.lit('{"techniques":[{"technique_id":"t1486","tactic":"Impact"},{"technique_id":"T1059.003"},{"technique_id":"bad"}]}')
     tagged = tagging.tag_techniques(t.headlines()).withColumn("extra", tagging.valid_techniques(reply))
-    return tagged.select("pos", F.col("attack_techniques.technique_id").alias("base"),
-                         F.transform(tagging.merge_techniques(F.col("attack_techniques"), F.col("extra")), lambda x: x["technique_id"]).alias("merged"),
-                         tagging.merged_tactics(F.col("attack_tactics"), F.col("extra")).alias("tactics"))
+    merged = F.transform(tagging.merge_techniques(F.col("attack_techniques"), F.col("extra")), lambda x: x["technique_id"])
+    return tagged.select("pos", F.array_join(F.col("attack_techniques.technique_id"), ",").alias("base"), F.array_join(merged, ",").alias("merged"),
+                         F.array_join(tagging.merged_tactics(F.col("attack_tactics"), F.col("extra")), ",").alias("tactics"))
 
 
 @query("d15_valid_techniques", """

@@ -54,15 +54,15 @@ def _(t: Tables):
     return clusters.entity_sizes(clusters.entity_edges(t.headlines())).select("entity_type", "entity_name", "article_count", F.col("first.pos").alias("first_pos"))
 
 
-def cover_sql() -> str:
-    """The sequential rule, one entity after the other, for the checking engine."""
+def cover_sql(only: str = "TRUE") -> str:
+    """The sequential rule over the items of a condition, one entity after the other, for the checking engine."""
     orgs = " UNION ALL ".join(
         f"SELECT pos, {i} AS g, regexp_extract(title, {lit(r['pattern'])}, 1) AS org FROM headlines" for i, r in enumerate(rules.load("orgs")))
     return f"""WITH RECURSIVE {TEXTS},
 raw AS (SELECT 'cve' AS entity_type, cve_id AS entity_name, pos, 0 AS kind, cve_id AS k FROM item_cves
   UNION ALL SELECT 'actor', label, pos, 1, lpad(CAST(rule AS VARCHAR), 4, '0') FROM ({rule_hits(rules.load('actors'), 'text', 'x')})
   UNION ALL SELECT 'org', org, pos, 2, lpad(CAST(g AS VARCHAR), 4, '0') FROM ({orgs}) WHERE org <> ''),
-ent AS (SELECT entity_type, entity_name, list(DISTINCT pos) AS members, min((pos, kind, k)) AS head FROM raw GROUP BY 1, 2),
+ent AS (SELECT entity_type, entity_name, list(DISTINCT pos) AS members, min((pos, kind, k)) AS head FROM raw WHERE {only} GROUP BY 1, 2),
 ranked AS (SELECT *, row_number() OVER (ORDER BY len(members) DESC, head) AS r FROM ent WHERE len(members) >= 3),
 step AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS covered, false AS keep
   UNION ALL SELECT n.r, CASE WHEN len(list_filter(n.members, lambda m: NOT list_contains(s.covered, m))) >= 2 THEN list_distinct(s.covered || n.members) ELSE s.covered END,
@@ -130,7 +130,26 @@ def _(t: Tables):
     return clusters.campaign_view(campaigns, items).groupBy("campaign_id", "entity_name").agg(F.max("articles_in_window").alias("articles_in_window"))
 
 
-@query("f07_upsert_campaigns")
+CAMPAIGN_ID = "'campaign--' || h[1:8] || '-' || h[9:12] || '-' || h[13:16] || '-' || h[17:20] || '-' || h[21:32]"
+
+
+def upsert_sql() -> str:
+    """Campaigns of all items, then of every second one at a later day."""
+    def facts(only: str) -> str:
+        return f"""({cover_sql(only)}, m AS (SELECT entity_type, entity_name, article_count, unnest(members) AS pos FROM kept)
+SELECT entity_type, entity_name, article_count AS n, min(event_ts) AS f FROM m JOIN headlines USING (pos) GROUP BY ALL)"""
+
+    known = f"coalesce(a.f, TIMESTAMP '{AS_OF}')"
+    days = f"date_diff('day', {known}, TIMESTAMP '2024-02-20') - CASE WHEN CAST({known} AS TIME) > TIME '00:00:00' THEN 1 ELSE 0 END"
+    return f"""SELECT {CAMPAIGN_ID} AS campaign_id, * EXCLUDE h FROM (SELECT sha256(entity_type || ':' || entity_name) AS h, entity_type, entity_name,
+  {fmt(f"CASE WHEN a.n IS NULL THEN coalesce(b.f, TIMESTAMP '2024-02-20') WHEN b.n IS NULL THEN {known} ELSE least({known}, b.f) END")} AS first_observed,
+  {fmt(f"CASE WHEN a.n IS NULL THEN coalesce(b.f, TIMESTAMP '2024-02-20') WHEN b.n IS NULL THEN {known} ELSE TIMESTAMP '2024-02-20' END")} AS last_observed,
+  greatest(a.n, b.n) AS total_observed_articles, least(500, greatest(a.n, b.n)) AS hashes,
+  CASE WHEN b.n IS NOT NULL OR {days} <= 14 THEN 'active' WHEN {days} <= 90 THEN 'dormant' ELSE 'archived' END AS status
+  FROM {facts("TRUE")} a FULL JOIN {facts("pos % 2 = 0")} b USING (entity_type, entity_name))"""
+
+
+@query("f07_upsert_campaigns", upsert_sql())
 def _(t: Tables):
     items = timed(t)
     first, _ = _campaigns(t)
@@ -141,7 +160,11 @@ def _(t: Tables):
                          shown(F.col("last_observed"), "last_observed"), "total_observed_articles", F.size("article_hashes").alias("hashes"), "status")
 
 
-@query("e06_campaign_view")
+@query("e06_campaign_view", COVER + f"""
+, m AS (SELECT entity_type, entity_name, unnest(list_sort(members)[-500:]) AS pos FROM kept),
+j AS (SELECT sha256(entity_type || ':' || entity_name) AS h, entity_name, hash, event_ts, source FROM m JOIN headlines USING (pos))
+SELECT {CAMPAIGN_ID} AS campaign_id, entity_name, row_number() OVER w AS seq, hash, first_value(source) OVER w AS first_source, count(*) OVER (PARTITION BY h) AS articles_in_window
+FROM j WINDOW w AS (PARTITION BY h ORDER BY event_ts NULLS LAST, hash)""")
 def _(t: Tables):
     campaigns, items = _campaigns(t)
     return clusters.campaign_view(campaigns, items).select("campaign_id", "entity_name", "seq", "hash", "first_source", "articles_in_window")

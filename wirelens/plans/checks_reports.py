@@ -8,10 +8,10 @@ from wirelens import fixed, rules
 from wirelens.functions import text as tx, times
 from wirelens.operators import audits, clusters as cl, corpus, feeds, tagging, usage
 from wirelens.plans import headlines as hl, views
-from wirelens.plans.checks_items import any_of, fmt, matches, rule_hits, shown, timed
+from wirelens.plans.checks_items import any_of, fmt, lit, matches, rule_hits, shown, timed
 from wirelens.plans.checks_joins import COUNTS, COVER, FETCHES, fetch_events, rated
 from wirelens.plans.checks_similar import PAIRS
-from wirelens.plans.registry import AS_OF, Tables, query
+from wirelens.plans.registry import AS_OF, ORACLES, Tables, query
 from wirelens.session import cut
 from wirelens.sinks import writers
 from wirelens.sources import readers
@@ -451,12 +451,15 @@ def _(t: Tables):
     return jobs.run_to_table(judged, table, checkpoint).select("user_id", "event_id", "accepted")
 
 
-@query("j14_downgrade_guard", """
+GUARD = """
 WITH RECURSIVE v AS (SELECT user_id, (ts, event_id) AS p, ts, ([1, 3, 3, 99])[CAST(event_id % 4 AS INTEGER) + 1] AS r FROM events),
 k AS (SELECT user_id, min(p) AS p, arg_min(r, p) AS r FROM v GROUP BY user_id
   UNION ALL SELECT user_id, n.p, n.r FROM (SELECT k.user_id, (SELECT min({'p': v.p, 'r': v.r}) FROM v WHERE v.user_id = k.user_id AND v.p > k.p
     AND (v.r <= k.r OR v.ts >= k.p[1] + INTERVAL 24 HOUR)) AS n FROM k) WHERE n IS NOT NULL)
-SELECT user_id, p[2] AS event_id FROM k""")
+SELECT user_id, p[2] AS event_id FROM k"""
+
+
+@query("j14_downgrade_guard", GUARD)
 def _(t: Tables):
     labelled = t.events().withColumn("provider", F.get(tx.strings(["featherless/a", "openai/b", "groq/c", "other"]), (F.col("event_id") % 4).cast("int")))
     return keyed.apply_rule(labelled, keyed.downgrade_guard(24), "user_id", value="provider").filter("accepted").select("user_id", "event_id")
@@ -508,6 +511,57 @@ def _(t: Tables):
         "entity_type", "entity_name", "total_observed_articles", shown(F.col("first_observed"), "first_observed"), shown(F.col("last_observed"), "last_observed"))
 
 
+def _in_order(t: Tables, label: str):
+    """Events as four files in time order, one a trigger."""
+    events = t.events()
+    ends = events.agg(F.min(F.unix_micros("ts")).alias("a"), F.max(F.unix_micros("ts")).alias("b")).first()
+    quarter = F.floor((F.unix_micros("ts") - ends.a) * 4 / (ends.b - ends.a + 1))
+    stream, root, _state, checkpoint = _land(t, events, label, quarter)
+    return stream, root, checkpoint
+
+
+@query("j04_within_lateness", """
+WITH late AS (SELECT *, ts >= (SELECT max(ts) - INTERVAL 12 DAY FROM events) AS early FROM events)
+SELECT strftime(CAST(ts AS DATE), '%Y-%m-%d') AS day, event_type AS key, count(*) AS n FROM late
+WHERE early OR date_trunc('day', ts) + INTERVAL 1 DAY > (SELECT max(ts) - INTERVAL 7 DAY FROM events) GROUP BY 1, 2""")
+def _(t: Tables):
+    events = t.events()  # the newest days come in two files; of the third, what is over a week late is passed over
+    newest = events.agg(F.max("ts")).scalar()
+    early = F.col("ts") >= newest - F.expr("INTERVAL 12 DAYS")
+    part = F.when(early & ((F.col("event_id") % 2 == 0) | (F.col("ts") == newest)), 0).when(early, 1).otherwise(2)
+    stream, root, _state, checkpoint = _land(t, events, "late", part, parts=3)
+    return jobs.daily_counts_stream(stream, "event_type", root, checkpoint).withColumn("day", F.col("day").cast("string"))
+
+
+def _ruled(t: Tables, label: str, rule, value: str | None = None, columns=("user_id", "event_id"), given=None):
+    """Accepted rows of a keyed rule over the event stream."""
+    stream, root, checkpoint = _in_order(t, label)
+    judged = keyed.apply_rule_stream(stream if given is None else stream.withColumn(value, given), rule, "user_id", value=value)
+    return jobs.run_to_table(judged, root, checkpoint).filter("accepted").select(*columns)
+
+
+@query("j07_level_alerts_stream", LEVELS)
+def _(t: Tables):
+    return _ruled(t, "levels", keyed.level_alert(), "level", ("user_id", "event_id", "level"),
+                  F.get(tx.strings(["LOW", "GUARDED", "MODERATE", "ELEVATED", "CRITICAL"]), (F.col("event_id") % 5).cast("int")))
+
+
+@query("j09_cooldown_stream", THIN.format(interval="24 HOUR"))
+def _(t: Tables):
+    return _ruled(t, "cooldown", keyed.cooldown(24))
+
+
+@query("j12_thin_stream", THIN.format(interval="10 HOUR"))
+def _(t: Tables):
+    return _ruled(t, "thin", keyed.thin(36000))
+
+
+@query("j14_downgrade_guard_stream", GUARD)
+def _(t: Tables):
+    return _ruled(t, "guard", keyed.downgrade_guard(24), "provider",
+                  given=F.get(tx.strings(["featherless/a", "openai/b", "groq/c", "other"]), (F.col("event_id") % 4).cast("int")))
+
+
 @query("j16_read_since", "SELECT event_id FROM events WHERE ts > TIMESTAMP '2024-01-20'")
 def _(t: Tables):
     from wirelens.operators import filters
@@ -607,7 +661,12 @@ def _(t: Tables):
     return views.digest_candidates(timed(t), AS_OF, "emea").select("pos", "slot", "bucket")
 
 
-@query("m_dashboard")
+@query("m_dashboard", COVER + """
+, m AS (SELECT entity_type, entity_name, article_count AS n, unnest(members) AS pos FROM kept),
+member AS (SELECT m.*, h.event_ts, h.hash FROM m JOIN headlines h USING (pos)),
+c AS (SELECT entity_type, entity_name, any_value(n) AS n, min(event_ts) AS first_seen FROM member GROUP BY 1, 2),
+b AS (SELECT hash, arg_min({'story': entity_name, 'n': c.n}, (first_seen, -c.n, entity_type, entity_name)) AS s FROM member JOIN c USING (entity_type, entity_name) GROUP BY hash)
+SELECT pos, s.story AS story, s.n AS story_size FROM headlines LEFT JOIN b USING (hash)""")
 def _(t: Tables):
     items = timed(t)
     summary, members = cl.build_clusters(items, cl.entity_edges(items))
@@ -621,13 +680,14 @@ def _(t: Tables):
     return views.trend(trends.daily_counts(t.events(), "event_type", "category"), "2024-01-28")["daily_totals"].withColumn("day", F.col("day").cast("string"))
 
 
-@query("m_quality")
+@query("m_quality", f"SELECT url, signal_score FROM ({ORACLES['f08_signal_scores']})")
 def _(t: Tables):
     feedback = t("labels").select(F.col("toxic").cast("string").alias("correct_category"))
     return views.quality(rated(t), feeds.feed_health(fetch_events(t)), feedback)["feed_scores"].select("url", "signal_score")
 
 
-@query("m_watchlist")
+@query("m_watchlist", "SELECT DISTINCT 'brand' AS kind, p_brand AS keyword FROM part UNION ALL VALUES " + ", ".join(
+    f"({lit(v['group'])}, {lit(v['label'])})" for v in rules.load("vendors")))
 def _(t: Tables):
     watch = readers.load_watchlist(t("part").select(F.lit("brand").alias("kind"), F.col("p_brand").alias("keyword")))
     return views.watchlist(watch, list(rules.load("vendors")), t.spark)
