@@ -58,3 +58,5 @@ def test_clusters_and_campaigns(spark):
     assert len(story_rows) == 12 and story_rows[0].cluster.entity_name == "Microsoft"
     view = cl.campaign_view(first, df).orderBy("seq").collect()
     assert [r.seq for r in view] == [1, 2, 3, 4, 5] and view[0].articles_in_window == 5
+    whole = cl.campaign_view(first, df, members=members).orderBy("seq").collect()
+    assert [r.seq for r in whole] == list(range(1, 13)) and whole[0].articles_in_window == 12

@@ -26,6 +26,10 @@ def test_cve_records(spark):
     one = rows["CVE-2024-1"]
     assert (one.cvss_score, one.cvss_severity, one.cvss_vector, one.cwe_ids, one.affected_products) == (9.8, "CRITICAL", "AV9.8", ["CWE-79"], ["Acme Corp Big Tool"])
     assert one.title == "CVE-2024-1: CRITICAL (9.8) — A flaw." and "Affected: Acme Corp Big Tool." in one.summary
+    many = [f"cpe:2.3:a:acme:tool_{n}:1" for n in range(12)]
+    wide = spark.createDataFrame([(record("CVE-2024-9", v31=9.0, criteria=(*many, many[0])),)], "raw string").select(F.from_json("raw", readers.CVE_SCHEMA).alias("r")).select("r.*")
+    all_of = readers.flatten_cve_records(wide).first()
+    assert all_of.affected_products == [f"Acme Tool {n}" for n in range(12)] and "Acme Tool 4. " in all_of.summary and "Tool 5" not in all_of.summary
     assert rows["CVE-2024-2"].affected_products is None and "multiple products" in rows["CVE-2024-2"].summary
     assert rows["CVE-2024-4"].title.endswith("...") and len(rows["CVE-2024-4"].title) <= 155
 

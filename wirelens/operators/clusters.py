@@ -179,12 +179,14 @@ def empty_campaigns(spark) -> DataFrame:
         " total_observed_articles long, article_hashes array<string>, status string, created_at timestamp, updated_at timestamp"))
 
 
-def campaign_view(campaigns: DataFrame, df: DataFrame, ts: str = "event_ts") -> DataFrame:
+def campaign_view(campaigns: DataFrame, df: DataFrame, ts: str = "event_ts", members: DataFrame | None = None) -> DataFrame:
     """Items of each campaign in time order, with window count and first reporter.
 
-    A campaign keeps at most a fixed number of hashes, so its window is small.
+    The window of a campaign are its kept hashes, a fixed number at most; with ``members`` (entity and hash rows, as from
+    ``build_clusters`` or the stream's edge table) all its items.
     """
-    links = campaigns.select("campaign_id", *ENTITY, F.explode("article_hashes").alias("hash"))
+    links = campaigns.select("campaign_id", *ENTITY, F.explode("article_hashes").alias("hash")) if members is None else (
+        members.join(campaigns.select("campaign_id", *ENTITY), ENTITY).select("campaign_id", *ENTITY, "hash").filter(F.col("hash").isNotNull()).distinct())
     joined = links.join(df.select("hash", "title", "link", "source", "published", "category", "feed_region", F.col(ts).alias("ts")), "hash")
     order = Window.partitionBy("campaign_id").orderBy(F.col("ts").asc_nulls_last(), "hash")
     return joined.withColumn("seq", F.row_number().over(order)).withColumn(

@@ -107,13 +107,15 @@ CVE_SCHEMA = (
     " weaknesses array<struct<description:array<struct<value:string>>>>, references array<struct<url:string>>")
 
 
-def flatten_cve_records(df: DataFrame, min_score: float = 7.0) -> DataFrame:
-    """Severe vulnerability records as items; ``df`` has the columns of ``CVE_SCHEMA``."""
+def flatten_cve_records(df: DataFrame, min_score: float = 7.0, shown: int = 5) -> DataFrame:
+    """Severe vulnerability records as items; ``df`` has the columns of ``CVE_SCHEMA``.
+
+    Products of all configurations are listed; the summary names the first ``shown`` of them.
+    """
     versions = [F.get(F.col(f"metrics.{v}"), F.lit(0))["cvssData"] for v in ("cvssMetricV31", "cvssMetricV30", "cvssMetricV2")]
     english = F.get(F.filter("descriptions", lambda d: d["lang"] == "en"), F.lit(0))["value"]
-    configs = F.slice(F.coalesce("configurations", F.array().cast("array<struct<nodes:array<struct<cpeMatch:array<struct<criteria:string>>>>>>")), 1, 3)
-    criteria = F.flatten(F.transform(configs, lambda c: F.flatten(F.transform(
-        F.slice(c["nodes"], 1, 3), lambda n: F.transform(F.slice(n["cpeMatch"], 1, 5), lambda m: m["criteria"])))))
+    configs = F.coalesce("configurations", F.array().cast("array<struct<nodes:array<struct<cpeMatch:array<struct<criteria:string>>>>>>"))
+    criteria = F.flatten(F.transform(configs, lambda c: F.flatten(F.transform(c["nodes"], lambda n: F.transform(n["cpeMatch"], lambda m: m["criteria"])))))
 
     def product(text: Column) -> Column:
         parts = F.split(text, ":")
@@ -133,7 +135,7 @@ def flatten_cve_records(df: DataFrame, min_score: float = 7.0) -> DataFrame:
             F.coalesce("weaknesses", F.array().cast("array<struct<description:array<struct<value:string>>>>")),
             lambda w: F.transform(w["description"], lambda d: d["value"]))), lambda v: v.startswith("CWE-")))
     )
-    affected = F.when(F.size("products") > 0, F.array_join(F.array_distinct(F.slice("products", 1, 5)), ", ")).otherwise("multiple products")
+    affected = F.when(F.size("products") > 0, F.array_join(F.slice(F.array_distinct("products"), 1, shown), ", ")).otherwise("multiple products")
     head = F.concat("id", F.lit(": "), "severity", F.lit(" ("), F.col("score").cast("string"), F.lit(") — "))
     long = F.length("description") > 120
     title = F.concat(head, F.substring("description", 1, 120))
@@ -148,7 +150,7 @@ def flatten_cve_records(df: DataFrame, min_score: float = 7.0) -> DataFrame:
         F.sha2("id", 256).alias("hash"), F.lit("nvd:cve").alias("source"), F.lit("Global").alias("feed_region"),
         F.lit("Vulnerability Disclosure").alias("category"), F.lit(95).alias("confidence"), F.lit(True).alias("is_cyber_attack"),
         F.col("id").alias("cve_id"), F.col("score").alias("cvss_score"), F.col("severity").alias("cvss_severity"), F.col("vector").alias("cvss_vector"),
-        tx.none_if_empty(F.col("cwes")).alias("cwe_ids"), tx.none_if_empty(F.array_distinct(F.slice("products", 1, 10))).alias("affected_products"),
+        tx.none_if_empty(F.col("cwes")).alias("cwe_ids"), tx.none_if_empty(F.array_distinct("products")).alias("affected_products"),
         F.coalesce(F.get(F.col("references"), F.lit(0))["url"], link).alias("ref_url"))
 
 
