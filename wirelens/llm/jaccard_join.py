@@ -320,6 +320,7 @@ def _components(docs: DataFrame, join: Join) -> DataFrame:
     fits = (F.least("na", "nb") * 100 >= F.greatest("na", "nb") * join.percent) & (F.col("ra") != F.col("rb"))
     stars = kept(met.where("doc <> head").select(F.col("doc").alias("a"), F.col("head").alias("b")).distinct().join(a, "a").join(b, "b").where(fits)
                  .select(F.greatest("ra", "rb").alias("a"), F.least("ra", "rb").alias("b")).distinct(), "stars")
+    C.release(spark)  # of pairs of documents that met, before texts are shuffled
     meeting = met.select("doc").distinct().join(reps.select(F.col("doc_id").alias("doc"), "rep"), "doc").select(F.col("rep").alias("doc_id")).distinct()
     # stored in buckets of the document, the sets are joined three times without being shuffled again
     named = f"sets_{uuid.uuid4().hex}"
