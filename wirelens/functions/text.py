@@ -63,7 +63,7 @@ def overlap_coefficient(a: Column, b: Column) -> Column:
 
 def lead_summary(text: Column, sentences: int = 3, limit: int = 500) -> Column:
     """First sentences joined by a space; beyond ``limit`` characters cut and marked."""
-    lead = F.array_join(F.slice(F.split(strip(text), r"(?<=[.!?])\s+"), 1, sentences), " ")
+    lead = F.array_join(F.slice(F.split(strip(text), r"(?<=[.!?])\s+", sentences + 1), 1, sentences), " ")
     return F.when(blank(text), F.lit("")).when(
         F.length(lead) > limit, F.concat(F.substring(lead, 1, limit - 3), F.lit("..."))
     ).otherwise(lead)
