@@ -4,6 +4,7 @@ import collections
 import hashlib
 import random
 import re
+import time
 
 import numpy as np
 import pytest
@@ -222,6 +223,52 @@ def test_main_text_keeps_whole_articles():
     assert html_text.main_text(figure) == "Text.\n\nA caption.\n\nIf x=1 then."
 
 
+@pytest.mark.parametrize(("page", "text"), [
+    ("<main><p>Long paragraph, with words, here.</p><p class='notice-period'>Two months.</p><section id='side-effects'><p>Aches, often.</p></section></main>",
+     "Long paragraph, with words, here.\n\nTwo months.\n\nAches, often."),
+    ("<article><p>One.</p><p title=O'Brien>Two, it's here.</p><p>Three.</p></article>", "One.\n\nTwo, it's here.\n\nThree."),
+    ("<article><p><a href=x>All is linked</a></p></article>", "All is linked"),
+    ("<article><p>a<!--> b <!-- c --!> d</p></></article>", "a b d"),
+    ("<article></article><div class=cookie-notice>We use cookies.</div>", ""),
+    ("<div class='sidebar_2 x'><p>Side, text.</p></div><div class=site-header>Head, words.</div><div><p>The text, of the page.</p></div>", "The text, of the page."),
+])
+def test_names_and_attributes_of_pages(page, text):
+    assert html_text.main_text(page) == text
+
+
+def test_ratio_decides_inside_articles_too():
+    prose = "Word after word, and so on. " * 20
+    page = f"<article><h1>Title</h1><div>By X</div><div><span>3 comments</span></div><p>{prose}</p><div class=adbox>Buy, now.</div><div>Share this</div></article>"
+    assert html_text.main_text(page) == f"Title\n\n{prose.strip()}"
+    assert "By X" in html_text.main_text(page, share=0)  # without the ratio, bylines and share lines stay
+    body = f"<div class='related'><p>{prose}</p><p>{prose}</p></div><div><a href=x>Home</a></div>"
+    assert html_text.main_text(f"<body>{body}</body>") == f"{prose.strip()}\n\n{prose.strip()}"  # so much weight overrules a name
+    assert html_text.main_text(f"<body>{body}<main><p>Short.</p></main></body>") == "Short."
+
+
+def test_made_pages_by_labelled_blocks():
+    """Pages put together from blocks known to be content or not, with and without an article element."""
+    rng = random.Random(5)
+    words = lambda n: " ".join("".join(rng.choices("abcdefgh", k=rng.randint(2, 9))) for _ in range(n))
+    for turn in range(200):
+        content = [f"{words(5)}", *(". ".join(words(12) for _ in range(rng.randint(3, 8))) + "." for _ in range(rng.randint(2, 9)))]
+        inner = f"<h1>{content[0]}</h1>" + "".join(f"<p>{c}" + rng.choice(["</p>", ""]) for c in content[1:])
+        menu = "<ul>" + "".join(f"<li><a href='/{i}'>{words(2)}</a></li>" for i in range(rng.randint(1, 9))) + "</ul>"
+        apart = [f"<nav>{menu}</nav>", menu, f"<div class=ad>{words(9)}, {words(4)}.</div>", f"<footer>{words(8)}. {words(3)}.</footer>", f"<div id=site-menu>{menu}</div>"]
+        before, after = rng.sample(apart, 2), rng.sample(apart, 2)
+        tag = ("article", "main", "div")[turn % 3]
+        page = f"<body>{''.join(before)}<{tag}>{inner}</{tag}>{''.join(after)}</body>"
+        assert html_text.main_text(page) == "\n\n".join(content), page
+
+
+@pytest.mark.parametrize("page", ["<b>" * 20000 + "</i>" * 20000, "<div>x" * 20000, "<p><table>" + "<b>" * 20000 + "</p>" * 20000,
+                                  "<div a='" * 20000, "<a b=c " * 20000, "<!--" * 20000, f"<div class={'sidebar' * 5000}x>y</div>"])
+def test_time_of_nested_and_broken_pages(page):
+    start = time.monotonic()
+    html_text.main_text(page)
+    assert time.monotonic() - start < 5
+
+
 def test_pages_of_odd_rows(spark):
     pages = spark.createDataFrame([(1, "u", None), (1, "u", "<p>x</p>"), (None, None, "<div>" * 3000 + "deep"), (2, "v", "")], "page_id long, url string, html string")
     rows = html_text.extract(pages.withColumn("text", F.lit(1))).collect()
@@ -253,6 +300,17 @@ def test_search_equals_brute_force(spark):
     assert top_k.search(few, lambda k: k == 9).count() == 0
 
 
+def test_search_of_large_and_equal_vectors(spark):
+    large = [(1, [1e300, 1.0]), (2, [1e300, 2.0]), (3, [-1e300, 0.0]), (4, [0.5, 0.5]), (5, [3e12, -1.0])]
+    got = top_k.search(spark.createDataFrame(large, "vec_id long, embedding array<double>"), lambda k: k < 5).collect()
+    ends = {(r.query_id, r.vec_id): r.score for r in got}
+    assert len(got) == 16 and ends[1, 2] == 2 ** 63 - 1 and ends[1, 3] == -2 ** 63 and ends[4, 5] == 512 * 3 * 10 ** 12 * 1024 - 512 * 1024
+    same = [(i, [0.1, 0.2]) for i in range(300)] + [(i, [0.3, 0.1]) for i in range(300, 500)]
+    got = top_k.search(spark.createDataFrame(same, "vec_id long, embedding array<double>").repartition(4), lambda k: k % 100 == 0, k=5).collect()
+    found = {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (0, 200, 300, 400)}
+    assert found == {0: [1, 2, 3, 4, 5], 200: [0, 1, 2, 3, 4], 300: [301, 302, 303, 304, 305], 400: [300, 301, 302, 303, 304]}
+
+
 # -- 9: licences
 
 

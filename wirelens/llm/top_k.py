@@ -28,7 +28,7 @@ def grid_vectors(table: DataFrame, *, vector: str = "embedding", key: str = "vec
     """key and v, the components as floor(scale * x), of the vectors that are whole and finite.
 
     Vectors that are null, empty, or hold a null or non-finite component are left out, and so are null keys. Of rows
-    that share a key, the smallest vector counts.
+    that share a key, the smallest vector counts. Components beyond a long count as its ends.
     """
     x = F.transform(F.col(vector), lambda e: e.cast("double"))
     good = (F.size(x) > 0) & F.forall(x, lambda e: e.isNotNull() & ~F.isnan(e) & (F.abs(e) < F.lit(float("inf"))))
@@ -92,7 +92,8 @@ def search(table: DataFrame, queries: Callable[[Column], Column], *, vector: str
     """query_id, rank (from 1), the found key and score of the ``k`` highest inner products of each query.
 
     ``queries`` is a condition on the key column; every other vector is a candidate. Equal scores rank by smaller key; fewer
-    candidates than ``k`` are all returned. Vectors of other lengths count as filled up with zeros.
+    candidates than ``k`` are all returned. Vectors of other lengths count as filled up with zeros. Scores beyond a long count
+    as its ends. Of equal vectors the k + 1 smallest keys can be found, one of which may be the query itself: only they are scanned.
     """
     spark = C.session(table.sparkSession)
     at = fresh_path(spark, "vectors")
@@ -105,7 +106,9 @@ def search(table: DataFrame, queries: Callable[[Column], Column], *, vector: str
     width = len(ends)
     low, high = np.array([min(0, r[1]) for r in ends], float), np.array([max(0, r[2]) for r in ends], float)
     step = np.maximum((high - low + 1) / CELLS, 1e-9)
-    approximate(exact, low, step).write.parquet(f"{at}/cells")
+    equal = Window.partitionBy("v").orderBy("key")
+    several = exact.withColumn("n", F.row_number().over(equal)).where(F.col("n") <= k + 1).select("key", "v")
+    approximate(several, low, step).write.parquet(f"{at}/cells")
     files = spark.read.parquet(f"{at}/cells")
     asked = exact.where(queries(F.col("key")))
     blocks = -(-asked.count() // BLOCK)
@@ -137,5 +140,9 @@ def _scored(pairs: DataFrame, exact: DataFrame) -> DataFrame:
     """query, key and exact score of each pair."""
     left = exact.select("key", F.col("v").alias("a"))
     right = exact.select(F.col("key").alias("query"), F.col("v").alias("b"))
-    product = F.aggregate(F.zip_with("a", "b", lambda x, y: F.coalesce(x, F.lit(0)) * F.coalesce(y, F.lit(0))), F.lit(0).cast("long"), lambda s, x: s + x)
+    zero = F.lit(0).cast("long")
+    pairs_of = F.zip_with("a", "b", lambda x, y: F.struct(F.coalesce(x, zero).alias("x"), F.coalesce(y, zero).alias("y")))
+    exactly = F.aggregate(pairs_of, zero, lambda s, p: F.try_add(s, F.try_multiply(p.x, p.y)))
+    about = F.aggregate(pairs_of, F.lit(0.0), lambda s, p: s + p.x.cast("double") * p.y.cast("double"))
+    product = F.coalesce(exactly, F.when(about > 0, F.lit(2 ** 63 - 1)).otherwise(F.lit(-2 ** 63)))
     return pairs.join(left, "key").join(right, "query").select("query", "key", product.alias("score"))
