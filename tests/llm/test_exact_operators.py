@@ -305,7 +305,7 @@ def test_search_of_large_and_equal_vectors(spark):
     got = top_k.search(spark.createDataFrame(large, "vec_id long, embedding array<double>"), lambda k: k < 5).collect()
     ends = {(r.query_id, r.vec_id): r.score for r in got}
     assert len(got) == 16 and ends[1, 2] == 2 ** 63 - 1 and ends[1, 3] == -2 ** 63 and ends[4, 5] == 512 * 3 * 10 ** 12 * 1024 - 512 * 1024
-    same = [(i, [0.1, 0.2]) for i in range(300)] + [(i, [0.3, 0.1]) for i in range(300, 500)]
+    same = [(i, [0.1, 0.2]) for i in range(300)] + [(i, [0.3, -0.1]) for i in range(300, 500)]
     got = top_k.search(spark.createDataFrame(same, "vec_id long, embedding array<double>").repartition(4), lambda k: k % 100 == 0, k=5).collect()
     found = {q: [r.vec_id for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] for q in (0, 200, 300, 400)}
     assert found == {0: [1, 2, 3, 4, 5], 200: [0, 1, 2, 3, 4], 300: [301, 302, 303, 304, 305], 400: [300, 301, 302, 303, 304]}
