@@ -413,6 +413,19 @@ def test_sentences_of_several_licences(spark, text, found):
     assert licences.scan(frame(spark, [(1, text)])).first().licences == found
 
 
+def test_versions_identifiers_and_denials(spark):
+    cases = [
+        ("See GPL 2019.", []), ("Apache License 2019.", []), ("GNU Lesser General Public License.", ["LGPL"]),
+        ("GNU Lesser General Public License, version 2.1 or any later version.", ["LGPL-2.1-or-later"]), ("LGPLv2 code", ["LGPL-2.0"]),
+        ("GNU Affero General Public License, version 1.", ["AGPL"]), ("GNU Affero General Public License version 3.", ["AGPL-3.0"]),
+        ("SPDX-License-Identifier: GPL-2.0-only OR MIT", ["GPL-2.0", "MIT"]), ("SPDX-License-Identifier: GPL-3.0-or-later", ["GPL-3.0-or-later"]),
+        ("SPDX-License-Identifier: MIT OR Apache-2.0", ["Apache-2.0", "MIT"]), ("This is not licensed under the MIT License.", []),
+        ("It is not released under the GNU General Public License, version 2, but under the Apache License 2.0.", ["Apache-2.0"]),
+    ]
+    out = {r.doc_id: r.licences for r in licences.scan(frame(spark, [(i, text) for i, (text, _) in enumerate(cases)])).collect()}
+    assert [(text, out[i]) for i, (text, _) in enumerate(cases)] == cases
+
+
 def test_licences_of_an_empty_table(spark):
     assert licences.scan(frame(spark, [(1, "x")]).limit(0)).count() == 0
 

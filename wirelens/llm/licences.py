@@ -8,8 +8,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+ISSUED = "( as published by the free software foundation)? (either )?(v|version )"
 #: Sentences of public licences, as patterns over normalised words (lower case, single blanks).
+#: A version counts where its number ends; short identifiers (GPL-3.0-or-later) are sentences of their own.
 SENTENCES = [
+    ("notunder", "(^| )(not|never) (licen[sc]ed|released|available|distributed|published|covered) (under|by) (the terms of )?(the |an? )?"
+                 "(gnu|apache|mit|bsd|mozilla|creative|agpl|lgpl|gpl|mpl|isc|cc)( |$)"),
     ("cc0", "(to the extent possible under law|cc0 1 0|creative commons zero)"),
     ("ccbyncsa", "(cc by nc sa|creative commons attribution noncommercial sharealike)"),
     ("ccbyncnd", "(cc by nc nd|creative commons attribution noncommercial noderivatives)"),
@@ -17,17 +21,26 @@ SENTENCES = [
     ("ccbysa", "(cc by sa|creative commons attribution sharealike)"),
     ("ccbynd", "(cc by nd|creative commons attribution noderivatives)"),
     ("ccby", "(cc by|creative commons attribution)"),
-    ("agpl3", "(gnu affero general public licen[sc]e|agpl v? ?3|agpl3)"),
-    ("lgpl3", "(gnu (lesser|library) general public licen[sc]e( as published by the free software foundation)? (either )?(v|version )3|lgpl v? ?3)"),
-    ("lgpl2", "(gnu (lesser|library) general public licen[sc]e|lgpl v? ?2)"),
-    ("gpl3", "(gnu general public licen[sc]e( as published by the free software foundation)? (either )?(v|version )3|(^| )gpl v? ?3|(^| )gplv3)"),
-    ("gpl2", "(gnu general public licen[sc]e( as published by the free software foundation)? (either )?(v|version )2|(^| )gpl v? ?2|(^| )gplv2)"),
+    ("agpl3later", r"agpl ?v? ?3( 0)? or later\b"),
+    ("agpl3", rf"(gnu affero general public licen[sc]e{ISSUED}3\b|agpl ?v? ?3\b)"),
+    ("agplany", r"(gnu affero general public licen[sc]e|(^| )agpl\b)"),
+    ("lgpl3later", r"lgpl ?v? ?3( 0)? or later\b"),
+    ("lgpl3", rf"(gnu (lesser|library) general public licen[sc]e{ISSUED}3\b|lgpl ?v? ?3\b)"),
+    ("lgpl21later", r"lgpl ?v? ?2 1 or later\b"),
+    ("lgpl21", rf"(gnu (lesser|library) general public licen[sc]e{ISSUED}2 1\b|lgpl ?v? ?2 1\b)"),
+    ("lgpl20later", r"lgpl ?v? ?2( 0)? or later\b"),
+    ("lgpl20", rf"(gnu (lesser|library) general public licen[sc]e{ISSUED}2\b|lgpl ?v? ?2\b)"),
+    ("lgplany", r"(gnu (lesser|library) general public licen[sc]e|(^| )lgpl\b)"),
+    ("gpl3later", r"(^| )gpl ?v? ?3( 0)? or later\b"),
+    ("gpl3", rf"(gnu general public licen[sc]e{ISSUED}3\b|(^| )gpl ?v? ?3\b)"),
+    ("gpl2later", r"(^| )gpl ?v? ?2( 0)? or later\b"),
+    ("gpl2", rf"(gnu general public licen[sc]e{ISSUED}2\b|(^| )gpl ?v? ?2\b)"),
     ("gplany", "gnu general public licen[sc]e"),
     ("orlater", "(or )?(at your option )?any later version"),
-    ("apache2", "(apache licen[sc]e( version)? 2|apache 2 0)"),
+    ("apache2", r"(apache licen[sc]e( version)? 2\b|apache 2 0\b)"),
     ("apachecopy", "you may (not use this file except in compliance with|obtain a copy of) the licen[sc]e"),
     ("apacheasis", "distributed under the licen[sc]e is distributed on an as is basis"),
-    ("mitname", "(^| )mit licen[sc]e"),
+    ("mitname", r"((^| )mit licen[sc]e|identifier mit\b|(only|0|clause) or mit\b)"),
     ("mitgrant", "permission is hereby granted free of charge to any person obtaining a copy"),
     ("mitnotice", "the above copyright notice and this permission notice shall be included"),
     ("asis", "the software is provided as is (without warranty|and .{1,60} disclaims? all warranties)"),
@@ -38,7 +51,7 @@ SENTENCES = [
     ("bsdsource", "redistributions of source code must retain"),
     ("bsdbinary", "redistributions in binary form must reproduce"),
     ("bsdnames", "neither the name of .* may be used to endorse"),
-    ("mpl2", "(mozilla public licen[sc]e|(^| )mpl) ?(v|version)? ?2"),
+    ("mpl2", r"(mozilla public licen[sc]e|(^| )mpl) ?(v|version)? ?2\b"),
     ("unlicense", "free and unencumbered software released into the public domain"),
     ("publicdomain", "(in|into) the public domain"),
     ("reserved", "all rights reserved"),
@@ -55,10 +68,22 @@ RULES = [
     ("Apache-2.0", ["apache2", "apachecopy", "apachecopy", "apacheasis"]),
     ("Apache-2.0", ["apache2", "apachecopy", "apacheasis"]),
     ("Apache-2.0", ["apache2"]),
+    ("AGPL-3.0-or-later", ["agpl3later"]),
+    ("AGPL-3.0-or-later", ["agpl3", "orlater"]),
     ("AGPL-3.0", ["agpl3"]),
+    ("AGPL", ["agplany"]),
+    ("LGPL-3.0-or-later", ["lgpl3later"]),
     ("LGPL-3.0-or-later", ["lgpl3", "orlater"]),
     ("LGPL-3.0", ["lgpl3"]),
-    ("LGPL-2.1", ["lgpl2"]),
+    ("LGPL-2.1-or-later", ["lgpl21later"]),
+    ("LGPL-2.1-or-later", ["lgpl21", "orlater"]),
+    ("LGPL-2.1", ["lgpl21"]),
+    ("LGPL-2.0-or-later", ["lgpl20later"]),
+    ("LGPL-2.0-or-later", ["lgpl20", "orlater"]),
+    ("LGPL-2.0", ["lgpl20"]),
+    ("LGPL", ["lgplany"]),
+    ("GPL-3.0-or-later", ["gpl3later"]),
+    ("GPL-2.0-or-later", ["gpl2later"]),
     ("GPL-3.0-or-later", ["gpl3", "orlater"]),
     ("GPL-3.0", ["gpl3"]),
     ("GPL-2.0-or-later", ["gpl2", "orlater"]),
