@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from wirelens.rules import let, once
 
 QUOTED = r'"(?:[^"\\]|\\.)*"'
 #: Bare words of other languages that mean "no value".
@@ -31,10 +32,11 @@ def tolerant_json(df: DataFrame, raw: str, out: str = "parsed", how: str = "pars
     text, block = F.col(raw), F.regexp_extract(F.col(raw), r"(?s)\{.*\}", 0)
     steps = [("strict", text), ("repaired", repaired(text)),
              ("block", F.when(block != "", block)), ("block_repaired", F.when(block != "", repaired(block)))]
-    tries = F.filter(
-        F.array(*[F.struct(F.lit(name).alias("step"), F.try_parse_json(value).alias("value")) for name, value in steps]),
-        lambda s: s["value"].isNotNull(),
-    )
-    best = df.withColumn("_json", F.get(tries, F.lit(0)))
+
+    def tried(name: str, value: Column) -> Column:
+        return let(F.try_parse_json(value), lambda v: F.when(v.isNotNull(), F.struct(F.lit(name).alias("step"), v.alias("value"))))
+
+    # a step runs only where the ones before it failed
+    best = once(df, "_json", F.coalesce(*[tried(name, value) for name, value in steps]))
     return (best.withColumn(out, F.col("_json.value"))
             .withColumn(how, F.coalesce("_json.step", F.lit("quarantine"))).drop("_json"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from wirelens import fixed
 from wirelens.functions import bands, jsonfix, net, regions, text, times, urls
 from wirelens.plans.registry import AS_OF, Tables, query
+from wirelens.session import spread
 
 STOP = ", ".join(f"'{w}'" for w in fixed.TITLE_STOP_WORDS)
 # the title normal form written once for the checking engine, as a scalar over column x
@@ -194,7 +195,7 @@ def _(t: Tables):
     i, props = F.col("event_id") % 5, F.col("props")
     raw = (F.when(i == 0, props).when(i == 1, F.regexp_replace(props, "}$", ", }")).when(i == 2, F.lit('{"k": None}'))
            .when(i == 3, F.concat(F.lit("Answer: "), props, F.lit(" done"))).otherwise(F.lit("no json here")))
-    parsed = jsonfix.tolerant_json(t("events").select("event_id", raw.alias("raw")), "raw")
+    parsed = jsonfix.tolerant_json(spread(t("events")).select("event_id", raw.alias("raw")), "raw")
     return parsed.select("event_id", F.col("parsed_from").alias("step"), F.try_variant_get("parsed", "$.k", "int").alias("k"))
 
 
