@@ -112,33 +112,42 @@ def apply_rule(df: DataFrame, rule: Rule, key: str, ts: str = "ts", order: str =
 
 
 class RuleProcessor(StatefulProcessor):
-    """Streaming form: one small JSON state per key."""
+    """Streaming form: one JSON state per bucket of keys, with the small state of each of its keys."""
 
-    def __init__(self, rule: Rule, ts: str, order: str, value: str | None, out: str):
-        self.rule, self.ts, self.order, self.value, self.out = rule, ts, order, value, out
+    def __init__(self, rule: Rule, names: list[str], ts: str, order: str, value: str | None, out: str):
+        self.rule, self.names, self.ts, self.order, self.value, self.out = rule, names, ts, order, value, out
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.state = handle.getValueState("state", "packed string")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[pd.DataFrame]:
-        state = json.loads(self.state.get()[0]) if self.state.exists() else []
-        # one key's share of one micro-batch; the trigger bounds its size
+        states = json.loads(self.state.get()[0]) if self.state.exists() else {}
+        # one bucket's share of one micro-batch; the trigger bounds its size
         pdf = pd.concat(list(rows)).sort_values([self.ts, self.order])
         verdicts = []
-        for now, item in zip(_seconds(pdf[self.ts]), pdf[self.value] if self.value else [None] * len(pdf)):
-            accepted, state = self.rule.decide(state, now, item)
+        values = pdf[self.value] if self.value else [None] * len(pdf)
+        for own, now, item in zip(pdf["rule_key"], _seconds(pdf[self.ts]), values):
+            accepted, states[own] = self.rule.decide(states.get(own, []), now, item)
             verdicts.append(accepted)
-        self.state.update((json.dumps(state),))
-        yield pdf.assign(**{self.out: verdicts})
+        self.state.update((json.dumps(states),))
+        yield pdf[self.names].assign(**{self.out: verdicts})
 
     def close(self) -> None:
         pass
 
 
-def apply_rule_stream(stream: DataFrame, rule: Rule, key: str, ts: str = "ts", order: str = "event_id", value: str | None = None, out: str = "accepted") -> DataFrame:
-    """Streaming form of :func:`apply_rule` with keyed state."""
+def apply_rule_stream(stream: DataFrame, rule: Rule, key: str, ts: str = "ts", order: str = "event_id", value: str | None = None, out: str = "accepted",
+                      buckets: int = 1024) -> DataFrame:
+    """Streaming form of :func:`apply_rule` with keyed state.
+
+    A call into Python and an access to the state store cost thousands of times as much as a row, so keys go there by
+    ``buckets`` of their hash. A micro-batch rewrites the states of the buckets it touches; the number is fixed when the
+    stream first runs and follows the expected number of keys.
+    """
     stream.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass",
                                  "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     schema = T.StructType(stream.schema.fields + [T.StructField(out, T.BooleanType())])
-    return stream.groupBy(key).transformWithStateInPandas(
-        RuleProcessor(rule, ts, order, value, out), schema, outputMode="Append", timeMode="None")
+    own = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit(""))  # a missing key is one of its own
+    placed = stream.withColumn("rule_key", own).withColumn("rule_bucket", F.pmod(F.xxhash64("rule_key"), F.lit(buckets)).cast("int"))
+    return placed.groupBy("rule_bucket").transformWithStateInPandas(
+        RuleProcessor(rule, stream.columns, ts, order, value, out), schema, outputMode="Append", timeMode="None")
