@@ -5,6 +5,7 @@ import re
 from pyspark.sql import functions as F
 
 from tests.llm.test_exact_operators import cleaned, joined
+from wirelens.llm import jaccard_join
 from wirelens.llm import stages as corpus_pipeline
 
 
@@ -60,3 +61,19 @@ def test_further_columns_pass_through_every_stage(spark, sf, tmp_path):
         wrong = [F.col(c) != F.concat(F.lit(c), F.col("doc_id").cast("string")) for c in docs.columns[5:-1]]
         assert now.count() and now.where(F.array_contains(F.array(*wrong), True) | (F.col("many")[0] != F.col("doc_id"))).count() == 0, name
     assert corpus_pipeline.STAGES[-1][1](spark, now, sf).count() == now.count()
+
+
+def test_near_copies_in_rounds_without_a_second_copy_of_texts(spark, sf, monkeypatch):
+    """Comparisons in many rounds leave the same rows as in one; texts are not stored again, and sets go when they are spent."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    stored, rounds, dropped = [], [], []
+    for name, seen in (("stored", stored), ("drop", dropped)):
+        monkeypatch.setattr(jaccard_join.C, name, lambda *a, f=getattr(jaccard_join.C, name), seen=seen: seen.append(a[-1]) or f(*a))
+    count = jaccard_join._rounds
+    monkeypatch.setattr(jaccard_join, "_rounds", lambda bulk, room: rounds.append(3) or 3)
+    several = sorted(r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, docs, sf).collect())
+    monkeypatch.setattr(jaccard_join, "_rounds", lambda bulk, room: 1)
+    assert several == sorted(r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, docs, sf).collect())
+    assert len(rounds) == 2 and not any("text" in df.columns for df in stored)
+    assert any(str(path).endswith("/sets") for path in dropped)
+    assert count(100, 100) == 2 and count(0, 100) == count(None, 0) == 1

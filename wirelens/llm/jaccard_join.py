@@ -28,6 +28,8 @@ BAND = 1.3
 BLOCK_SETS, BLOCK_SHINGLES = 1_000, 400_000
 #: Keys that a task gathers before it writes them out with their local followers.
 CHUNK_KEYS = 400_000
+#: What one round of comparisons may shuffle, as a share of all stored sets; more takes several rounds.
+ROUND_SHARE = 0.5
 
 
 @dataclass(frozen=True)
@@ -230,19 +232,28 @@ def _linked(pairs: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
     return near.join(left, "a").join(right, "b").where(enough(F.size(F.array_intersect("s_a", "s_b")))).select("a", "b")
 
 
-def _linked_in_families(members: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
-    """Linked pairs (a, b) of different components, of members (rep, n, component, family) of one family.
+def _rounds(bulk: float, room: float) -> int:
+    """How many rounds keep the shuffle of ``bulk`` bytes within its share of ``room`` bytes of sets."""
+    return max(1, int(np.ceil((bulk or 0) / max(ROUND_SHARE * room, 1))))
 
-    A family is cut by size into blocks of a bounded number of sets and shingles; blocks of fitting sizes are compared
-    with each other by a product of incidence matrices, so that no pair is written that is no link.
-    """
+
+def _family_tasks(members: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
+    """The members with their blocks, and the pairs of blocks to compare with the shingles that each deals out."""
     by_size = Window.partitionBy("family").orderBy("n", "rep")
     weight = F.sum(F.col("n") + BLOCK_SHINGLES // BLOCK_SETS).over(by_size)
     members = members.withColumn("block", F.floor(weight / BLOCK_SHINGLES))
-    blocks = members.groupBy("family", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"))
-    x, y = (blocks.select("family", *[F.col(c).alias(c + s) for c in ("block", "least", "most")]) for s in ("_x", "_y"))
-    tasks = (x.join(y, "family").where((F.col("block_x") <= F.col("block_y")) & (F.col("least_y") * join.percent <= F.col("most_x") * 100))
-             .select("family", "block_x", "block_y"))
+    blocks = members.groupBy("family", "block").agg(F.min("n").alias("least"), F.max("n").alias("most"), F.sum("n").alias("held"))
+    x, y = (blocks.select("family", *[F.col(c).alias(c + s) for c in ("block", "least", "most", "held")]) for s in ("_x", "_y"))
+    return members, (x.join(y, "family").where((F.col("block_x") <= F.col("block_y")) & (F.col("least_y") * join.percent <= F.col("most_x") * 100))
+             .select("family", "block_x", "block_y", (F.col("held_x") + F.when(F.col("block_x") != F.col("block_y"), F.col("held_y")).otherwise(0)).alias("dealt")))
+
+
+def _linked_in_families(members: DataFrame, tasks: DataFrame, sets: DataFrame, join: Join) -> DataFrame:
+    """Linked pairs (a, b) of different components, of members (rep, n, component, family, block) of one family.
+
+    A family is cut by size into blocks of a bounded number of sets and shingles; blocks of fitting sizes are compared
+    with each other by a product of incidence matrices, so that no pair is written that is no link.
+    """
     left = tasks.join(members.withColumnRenamed("block", "block_x"), ["family", "block_x"]).withColumn("side", F.lit(0))
     right = tasks.where("block_x <> block_y").join(members.withColumnRenamed("block", "block_y"), ["family", "block_y"]).withColumn("side", F.lit(1))
     dealt = left.unionByName(right).join(sets.select(F.col("doc").alias("rep"), "shingles"), "rep")
@@ -310,8 +321,8 @@ def _components(docs: DataFrame, join: Join) -> DataFrame:
     tops = F.array(*[F.lit(band_top(i)) for i in range(64)])
     banded = facts.where(size > 5).groupBy(F.size(F.filter(tops, lambda t: t < size)).alias("band")).count().collect()
     counts = {r["band"]: r["count"] for r in banded}
-    together, members = Window.partitionBy("key"), F.concat(F.array("doc"), "followers")
-    met = kept(segment_keys(known, join, counts).select("key", "doc", members.alias("members"))
+    together, gathered = Window.partitionBy("key"), F.concat(F.array("doc"), "followers")
+    met = kept(segment_keys(known, join, counts).select("key", "doc", gathered.alias("members"))
                .select("key", "members", F.min("doc").over(together).alias("head"), F.sum(F.size("members")).over(together).alias("total"))
                .where("total > 1").select("key", "head", "total", F.explode("members").alias("doc")), "met")
     C.release(spark)  # the keys are the bulk of all that is shuffled
@@ -328,8 +339,17 @@ def _components(docs: DataFrame, join: Join) -> DataFrame:
         int(spark.conf.get("spark.sql.shuffle.partitions")), "doc").saveAsTable(named)
     sets = spark.table(named)
     C.release(spark)
-    links = kept(_linked(stars, sets, join), "links")
-    C.release(spark)
+    def in_rounds(parts: int, work, name: str) -> DataFrame:
+        """The parts of some work stored one after another, so that the shuffles of one are gone before the next."""
+        for i in range(parts):
+            work(i).write.mode("append").parquet(f"{at}/{name}")
+            C.release(spark)
+        return spark.read.parquet(f"{at}/{name}")
+
+    room = 10 * (meeting.join(reps.groupBy(F.col("rep").alias("doc_id")).agg(F.min("n").alias("n")), "doc_id").agg(F.sum("n")).first()[0] or 0)
+    bulk = stars.join(reps.select(F.col("doc_id").alias("a"), "n"), "a").agg(F.sum(F.least("n", F.lit(1 << 16)) * 2 + 32)).first()[0]
+    parts = _rounds(bulk, room)
+    links = in_rounds(parts, lambda i: _linked(stars.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == i), sets, join), "links")
     found = kept(components(links), "first")
     # what the heads left apart: sets that met in company under a key of several components
     wide = (met.where("total > 2").select("key", F.col("doc").alias("doc_id")).join(reps, "doc_id").select("key", "rep", "n").distinct()
@@ -339,8 +359,15 @@ def _components(docs: DataFrame, join: Join) -> DataFrame:
     apart = kept(wide.join(mixed.select("key", "head"), "key").select("rep", "head", "n", "component").distinct(), "apart")
     families = components(apart.select(F.col("rep").alias("a"), F.col("head").alias("b")))
     rest = kept(apart.select("rep", "n", "component").distinct().join(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep"), "families")
-    more = kept(_linked_in_families(rest, sets, join), "more")
-    spark.sql(f"DROP TABLE {named}")  # the name; its files stay
+    members, tasks = _family_tasks(rest, join)
+    members, tasks = kept(members, "members"), kept(tasks, "tasks")
+    turns = _rounds(8 * (tasks.agg(F.sum("dealt")).first()[0] or 0), room)
+    more = in_rounds(turns, lambda i: _linked_in_families(
+        members, tasks.where(F.pmod(F.xxhash64("family", "block_x", "block_y"), F.lit(turns)) == i).drop("dealt"), sets, join), "more")
+    spark.sql(f"DROP TABLE {named}")  # the name; an external table's files go next
+    for spent in ("sets", "met", "wide", "members", "tasks"):
+        C.drop(spark, f"{at}/{spent}")
+    C.release(spark)
     bridged = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
     final = components(bridged)
     return (facts.join(final.withColumnRenamed("node", "rep"), "rep", "left")
@@ -355,6 +382,11 @@ def without_near_copies(docs: DataFrame, *, doc_id: str = "doc_id", text: str =
     but of those that share a doc_id one stays.
     """
     C.session(docs.sparkSession)
+    plain = dict(docs.dtypes)[doc_id] in ("bigint", "int", "smallint", "tinyint")
+    if plain and docs.groupBy(doc_id).count().where(F.col(doc_id).isNull() | (F.col("count") > 1)).isEmpty():
+        named = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))  # no second copy of the texts
+        first = _components(named, join).where("doc_id = component_id").select(F.col("doc_id").cast(dict(docs.dtypes)[doc_id]).alias(doc_id))
+        return docs.join(first, doc_id, "left_semi").select(*docs.columns)
     rows = C.stored(docs.withColumn("__row", F.monotonically_increasing_id()))
     groups = _components(rows.select(F.col("__row").alias("doc_id"), F.col(text).cast("string").alias("text")), join).select(F.col("doc_id").alias("__row"), "n_shingles", "component_id")
     order = F.struct(F.col(doc_id).isNull(), F.col(doc_id), F.xxhash64(text),
