@@ -1,7 +1,9 @@
 """The pipeline's stages: columns, what each takes out, and what it leaves alone."""
 
+import random
 import re
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from tests.llm.test_exact_operators import cleaned, joined
@@ -76,3 +78,40 @@ def test_near_copies_in_rounds_without_a_second_copy_of_texts(spark, sf, monkeyp
     assert len(rounds) == 2 and not any("text" in df.columns for df in stored)
     assert any(str(path).endswith("/sets") for path in dropped)
     assert count(100, 100) == 2 and count(0, 100) == count(None, 0) == 1
+
+
+def test_sets_without_a_common_shingle_share_no_key(spark):
+    """Empty segments are no keys: sets of any size with nothing in common do not meet, linked ones still do."""
+    rng = np.random.default_rng(3)
+    for join in (corpus_pipeline.NEAR, jaccard_join.Join()):
+        for size in (1, 2, 20, 30, 60, 140, 183, 240, 400, 700):
+            keys = [jaccard_join._keys(rng.integers(0, 1 << 63, size).astype(np.uint64), size, join) for _ in range(60)]
+            assert len(np.unique(np.concatenate(keys))) == sum(len(np.unique(k)) for k in keys), size
+            for _ in range(20):
+                one = rng.integers(0, 1 << 63, size).astype(np.uint64)
+                gone = int(rng.integers(0, join.differ(size) + 1))
+                other = one[gone:] if len(one[gone:]) * 100 >= size * join.percent else one
+                met = np.intersect1d(*[jaccard_join._keys(x, len(x), join) for x in (one, other)])
+                assert len(met) or len(other) == size, (size, gone)
+
+
+def test_families_of_many_blocks_are_compared_as_they_met(spark, sf, monkeypatch):
+    """Pairs of sets that met, or blocks of a family: either way the rows are those of brute force."""
+    rng = random.Random(5)
+    rows = []
+    for d in range(240):  # chains of texts, each a little further from its first one, and texts with a common half
+        at = d % 12
+        base = [f"w{at}x{i}" for i in range(120)]
+        for _ in range(rng.randint(0, 16)):
+            base[rng.randrange(120)] = f"y{rng.randrange(10 ** 6)}"
+        rows.append((d, " ".join(base)))
+    docs = spark.createDataFrame([(d, t, "en", "s", len(t)) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    want = sorted(d for d, _, c in joined(rows, 5, 80) if d == c)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SETS", 2)
+    monkeypatch.setattr(jaccard_join, "BLOCK_SHINGLES", 300)
+    choose, seen = jaccard_join._sparse, []
+    for every in (True, False):
+        monkeypatch.setattr(jaccard_join, "_sparse", lambda members, apart: seen.append(choose(members, apart).count()) or (
+            members.select("family").distinct() if every else members.select("family").limit(0)))
+        assert sorted(r.doc_id for r in corpus_pipeline.one_of_near_copies(spark, docs, sf).collect()) == want
+    assert len(seen) == 2

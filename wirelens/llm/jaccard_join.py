@@ -2,9 +2,11 @@
 
 Sets fall into bands of size. A band cuts the universe of shingles into segments by hash; two sets of enough
 similarity differ in at most D shingles, so of D + 1 segments one is the same in both, and a segment that also knows
-its one-deletion neighbours stands for two. How many segments know them is decided per band by cost. Sets that share a
-segment meet under its key and are verified exactly. Only components are wanted, so the sets under a key are first
-verified against one head; sets that this leaves in different components are compared in blocks after that.
+its one-deletion neighbours stands for two, which small sets need. A band has some more segments, of which every set
+leaves out its lightest: two sets without a shingle in common must not meet because both have an empty segment. Sets
+that share a segment meet under its key and are verified exactly. Only components are wanted, so the sets under a key
+are first verified against one head; sets that this leaves in different components are compared in blocks after that,
+or pair by pair as they met where this moves less.
 """
 
 from __future__ import annotations
@@ -28,6 +30,8 @@ BAND = 1.3
 BLOCK_SETS, BLOCK_SHINGLES = 1_000, 400_000
 #: Keys that a task gathers before it writes them out with their local followers.
 CHUNK_KEYS = 400_000
+#: Further segments of a band, in hundredths of those that a set uses; the lightest stay out.
+SPARE = 10
 #: What one round of comparisons may shuffle, as a share of all stored sets; more takes several rounds.
 ROUND_SHARE = 0.5
 
@@ -50,34 +54,15 @@ def band_top(number: int) -> int:
     return 5 if number <= 0 else max(band_top(number - 1) + 1, int(band_top(number - 1) * BAND))
 
 
-@lru_cache(maxsize=None)
-def allocation(differ: int, size: int, sets: int, common: float = 0.05) -> tuple[int, int, int]:
-    """Segments, how many of them know one-deletion neighbours, and how many light ones a set may leave out.
+def allocation(differ: int) -> tuple[int, int]:
+    """Segments for sets that differ in so many shingles, and how many of them know one-deletion neighbours.
 
-    The cost of a choice is the keys of a set plus the chance meetings with the other ``sets`` of the band, taking
-    ``common`` as the share of shingles that are not a document's own.
+    So few segments that some could well be empty all know their neighbours; of more, a set may leave some out.
     """
-    best, few = (np.inf, differ + 1, 0), differ <= 3  # so few segments could be empty: they all know their neighbours
-    for two in sorted({(differ + 1) // 2} if few else {0, *range(0, (differ + 1) // 2 + 1, max(1, (differ + 1) // 16))}):
-        m = differ + 1 - two
-        held = size / m
-        keys = (m - two) + two * (1 + held)
-        meets = sets * ((m - two) * common ** held + two * (1 + held) * common ** max(held - 1, 0))
-        best = min(best, (keys + meets, m, two))
-    _, m, two = best
-    spare = 0
-    if two == 0:  # light segments are the likeliest to be shared by chance: room to leave them out
-        for weight in (2, 1, 0):  # as many grades of light segments as an eighth more segments leave room for
-            grade = sum(np.exp(-size / (m * 1.125)) * (size / (m * 1.125)) ** w / (1, 1, 2)[w] for w in range(weight + 1))
-            spare = int(np.ceil(grade * m * 1.25 * 1.125)) + 1
-            if spare <= max(2, m // 8):
-                break
-    return m + spare, two, spare
-
-
-def band_plan(join: Join, band: int, counts: dict[int, int]) -> tuple[int, int, int]:
-    """The allocation of a band of so many sets (to the next power of two)."""
-    return allocation(join.differ(band_top(band)), band_top(band), 1 << max(counts.get(band, 1), 1).bit_length())
+    if differ <= 3:
+        two = (differ + 1) // 2
+        return differ + 1 - two, two
+    return differ + 1 + max(2, -(-differ * SPARE // 100)), 0
 
 
 def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -109,7 +94,7 @@ def shingle_sets(texts: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([*sets, np.zeros(0, np.uint64)]), sizes
 
 
-def _keys(found: np.ndarray, size: int, join: Join, counts: dict[int, int]) -> np.ndarray:
+def _keys(found: np.ndarray, size: int, join: Join) -> np.ndarray:
     """Keys of one set in its own band and, if smaller sets of the band below can be linked to it, in that one."""
     out = []
     number = 0
@@ -119,23 +104,25 @@ def _keys(found: np.ndarray, size: int, join: Join, counts: dict[int, int]) -> n
         if band < 0 or (band < number and size * join.percent > band_top(band) * 100):
             continue
         top = band_top(band)
-        differ = join.differ(top)
+        # what this very set can differ in from a linked one that has keys of the band
+        differ = join.differ(size) if band == number else min(join.differ(size), (size + top) * (100 - join.percent) // (100 + join.percent))
         if not differ:
             continue  # only equal sets are linked
-        m, two, spare = band_plan(join, band, counts)
+        m, two = allocation(join.differ(top))
         mark = np.uint64(band * 0x9E3779B1 + 1)
         segment = ((C.mixed(found + mark) >> np.uint64(16)) % np.uint64(m)).astype(np.int64)
         value = C.mixed(found ^ np.uint64(0x5851F42D4C957F2D))
         sums, held = np.zeros(m, np.uint64), np.bincount(segment, minlength=m)
         np.add.at(sums, segment, value)
         label = C.mixed(np.arange(m, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95) + mark)
-        # A linked set has more than ``spare`` equal segments. Leaving out all segments of up to some weight, if there
-        # are no more than ``spare``, leaves one of them in place, and at a heavier weight for both sets.
-        use = held > max((w for w in (0, 1, 2) if (held <= w).sum() <= spare), default=-1)
-        out.append(C.mixed(sums[use] + label[use]))
+        key = C.mixed(sums + label)
         if two:
             near = segment < two
-            out.append(C.mixed(sums[segment[near]] - value[near] + label[segment[near]]))
+            out += [key, C.mixed(sums[segment[near]] - value[near] + label[segment[near]])]
+        else:
+            # Of the m segments, at least m - differ are the same in a linked set. In the order of weight and key, which
+            # both sets share, the last of these is never among the m - differ - 1 lightest of either.
+            out.append(key[np.lexsort((key, held))[m - differ - 1:]])
     return np.concatenate([*out, np.zeros(0, np.uint64)])
 
 
@@ -155,7 +142,7 @@ def describe(docs: DataFrame, join: Join) -> DataFrame:
     return docs.mapInArrow(C.lean(task), "doc_id long, n_shingles long, low long, high long")
 
 
-def segment_keys(docs: DataFrame, join: Join, counts: dict[int, int]) -> DataFrame:
+def segment_keys(docs: DataFrame, join: Join) -> DataFrame:
     """key, doc and followers: the documents under each key, gathered per chunk of a task before they are shuffled.
 
     Copies of a set within a chunk are left to their digests.
@@ -186,7 +173,7 @@ def segment_keys(docs: DataFrame, join: Join, counts: dict[int, int]) -> DataFra
                 if digest in seen:
                     continue
                 seen.add(digest)
-                k = _keys(own, int(sizes[i]), join, counts)
+                k = _keys(own, int(sizes[i]), join)
                 keys.append(k)
                 owners.append(np.full(len(k), ids[i], np.int64))
                 many += len(k)
@@ -237,6 +224,24 @@ def _rounds(bulk: float, room: float) -> int:
     return max(1, int(np.ceil((bulk or 0) / max(ROUND_SHARE * room, 1))))
 
 
+def _sparse(members: DataFrame, apart: DataFrame) -> DataFrame:
+    """Families of several blocks (members: family, rep, n) whose sets met so rarely that single pairs move fewer shingles.
+
+    ``apart`` has the key, rep and, by key, what its pairs hold (cost).
+    """
+    whole = members.groupBy("family").agg(F.sum("n").alias("held"), F.ceil(F.sum(F.col("n") + BLOCK_SHINGLES // BLOCK_SETS) / BLOCK_SHINGLES).alias("blocks"))
+    met = (apart.select("key", F.col("head").alias("rep"), "cost").distinct().join(members.select("rep", "family"), "rep")
+           .groupBy("family").agg(F.sum("cost").alias("cost")))
+    return whole.where("blocks > 1").join(met, "family").where("cost < held * blocks").select("family")
+
+
+def _met_pairs(apart: DataFrame, join: Join) -> DataFrame:
+    """a, b and the size of a: sets of different components and fitting sizes that met under a key."""
+    x, y = (apart.select("key", F.col("rep").alias(s), F.col("n").alias(f"n_{s}"), F.col("component").alias(f"c_{s}")) for s in "ab")
+    fits = (F.least("n_a", "n_b") * 100 >= F.greatest("n_a", "n_b") * join.percent) & (F.col("c_a") != F.col("c_b"))
+    return x.join(y, "key").where((F.col("a") > F.col("b")) & fits).select("a", "b", F.col("n_a").alias("n")).distinct()
+
+
 def _family_tasks(members: DataFrame, join: Join) -> tuple[DataFrame, DataFrame]:
     """The members with their blocks, and the pairs of blocks to compare with the shingles that each deals out."""
     by_size = Window.partitionBy("family").orderBy("n", "rep")
@@ -317,12 +322,8 @@ def _components(docs: DataFrame, join: Join) -> DataFrame:
     digest = ["low", "high", "n_shingles"]
     heads = facts.where("n_shingles > 0").groupBy(*digest).agg(F.min("doc_id").alias("rep"))
     facts = kept(facts.join(heads, digest, "left").select("doc_id", "n_shingles", F.coalesce("rep", "doc_id").alias("rep")), "reps")
-    size = F.col("n_shingles")
-    tops = F.array(*[F.lit(band_top(i)) for i in range(64)])
-    banded = facts.where(size > 5).groupBy(F.size(F.filter(tops, lambda t: t < size)).alias("band")).count().collect()
-    counts = {r["band"]: r["count"] for r in banded}
     together, gathered = Window.partitionBy("key"), F.concat(F.array("doc"), "followers")
-    met = kept(segment_keys(known, join, counts).select("key", "doc", gathered.alias("members"))
+    met = kept(segment_keys(known, join).select("key", "doc", gathered.alias("members"))
                .select("key", "members", F.min("doc").over(together).alias("head"), F.sum(F.size("members")).over(together).alias("total"))
                .where("total > 1").select("key", "head", "total", F.explode("members").alias("doc")), "met")
     C.release(spark)  # the keys are the bulk of all that is shuffled
@@ -355,20 +356,32 @@ def _components(docs: DataFrame, join: Join) -> DataFrame:
     wide = (met.where("total > 2").select("key", F.col("doc").alias("doc_id")).join(reps, "doc_id").select("key", "rep", "n").distinct()
             .join(found.withColumnRenamed("node", "rep"), "rep", "left").withColumn("component", F.coalesce("component", "rep")))
     wide = kept(wide, "wide")
-    mixed = wide.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("rep").alias("head")).where("c0 <> c1")
-    apart = kept(wide.join(mixed.select("key", "head"), "key").select("rep", "head", "n", "component").distinct(), "apart")
-    families = components(apart.select(F.col("rep").alias("a"), F.col("head").alias("b")))
-    rest = kept(apart.select("rep", "n", "component").distinct().join(families.select(F.col("node").alias("rep"), F.col("component").alias("family")), "rep"), "families")
+    mixed = (wide.groupBy("key").agg(F.min("component").alias("c0"), F.max("component").alias("c1"), F.min("rep").alias("head"), F.count(F.lit(1)).alias("company"),
+                                     ((F.count(F.lit(1)) - 1) * F.sum("n")).alias("cost"))
+             .where("c0 <> c1 and company > 2").select("key", "head", "cost"))  # of two sets, one is the head's
+    apart = kept(wide.join(mixed, "key").select("key", "rep", "head", "n", "component", "cost"), "apart")
+    families = components(apart.select(F.col("rep").alias("a"), F.col("head").alias("b"))).select(F.col("node").alias("rep"), F.col("component").alias("family"))
+    rest = kept(apart.select("rep", "n", "component").distinct().join(families, "rep"), "families")
+    sparse = kept(_sparse(rest, apart), "sparse")
+    few = None
+    if not sparse.isEmpty():
+        pairs = kept(_met_pairs(apart.join(rest.join(sparse, "family", "left_semi").select("rep"), "rep", "left_semi"), join).join(stars, ["a", "b"], "left_anti"), "pairs")
+        C.release(spark)
+        parts = _rounds(pairs.agg(F.sum(F.least("n", F.lit(1 << 16)) * 2 + 32)).first()[0], room)
+        few = in_rounds(parts, lambda i: _linked(pairs.where(F.pmod(F.xxhash64("a", "b"), F.lit(parts)) == i).select("a", "b"), sets, join), "few")
+        rest = rest.join(sparse, "family", "left_anti")
     members, tasks = _family_tasks(rest, join)
     members, tasks = kept(members, "members"), kept(tasks, "tasks")
     turns = _rounds(8 * (tasks.agg(F.sum("dealt")).first()[0] or 0), room)
     more = in_rounds(turns, lambda i: _linked_in_families(
         members, tasks.where(F.pmod(F.xxhash64("family", "block_x", "block_y"), F.lit(turns)) == i).drop("dealt"), sets, join), "more")
     spark.sql(f"DROP TABLE {named}")  # the name; an external table's files go next
-    for spent in ("sets", "met", "wide", "members", "tasks"):
+    for spent in ("sets", "met", "wide", "apart", "members", "tasks"):
         C.drop(spark, f"{at}/{spent}")
     C.release(spark)
     bridged = found.select(F.col("node").alias("a"), F.col("component").alias("b")).union(more)
+    if few is not None:
+        bridged = bridged.union(few)
     final = components(bridged)
     return (facts.join(final.withColumnRenamed("node", "rep"), "rep", "left")
             .select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "rep")).alias("component_id")))
