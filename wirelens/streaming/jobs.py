@@ -63,6 +63,7 @@ def fuzzy_dedup_stream(stream: DataFrame, path: str, state_path: str, checkpoint
 
     def handle(batch: DataFrame, batch_id: int) -> None:
         seen.judge(batch, batch_id).withColumn("batch", F.lit(batch_id)).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        seen.done()
         newest = batch.agg(F.max("day").cast("string")).first()[0]
         if newest:
             seen.expire(newest)
